@@ -37,7 +37,7 @@ def quarters(spark, d) -> DataFrame:
 
 
 # --- QA: quarter-hour observations of all events, one series -----------------
-QA_SQL = """qa AS (
+QA_SQL = f"""qa AS (
   SELECT 'all' AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts,
          round(avg(value) * {K}, 6) AS value, round(sum(value), 4) AS load_mw,
          CASE WHEN time_bucket(INTERVAL 15 MINUTE, ts) < TIMESTAMP '2024-01-16 00:00:00'

@@ -106,7 +106,8 @@ def _(spark, d):
     return ops.resample_mean(quarters(spark, d), ["series_id"], ["value"]).withColumn("value", F.round("value", 9))
 
 
-QG_SQL = f"""{QA_SQL}, qg AS (SELECT series_id, ts, value, CASE WHEN minute(ts) = 45 AND day(ts) % 7 = 0 THEN NULL ELSE load_mw END AS load_mw FROM qa)"""
+QG_ONLY = """qg AS (SELECT series_id, ts, value, CASE WHEN minute(ts) = 45 AND day(ts) % 7 = 0 THEN NULL ELSE load_mw END AS load_mw FROM qa)"""
+QG_SQL = f"{QA_SQL}, {QG_ONLY}"
 
 
 def gappy(spark, d):
