@@ -69,7 +69,10 @@ def calendar(ts: Column | str, prefix: str = "") -> dict[str, Column]:
 
 
 def iso_duration_seconds(text: Column | str) -> Column:
-    """Seconds of a ``PT#H#M#S`` duration; null when malformed or not positive."""
+    """Seconds of a ``PT#H#M#S`` duration; null when malformed or not positive.
+
+    The two usual resolutions skip the pattern matching.
+    """
     column = as_col(text)
     valid = column.rlike("^PT(?=[0-9])([0-9]+H)?([0-9]+M)?([0-9]+S)?$")
 
@@ -78,7 +81,10 @@ def iso_duration_seconds(text: Column | str) -> Column:
         return F.coalesce(digits.try_cast("long"), F.lit(0))
 
     total = part("H") * 3600 + part("M") * 60 + part("S")
-    return F.when(valid & (total > 0), total)
+    return (
+        F.when(column == "PT60M", F.lit(3600).cast("long")).when(column == "PT15M", F.lit(900).cast("long"))
+        .when(valid & (total > 0), total)
+    )
 
 
 def age_label(ts: Column | str, now, hours_suffix: str = " hours", minutes_suffix: str = " min",

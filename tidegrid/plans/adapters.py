@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from tidegrid.functions.times import DAY, HOUR, QUARTER, floor_to, shift
 
 
-# Means are scaled by this, so that no rounded value falls on a tie.
+# Values lie on a grid of 1/1024, on which sums are exact in any order, so both
+# engines agree to the last bit. Means are scaled by K first, which keeps them
+# off the ties of that rounding.
 K = 1.2345678901
 
 
+def on_grid(column):
+    return F.round(column * 1024, 0) / 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table with zone-less timestamps read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,20 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- Q: quarter-hour observations of each event type -------------------------
 Q_SQL = f"""q AS (
   SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts,
-         round(avg(value) * {K}, 6) AS value, count(*) AS points
+         round((avg(value) * {K}) * 1024) / 1024 AS value, count(*) AS points
   FROM events GROUP BY 1, 2)"""
 
 
 def quarters(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(
         F.col("event_type").alias("series_id"), floor_to("ts", QUARTER).alias("ts")
-    ).agg(F.round(F.avg("value") * K, 6).alias("value"), F.count("*").alias("points"))
+    ).agg(on_grid(F.avg("value") * K).alias("value"), F.count("*").alias("points"))
 
 
 # --- QA: quarter-hour observations of all events, one series -----------------
 QA_SQL = f"""qa AS (
   SELECT 'all' AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts,
-         round(avg(value) * {K}, 6) AS value, round(sum(value), 4) AS load_mw,
+         round((avg(value) * {K}) * 1024) / 1024 AS value, round((sum(value)) * 1024) / 1024 AS load_mw,
          CASE WHEN time_bucket(INTERVAL 15 MINUTE, ts) < TIMESTAMP '2024-01-16 00:00:00'
               THEN 'PT60M' ELSE 'PT15M' END AS resolution
   FROM events GROUP BY 1, 2)"""
@@ -49,7 +55,7 @@ def quarters_all(spark, d) -> DataFrame:
     slot = floor_to("ts", QUARTER)
     return (
         table(spark, d, "events").groupBy(slot.alias("ts"))
-        .agg(F.round(F.avg("value") * K, 6).alias("value"), F.round(F.sum("value"), 4).alias("load_mw"))
+        .agg(on_grid(F.avg("value") * K).alias("value"), on_grid(F.sum("value")).alias("load_mw"))
         .select(
             F.lit("all").alias("series_id"), "ts", "value", "load_mw",
             F.when(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp"), "PT60M")
@@ -61,34 +67,34 @@ def quarters_all(spark, d) -> DataFrame:
 # --- H: hourly mean of each event type ---------------------------------------
 H_SQL = f"""h AS (
   SELECT event_type AS series_id, date_trunc('hour', ts) AS ts,
-         round(avg(value) * {K}, 6) AS value
+         round((avg(value) * {K}) * 1024) / 1024 AS value
   FROM events GROUP BY 1, 2)"""
 
 
 def hours(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(
         F.col("event_type").alias("series_id"), floor_to("ts", HOUR).alias("ts")
-    ).agg(F.round(F.avg("value") * K, 6).alias("value"))
+    ).agg(on_grid(F.avg("value") * K).alias("value"))
 
 
 # --- S: an hourly market table, one series -----------------------------------
 S_SQL = f"""s AS (
   SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts,
-    round((avg(value) - 42) * {K} * 5, 6) AS price_eur_mwh,
-    round(sum(value), 4) AS load_mw,
+    round(((avg(value) - 42) * {K} * 5) * 1024) / 1024 AS price_eur_mwh,
+    round((sum(value)) * 1024) / 1024 AS load_mw,
     max(value) AS biomass_mw, min(value) AS lignite_mw,
-    round(avg(value) * {K} / 2, 6) AS gas_mw, CAST(count(*) AS DOUBLE) AS hard_coal_mw,
-    round(avg(value) * {K} / 4, 6) AS hydro_mw,
-    round(sum(value) FILTER (WHERE event_type = 'error'), 4) AS nuclear_mw,
-    round(coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0), 4) AS solar_mw,
-    round(coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0), 4) AS wind_offshore_mw,
-    round(coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0), 4) AS wind_onshore_mw,
-    round(coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0), 4)
-      + round(coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0), 4) AS wind_total_mw,
-    round(avg(user_id) * {K}, 6) AS temperature_2m,
-    least(100.0, round(avg(value) * {K}, 6)) AS relative_humidity_2m,
+    round((avg(value) * {K} / 2) * 1024) / 1024 AS gas_mw, CAST(count(*) AS DOUBLE) AS hard_coal_mw,
+    round((avg(value) * {K} / 4) * 1024) / 1024 AS hydro_mw,
+    round((sum(value) FILTER (WHERE event_type = 'error')) * 1024) / 1024 AS nuclear_mw,
+    round((coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0)) * 1024) / 1024 AS solar_mw,
+    round((coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0)) * 1024) / 1024 AS wind_offshore_mw,
+    round((coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0)) * 1024) / 1024 AS wind_onshore_mw,
+    round((coalesce(sum(value) FILTER (WHERE event_type = 'view'), 0)) * 1024) / 1024
+      + round((coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0)) * 1024) / 1024 AS wind_total_mw,
+    round((avg(user_id) * {K}) * 1024) / 1024 AS temperature_2m,
+    least(100.0, round((avg(value) * {K}) * 1024) / 1024) AS relative_humidity_2m,
     min(value) AS wind_speed_10m, least(100.0, max(value)) AS cloud_cover,
-    round(max(value) * 2, 4) AS shortwave_radiation
+    round((max(value) * 2) * 1024) / 1024 AS shortwave_radiation
   FROM events GROUP BY 1, 2)"""
 
 
@@ -97,24 +103,24 @@ def silver(spark, d) -> DataFrame:
         return F.sum(F.when(F.col("event_type") == kind, F.col("value")))
 
     mean, top, low = F.avg("value"), F.max("value"), F.min("value")
-    offshore = F.round(F.coalesce(of_type("view"), F.lit(0.0)), 4)
-    onshore = F.round(F.coalesce(of_type("signup"), F.lit(0.0)), 4)
+    offshore = on_grid(F.coalesce(of_type("view"), F.lit(0.0)))
+    onshore = on_grid(F.coalesce(of_type("signup"), F.lit(0.0)))
     return (
         table(spark, d, "events").groupBy(floor_to("ts", HOUR).alias("ts"))
         .agg(
-            F.round((mean - 42) * K * 5, 6).alias("price_eur_mwh"),
-            F.round(F.sum("value"), 4).alias("load_mw"),
+            on_grid((mean - 42) * K * 5).alias("price_eur_mwh"),
+            on_grid(F.sum("value")).alias("load_mw"),
             top.alias("biomass_mw"), low.alias("lignite_mw"),
-            F.round(mean * K / 2, 6).alias("gas_mw"), F.count("*").cast("double").alias("hard_coal_mw"),
-            F.round(mean * K / 4, 6).alias("hydro_mw"),
-            F.round(of_type("error"), 4).alias("nuclear_mw"),
-            F.round(F.coalesce(of_type("click"), F.lit(0.0)), 4).alias("solar_mw"),
+            on_grid(mean * K / 2).alias("gas_mw"), F.count("*").cast("double").alias("hard_coal_mw"),
+            on_grid(mean * K / 4).alias("hydro_mw"),
+            on_grid(of_type("error")).alias("nuclear_mw"),
+            on_grid(F.coalesce(of_type("click"), F.lit(0.0))).alias("solar_mw"),
             offshore.alias("wind_offshore_mw"), onshore.alias("wind_onshore_mw"),
             (offshore + onshore).alias("wind_total_mw"),
-            F.round(F.avg("user_id") * K, 6).alias("temperature_2m"),
-            F.least(F.lit(100.0), F.round(mean * K, 6)).alias("relative_humidity_2m"),
+            on_grid(F.avg("user_id") * K).alias("temperature_2m"),
+            F.least(F.lit(100.0), on_grid(mean * K)).alias("relative_humidity_2m"),
             low.alias("wind_speed_10m"), F.least(F.lit(100.0), top).alias("cloud_cover"),
-            F.round(top * 2, 4).alias("shortwave_radiation"),
+            on_grid(top * 2).alias("shortwave_radiation"),
         )
         .withColumn("series_id", F.lit("all"))
     )
@@ -123,7 +129,7 @@ def silver(spark, d) -> DataFrame:
 # --- D: daily mean order value of each priority, a long series with gaps ------
 D_SQL = f"""dd AS (
   SELECT o_orderpriority AS series_id, o_orderdate AS ts,
-         round((avg(o_totalprice) - 200000) / 1000 * {K}, 6) AS price_eur_mwh,
+         round(((avg(o_totalprice) - 200000) / 1000 * {K}) * 1024) / 1024 AS price_eur_mwh,
          count(*) AS orders, round(sum(o_totalprice), 2) AS total
   FROM orders GROUP BY 1, 2)"""
 
@@ -132,7 +138,7 @@ def days(spark, d) -> DataFrame:
     return table(spark, d, "orders").groupBy(
         F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").alias("ts")
     ).agg(
-        F.round((F.avg("o_totalprice") - 200000) / 1000 * K, 6).alias("price_eur_mwh"),
+        on_grid((F.avg("o_totalprice") - 200000) / 1000 * K).alias("price_eur_mwh"),
         F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"),
     )
 
@@ -180,14 +186,14 @@ def vintages(spark, d) -> DataFrame:
 F_SQL = f"""{H_SQL}, issued AS (
   SELECT h.series_id, m.model_release, h.ts AS forecast_issue_time, k.horizon AS horizon_hours,
     h.ts + k.horizon * INTERVAL 1 HOUR AS target_timestamp,
-    round((CASE m.model_release WHEN 'persistence' THEN h.value ELSE b.value END - 52) * 4, 6)
+    round(((CASE m.model_release WHEN 'persistence' THEN h.value ELSE b.value END - 52) * 4) * 1024) / 1024
       AS predicted_price_eur_mwh,
     h.ts + (k.horizon * 7) % 90 * INTERVAL 1 MINUTE AS issued_at_utc
   FROM h CROSS JOIN (SELECT unnest(range(1, 25)) AS horizon) k
   CROSS JOIN (SELECT unnest(['persistence', 'daily']) AS model_release) m
   LEFT JOIN h b ON b.series_id = h.series_id AND b.ts = h.ts + k.horizon * INTERVAL 1 HOUR - INTERVAL 24 HOUR),
 history AS (SELECT * FROM issued WHERE predicted_price_eur_mwh IS NOT NULL),
-actual AS (SELECT series_id, ts AS target_timestamp, round((value - 52) * 4, 6) AS price_eur_mwh FROM h)"""
+actual AS (SELECT series_id, ts AS target_timestamp, round(((value - 52) * 4) * 1024) / 1024 AS price_eur_mwh FROM h)"""
 
 
 def forecasts(spark, d) -> DataFrame:
@@ -207,7 +213,7 @@ def forecasts(spark, d) -> DataFrame:
             "series_id", F.col("_g.model_release").alias("model_release"),
             F.col("ts").alias("forecast_issue_time"), "horizon_hours",
             shift("ts", F.col("horizon_hours") * HOUR).alias("target_timestamp"),
-            F.round((F.col("_g.guess") - 52) * 4, 6).alias("predicted_price_eur_mwh"),
+            on_grid((F.col("_g.guess") - 52) * 4).alias("predicted_price_eur_mwh"),
             shift("ts", F.pmod(F.col("horizon_hours") * 7, F.lit(90)) * 60).alias("issued_at_utc"),
         )
     )
@@ -216,7 +222,7 @@ def forecasts(spark, d) -> DataFrame:
 def actuals(spark, d) -> DataFrame:
     return hours(spark, d).select(
         "series_id", F.col("ts").alias("target_timestamp"),
-        F.round((F.col("value") - 52) * 4, 6).alias("price_eur_mwh"),
+        on_grid((F.col("value") - 52) * 4).alias("price_eur_mwh"),
     )
 
 

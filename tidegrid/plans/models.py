@@ -1 +1,161 @@
+"""Queries on fits, scoring and selection (no SQL counterpart: rows only)."""
 
+from __future__ import annotations
+
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
+
+from tidegrid.functions.times import DAY, shift
+from tidegrid.operators import evaluation, features, models as ops
+from tidegrid.plans.adapters import days, silver, table
+from tidegrid.plans.registry import query
+
+PLAIN = ("price_eur_mwh", "price_lag_1h", "price_lag_24h", "load_mw", "load_lag_1h", "hour")
+SHORT = (1, 12, 24)
+
+
+def gold(spark, d):
+    return features.build_gold(silver(spark, d))
+
+
+def daily_rows(spark, d):
+    """Daily features and the next day's value of each series."""
+    wide = evaluation.baselines(days(spark, d), step_s=DAY)
+    return wide.withColumns({"label": F.col("actual"), "month": F.month("target_ts"), "weekday": F.weekday("target_ts")}).na.drop(
+        subset=["label", "persistence", "daily", "weekly"])
+
+
+DAILY = ("persistence", "daily", "weekly", "month", "weekday")
+YEARS = (1998, 1999)
+HOLDOUT = "2000-01-01"
+
+
+def issue_rows(spark, d, horizons=24):
+    base = silver(spark, d)
+    rows = ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh", horizons=horizons)
+    return rows.filter(F.col("horizon").isin(*SHORT))
+
+
+CALENDAR = ("target_hour", "target_day_of_week", "target_is_weekend")
+
+
+def linear_factory(columns):
+    return lambda horizon: ops.scaled(ops.linear("label", solver="normal"), columns)
+
+
+@query("ml6_fit_linear")
+def _(spark, d):
+    rows = daily_rows(spark, d)
+    model = ops.fit_linear(rows.filter("target_ts < '2000-01-01'"), DAILY)
+    held = model.transform(rows.filter("target_ts >= '2000-01-01'"))
+    return evaluation.error_metrics(held.select("series_id", F.col("label").alias("actual"), F.col("prediction").alias("predicted")), ["series_id"])
+
+
+@query("ml7_linear_family")
+def _(spark, d):
+    small = [c._replace(grid=c.grid[:2]) for c in ops.linear_family(DAILY)]
+    return ops.best_configurations(ops.tune(daily_rows(spark, d), small, YEARS, HOLDOUT))
+
+
+@query("ml8_tree_family")
+def _(spark, d):
+    forest, boosted = ops.tree_family(DAILY)
+    small = [forest._replace(grid=[{"numTrees": 10, "maxDepth": 5}]), boosted._replace(grid=[{"maxIter": 5, "maxDepth": 3}])]
+    return ops.best_configurations(ops.tune(daily_rows(spark, d), small, YEARS[:1], HOLDOUT))
+
+
+@query("ml9_fit_horizons")
+def _(spark, d):
+    columns = (*PLAIN, *CALENDAR)
+    rows = issue_rows(spark, d)
+    models = ops.fit_horizons(rows.filter("target_ts < '2024-01-24'"), lambda h: ops.unscaled(
+        GBTRegressor(featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, seed=h), columns), SHORT)
+    scored = ops.score_horizons(rows.filter("issue >= '2024-01-24'"), models, ["series_id", "issue", "target_ts", "label"])
+    return evaluation.metrics_by_horizon(scored.withColumnsRenamed({"label": "actual", "prediction": "predicted"}), ["series_id"], horizon="horizon")
+
+
+@query("ml10_tune")
+def _(spark, d):
+    family = ops.linear_family(DAILY)
+    return ops.tune(daily_rows(spark, d), [family[0], family[1]._replace(grid=family[1].grid[:2])], YEARS, HOLDOUT)
+
+
+@query("ml11_ablation")
+def _(spark, d):
+    groups = {"time": ("month", "weekday"), "time + last": ("month", "weekday", "persistence"), "all": DAILY}
+    errors = ops.ablation(daily_rows(spark, d), groups, lambda f: ops.scaled(ops.linear("label"), f), "linear", YEARS, HOLDOUT)
+    return evaluation.ablation_aggregate(errors, list(groups), 150.0)
+
+
+@query("ml12_coefficients")
+def _(spark, d):
+    rows = daily_rows(spark, d)
+    return ops.coefficients(ops.fit_linear(rows, DAILY), rows, DAILY, "linear")
+
+
+@query("ml13_score")
+def _(spark, d):
+    table_ = gold(spark, d).withColumn("label", F.col(features.TARGET))
+    model = ops.fit_linear(table_.filter("ts < '2024-01-24'"), PLAIN)
+    return ops.score(table_, model, PLAIN, "2024-01-25", "2024-01-28", label="label")
+
+
+@query("ml14_issue_forecasts")
+def _(spark, d):
+    columns = (*PLAIN, *CALENDAR)
+    base = silver(spark, d)
+    rows = ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh")
+    horizons = tuple(range(1, 25))
+    models = ops.fit_horizons(rows.filter("target_ts < '2024-01-28'"), linear_factory(columns), horizons)
+    issues = features.issue_features(base).filter("ts >= '2024-01-29'")
+    issued, withheld = ops.issue_forecasts(issues, models, columns, "2024-01-29 14:10:00", "linear-1")
+    return issued.unionByName(withheld, allowMissingColumns=True)
+
+
+@query("ml16_isolation_forest")
+def _(spark, d):
+    return ops.isolation_forest(silver(spark, d).select("series_id", "ts", "price_eur_mwh", "load_mw"), ["price_eur_mwh", "load_mw"], 0.01,
+                                key=["series_id", "ts"])
+
+
+@query("ml16_isolation_forest_lines")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                                               (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
+    return ops.isolation_forest(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "unit_price"], 0.05,
+                                key=["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]).filter("is_anomaly")
+
+
+@query("ml17_evaluate_exogenous")
+def _(spark, d):
+    base = silver(spark, d)
+    history = base.select("series_id", "ts", shift("ts", 4200).alias("available_at_utc"), F.col("price_eur_mwh").alias("value"))
+    return ops.evaluate_exogenous(issue_rows(spark, d), linear_factory((*PLAIN, *CALENDAR)), (*PLAIN, *CALENDAR), "2024-01-18 00:00:00",
+                                  "2024-01-24 00:00:00", persistence="price_eur_mwh", history=history, horizons=SHORT)
+
+
+@query("ml18_final_holdout")
+def _(spark, d):
+    metrics, _regimes = ops.final_holdout(gold(spark, d), PLAIN, "2024-01-24", "2024-01-30")
+    return metrics
+
+
+@query("ml18_final_holdout_regimes")
+def _(spark, d):
+    _metrics, regimes = ops.final_holdout(gold(spark, d), PLAIN, "2024-01-24", "2024-01-30")
+    return regimes
+
+
+@query("ml19_nested_selection")
+def _(spark, d):
+    daily = table(spark, d, "orders").groupBy(F.lit("all").alias("series_id"), F.col("o_orderdate").alias("ts")).agg(
+        F.avg("o_totalprice").alias("price_eur_mwh"))
+    wide = daily.withColumns({"month": F.month("ts"), "weekday": F.weekday("ts")})
+    rows = ops.horizon_rows(wide, daily, "price_eur_mwh", horizons=2, step_s=DAY)
+    columns = ("price_eur_mwh", "month", "weekday", "target_month")
+
+    def factory(horizon):
+        return ops.scaled(ops.linear("label", solver="normal", weightCol="weight"), columns)
+
+    return ops.nested_selection(rows, factory, ("full_expanding", "recency_weighted_365d"), "2001-01-01 00:00:00",
+                                horizons=(1, 2), step_s=DAY, min_train=365).aggregate

@@ -1 +1,83 @@
+"""Queries that run a table through a streaming job to the end and read its sink."""
+
+from __future__ import annotations
+
+
+
+from tidegrid.functions.times import shift
+from tidegrid.plans import features  # noqa: F401  registers the batch cooldown and its SQL
+from tidegrid.plans.adapters import F_SQL, H_SQL, M_SQL, K, actuals, forecasts, hours, quarters_all, runs, stored_and_incoming
+from tidegrid.plans.registry import ORACLES, query
+from tidegrid.plans.sources import scratch
+from tidegrid.sources.sinks import publish_table, read_published
+from tidegrid.streaming import jobs
+
+
+def stream_of(df, spark, files: int = 1000):
+    """Write a frame as files in a new folder and read them as a stream.
+
+    The files are written at about the same time, so they come in one batch:
+    in several, rows of a later file could fall behind the watermark.
+    """
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def run(df, spark, mode: str = "append"):
+    """Run a streaming frame over everything available and read what it wrote."""
+    out, checkpoint = scratch(spark), scratch(spark)
+    started = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(
+        availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+# Hours that closed: the watermark ends 48 hours before the newest quarter.
+@query("ss1_stream_hourly", f"""WITH q AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round((avg(value) * {K}) * 1024) / 1024 AS value FROM events GROUP BY 1)
+SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM q GROUP BY 2
+HAVING count(*) = 4 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM q) - INTERVAL 48 HOUR""")
+def _(spark, d):
+    source = quarters_all(spark, d).select("series_id", "ts", "value").repartitionByRange(6, "ts")
+    return run(jobs.stream_hourly(stream_of(source, spark), ["series_id"], ["value"]), spark)
+
+
+@query("ss2_stream_dedupe", f"WITH {H_SQL} SELECT series_id, ts, value FROM h")
+def _(spark, d):
+    base = hours(spark, d)
+    again = base.withColumn("acquired_at_utc", shift("ts", 900))
+    both = base.withColumn("acquired_at_utc", shift("ts", 600)).unionByName(again).repartitionByRange(6, "ts")
+    kept = jobs.stream_dedupe(stream_of(both, spark), ["series_id", "ts"])
+    return run(kept, spark).select("series_id", "ts", "value")
+
+
+@query("ss3_stream_merge", f"""WITH {M_SQL} SELECT coalesce(s.series_id, i.series_id) AS series_id, coalesce(s.ts, i.ts) AS ts,
+  CASE WHEN s.ts IS NULL THEN i.price ELSE coalesce(s.price, i.price) END AS price,
+  CASE WHEN s.ts IS NULL OR (i.ts >= TIMESTAMP '1998-06-01 00:00:00' AND i.ts < TIMESTAMP '1999-03-01 00:00:00' AND i.total IS NOT NULL) THEN i.total ELSE s.total END AS total
+FROM stored s FULL JOIN incoming i ON i.series_id = s.series_id AND i.ts = s.ts""")
+def _(spark, d):
+    stored, incoming = stored_and_incoming(spark, d)
+    root = scratch(spark)
+    publish_table(stored, root)
+    source = stream_of(incoming.repartitionByRange(4, "ts"), spark, 2)
+    jobs.stream_merge(source, root, ["series_id", "ts"], ("1998-06-01 00:00:00", "1999-03-01 00:00:00"),
+                      checkpoint=scratch(spark)).awaitTermination()
+    return read_published(spark, root)
+
+
+@query("ss4_stream_realized", f"""WITH {F_SQL} SELECT f.series_id, model_release, forecast_issue_time, CAST(horizon_hours AS INTEGER) AS horizon_hours, f.target_timestamp,
+  predicted_price_eur_mwh - a.price_eur_mwh AS signed_error
+FROM history f JOIN actual a ON a.series_id = f.series_id AND a.target_timestamp = f.target_timestamp WHERE issued_at_utc < f.target_timestamp""")
+def _(spark, d):
+    issued = stream_of(forecasts(spark, d).repartitionByRange(4, "target_timestamp"), spark)
+    seen = stream_of(actuals(spark, d).repartitionByRange(4, "target_timestamp"), spark)
+    return run(jobs.stream_realized(issued, seen), spark).select(
+        "series_id", "model_release", "forecast_issue_time", "horizon_hours", "target_timestamp", "signed_error")
+
+
+@query("ss5_stream_cooldown", ORACLES["wn17_cooldown"])
+def _(spark, d):
+    events = runs(spark, d).select("component", "run_time", "id").repartitionByRange(6, "run_time")
+    return run(jobs.stream_cooldown(stream_of(events, spark), ["component"], 60), spark)
+
 
