@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.checks import DataContractError
 from tidegrid.functions.scalars import number
-from tidegrid.functions.times import HOUR, calendar, elapsed_seconds, epoch, instant, shift
+from tidegrid.functions.times import HOUR, calendar, elapsed_seconds, shift
 from tidegrid.operators.joins import renewable
 from tidegrid.operators.merge import newest_per
 from tidegrid.operators.scale import TimeFrame, ranked, salted_join
+from tidegrid.session import written
 
 WEEK = 168 * HOUR
 
@@ -286,7 +287,7 @@ def active_incidents(df: DataFrame, keys: Sequence[str] = ("component", "event_t
 
 
 def cooldown(df: DataFrame, keys: Sequence[str], minutes: int, ts: str = "ts", tie: str = "id",
-             block_s: int | None = None) -> DataFrame:
+             rows_per_block: int = 200_000) -> DataFrame:
     """Drop an event that follows the last *kept* event of its key within ``minutes``.
 
     The chain of kept events is sequential, but only through one number: the
@@ -294,15 +295,21 @@ def cooldown(df: DataFrame, keys: Sequence[str], minutes: int, ts: str = "ts", t
     to a step function from entry time to the last kept time in the block; the
     functions of a key, one short list per block, are chained; then every block
     marks its kept events on its own. Events at one instant keep the first.
+    Blocks are runs of minutes with about ``rows_per_block`` instants, so a
+    busy key is cut into more of them.
     """
     keys = list(keys)
     gap = minutes * 60 * 1_000_000
-    block = (block_s or max(minutes * 60 * 64, 3600)) * 1_000_000
     if gap == 0:
         return df
     first = F.min(F.struct(F.col(tie).alias("t"), F.struct(*df.columns).alias("row")))["row"]
     instants = df.groupBy(*keys, F.unix_micros(ts).alias("_us")).agg(first.alias("_row"))
-    blocked = instants.withColumn("_block", F.floor(F.col("_us") / block))
+    minute = F.floor(F.col("_us") / 60_000_000)
+    line = Window.partitionBy(*keys).orderBy("_minute")
+    blocks = instants.groupBy(*keys, minute.alias("_minute")).agg(F.count("*").alias("_n")).withColumn(
+        "_block", F.floor((F.sum("_n").over(line) - F.col("_n")) / rows_per_block)).drop("_n")
+    # Read by the step functions, the marks and the result: written once.
+    blocked = written(instants.withColumn("_minute", minute).join(blocks, [*keys, "_minute"]).drop("_minute"))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
     def step_function(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -366,12 +373,3 @@ def missing_inputs(issues: DataFrame, hourly: DataFrame, keys: Sequence[str], la
         F.sort_array(F.collect_list(F.when(in_lags, F.col("_back")))).alias("missing_lag_hours"),
         F.sort_array(F.collect_list(F.when(in_window, F.col("_back")))).alias("missing_window_hours"),
     )
-
-
-def now_filter(df: DataFrame, now, ts: str = "ts") -> DataFrame:
-    """Hours that ended before the hour of ``now``."""
-    return df.filter(F.col(ts) < F.date_trunc("hour", instant(now)))
-
-
-def position_of(ts: str) -> Column:
-    return epoch(ts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.checks import duplicate_keys, ensure_none
 from tidegrid.functions.scalars import is_finite, number, revision_rank, same_cell
 from tidegrid.functions.times import DAY, HOUR, calendar, elapsed_seconds, epoch, floor_to, instant, shift
-from tidegrid.operators.scale import BUCKET, TimeFrame
+from tidegrid.operators.scale import BUCKET, TimeFrame, salted_join
 
 KEYS = ("series_id", "ts")
 
@@ -24,9 +24,8 @@ def build_silver(prices: DataFrame, load: DataFrame, generation: DataFrame, weat
 
 def join_monthly(df: DataFrame, monthly: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
     """Attach the month's row to every row of that month, keeping rows without one."""
-    return df.withColumn("month_start", F.date_trunc("month", ts)).join(
-        monthly, [*keys, "month_start"], "left"
-    )
+    dated = df.withColumn("month_start", F.date_trunc("month", ts))
+    return salted_join(dated, monthly, [*keys, "month_start"], "left")
 
 
 def value_at_offset(df: DataFrame, keys: Sequence[str], value: str, offset_s: int, out: str,
@@ -410,10 +409,10 @@ def compare_coverage(targets: DataFrame, source: DataFrame, stored: DataFrame, k
     if history_start is not None:
         start = F.greatest(start, instant(history_start))
     end = floor_to(instant(now), HOUR)
+    states = targets.select(*keys, ts).join(state(source, "source_state"), [*keys, ts], "left").join(
+        state(stored, "stored_state"), [*keys, ts], "left")
     return (
-        targets.select(*keys, ts).join(state(source, "source_state"), [*keys, ts], "left")
-        .join(state(stored, "stored_state"), [*keys, ts], "left")
-        .join(latest, keys, "left")
+        salted_join(states, latest, keys, "left")
         .select(
             *keys, ts,
             F.coalesce("source_state", F.lit("ABSENT")).alias("source_state"),

@@ -56,13 +56,13 @@ def oldest_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 def vintage_conflicts(df: DataFrame, identity: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Identities whose rows disagree in some value; null counts as a value of its own."""
-    changes = [
-        (F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"_d_{c}") for c in values
-    ]
-    differs = F.greatest(*[F.col(f"_d_{c}") for c in values], F.lit(0))
+    facts, differs = [], F.lit(False)
+    for c in values:
+        facts += [F.min(c).alias(f"_low_{c}"), F.max(c).alias(f"_high_{c}"), F.count(c).alias(f"_n_{c}")]
+        partly = (F.col(f"_n_{c}") > 0) & (F.col(f"_n_{c}") < F.col("rows"))
+        differs = differs | F.coalesce(F.col(f"_low_{c}") != F.col(f"_high_{c}"), F.lit(False)) | partly
     return (
-        df.groupBy(*identity).agg(F.count("*").alias("rows"), *changes)
-        .filter(differs > 1).select(*identity, "rows")
+        df.groupBy(*identity).agg(F.count("*").alias("rows"), *facts).filter(differs).select(*identity, "rows")
     )
 
 

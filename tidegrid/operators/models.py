@@ -25,7 +25,7 @@ from tidegrid.operators.joins import attach_targets, weekly_asof
 from tidegrid.operators.ranking import best_per_family, preferred_strategy
 from tidegrid.operators.scale import exact_quantiles
 from tidegrid.operators.stats import max_abs_corr
-from tidegrid.session import checkpointed
+from tidegrid.session import checkpointed, written
 
 Factory = Callable[[int], Estimator]
 
@@ -113,12 +113,19 @@ def horizon_rows(features: DataFrame, prices: DataFrame, value: str, keys: Seque
     return long.withColumnRenamed("target_value", "label").withColumns(calendar("target_ts", "target_"))
 
 
+def by_horizon(rows: DataFrame, extra: Sequence[str] = (), horizon: str = "horizon") -> DataFrame:
+    """The rows as a written table with one folder per horizon (and ``extra`` column)."""
+    return written(rows, (*extra, horizon))
+
+
 def fit_horizons(rows: DataFrame, factory: Factory, horizons: Sequence[int], threads: int = 4,
                  horizon: str = "horizon") -> dict[int, Model]:
     """One independent model per horizon.
 
     Every fit is a distributed job over the rows of its horizon; a small driver
-    pool keeps several jobs in flight. No horizon is pulled into one task.
+    pool keeps several jobs in flight. No horizon is pulled into one task. Give
+    it a table written by horizon (``by_horizon``), so that a fit reads only
+    its own partition.
     """
     estimators = {h: factory(h) for h in horizons}
     if len({id(e) for e in estimators.values()}) != len(estimators):
@@ -186,7 +193,7 @@ def issue_forecasts(issues: DataFrame, models: Mapping[int, Model], features: Se
 
 # --- selection ------------------------------------------------------------------------------
 
-def predict_folds(rows: DataFrame, folds: DataFrame, estimator: Pipeline, periods: Sequence[str]) -> DataFrame:
+def predict_folds(folds: DataFrame, estimator: Pipeline, periods: Sequence[str]) -> DataFrame:
     """Validation predictions of every fold, each by a model fitted on that fold's training rows."""
     out = None
     for period in periods:
@@ -195,7 +202,6 @@ def predict_folds(rows: DataFrame, folds: DataFrame, estimator: Pipeline, period
         scored = model.transform(part.filter("role = 'validation'")).select(
             "validation_period", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
         out = scored if out is None else out.unionByName(scored)
-    del rows
     return out
 
 
@@ -205,11 +211,11 @@ def tune(df: DataFrame, candidates: Sequence[Candidate], years: Sequence[int], h
     Folds are by target time; random folds would leak. Fits are distributed
     jobs, the driver only loops over configurations.
     """
-    folds = checkpointed(expanding_folds(df, years, holdout))
+    folds = written(expanding_folds(df, years, holdout), ("validation_period", "role"))
     out = None
     for c in candidates:
         for params in c.grid:
-            scored = predict_folds(df, folds, configured(c.estimator, params), [str(y) for y in years])
+            scored = predict_folds(folds, configured(c.estimator, params), [str(y) for y in years])
             errors = error_metrics(scored, ["validation_period"]).withColumns({
                 "model_name": F.lit(c.name), "simplicity_rank": F.lit(c.simplicity),
                 "selected_hyperparameters": F.lit(str(dict(sorted(params.items()))))})
@@ -229,10 +235,10 @@ def best_configurations(errors: DataFrame) -> DataFrame:
 def ablation(df: DataFrame, groups: Mapping[str, Sequence[str]], factory: Callable[[Sequence[str]], Pipeline],
              model_name: str, years: Sequence[int], holdout: str) -> DataFrame:
     """Fold errors of one model on cumulative feature groups."""
-    folds = checkpointed(expanding_folds(df, years, holdout))
+    folds = written(expanding_folds(df, years, holdout), ("validation_period", "role"))
     out = None
     for name, features in groups.items():
-        scored = predict_folds(df, folds, factory(features), [str(y) for y in years])
+        scored = predict_folds(folds, factory(features), [str(y) for y in years])
         errors = error_metrics(scored, ["validation_period"]).withColumns({
             "model_name": F.lit(model_name), "feature_group": F.lit(name), "feature_count": F.lit(len(features))})
         out = errors if out is None else out.unionByName(errors)
@@ -286,7 +292,7 @@ def evaluate_exogenous(rows: DataFrame, factory: Factory, features: Sequence[str
     is also reported on exactly the pairs that the baseline has.
     """
     whole = with_last_target(rows, ["series_id", "issue"])
-    parts = checkpointed(purged_split(whole, validation_start, test_start, F.col("last_target")))
+    parts = by_horizon(purged_split(whole, validation_start, test_start, F.col("last_target")), ("split",))
     models = fit_horizons(parts.filter("split = 'train'"), factory, horizons)
     held = parts.filter("split <> 'train'")
     keep = ["series_id", "issue", "target_ts", "split", "label", persistence]
@@ -327,7 +333,7 @@ def nested_selection(rows: DataFrame, factory: Factory, strategies: Sequence[str
     weight). Test rows are never read before the strategy is fixed.
     """
     keys = ["series_id"]
-    whole = checkpointed(with_last_target(rows, ["series_id", "issue"]))
+    whole = by_horizon(with_last_target(rows, ["series_id", "issue"]))
     before = whole.filter(F.col("last_target") < instant(test_start))
     issues = before.select("series_id", "issue").distinct()
     folds = rolling_folds(issues, test_start, keys, step_s=step_s, horizons=max(horizons), min_train=min_train)

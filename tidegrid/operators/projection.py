@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.checks import ensure_none
 from tidegrid.functions.scalars import has_explicit_zone, number
 from tidegrid.functions.times import DAY, HOUR, instant
-from tidegrid.operators.scale import nearest_known, ranked
+from tidegrid.operators.scale import nearest_known, ranked, salted_join
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,12 +130,13 @@ def factorize(df: DataFrame, column: str, order: str, out: str | None = None, wi
     """Codes 0, 1, 2, ... by first appearance in the order of a unique integer column; null is -1.
 
     Only the first order value of each category is ranked, by buckets; the
-    codes are joined back, by broadcast where Spark finds them small.
+    codes are joined back with salt, because one category may be most rows.
     """
     firsts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
     codes = ranked(firsts, [], "_first", width=width, out="_rank", position=F.col("_first"))
     name = out or f"{column}_encoded"
-    return df.join(codes.select(column, (F.col("_rank") - 1).alias(name)), column, "left").withColumn(
+    per_value = codes.select(column, (F.col("_rank") - 1).alias(name))
+    return salted_join(df, per_value, [column], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(-1)).cast("long"))
 
 

@@ -11,7 +11,7 @@ from tidegrid.functions.scalars import close, is_finite, number
 from tidegrid.functions.times import DAY, HOUR, elapsed_seconds, epoch, instant, is_exact, shift
 from tidegrid.operators.evaluation import realized_performance
 from tidegrid.operators.projection import horizon_consistent, vocabulary_violations
-from tidegrid.operators.scale import TimeFrame, with_previous
+from tidegrid.operators.scale import TimeFrame, salted_join, with_previous
 from tidegrid.operators.stats import FAILED_STATUSES, vintage_coverage
 
 NUCLEAR_SHUTDOWN = "2023-04-15 22:00:00"  # Fixed value: nuclear output is absent from here on.
@@ -284,7 +284,7 @@ def vintage_health(df: DataFrame, now, keys: Sequence[str] = ("document_type", "
     """State of each vintage source from its newest cycle: age, coverage, duplicates, failures."""
     keys = list(keys)
     newest = df.groupBy(*keys).agg(F.max(cycle).alias("_cycle"))
-    rows = df.join(F.broadcast(newest), [*keys]).filter(F.col(cycle) == F.col("_cycle"))
+    rows = salted_join(df, newest, keys).filter(F.col(cycle) == F.col("_cycle"))
     acquired = rows.groupBy(*keys).agg(
         F.max("acquired_at_utc").alias("latest_acquired"), F.count("*").alias("newest_rows"),
         F.max("_cycle").alias("latest_cycle"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.times import epoch
+from tidegrid.session import written
 
 BUCKET = "_bucket"
 HOME = "_home"
@@ -143,13 +144,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     keys = list(keys)
     key_list = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
-    counted = (
+    # Three branches read the counts: they are written once instead of being
+    # recomputed from the input for the bounds, the totals and the picked ranges.
+    counted = written(
         source.filter(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*key_list, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    # The sum keeps the count column in this branch, so that Spark reuses one
-    # shuffle of ``counted`` for the bounds, the totals and the picked ranges.
     bounds = counted.groupBy(*key_list).agg(
         F.percentile_approx("_v", [i / splits for i in range(1, splits)], 10_000).alias("_bounds"),
         F.sum("_c").alias("_n"),

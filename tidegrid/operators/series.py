@@ -237,12 +237,14 @@ def hourly_vintages(df: DataFrame, keys: Sequence[str] = VINTAGE_KEYS) -> DataFr
     """
     finite = is_finite("value_mw")
     hourly = df.groupBy(*keys, floor_to("target_timestamp", HOUR).alias("target_hour")).agg(
-        F.count("*").alias("_rows"), F.countDistinct("target_timestamp").alias("_times"),
-        F.min(is_exact("target_timestamp", QUARTER)).alias("_quarter"),
+        F.count("*").alias("_rows"), F.min(is_exact("target_timestamp", QUARTER)).alias("_quarter"),
+        *[F.count_if(F.minute("target_timestamp") == m).alias(f"_at_{m}") for m in (0, 15, 30, 45)],
         F.min(is_exact("target_timestamp", HOUR)).alias("_hour"),
         F.count_if(~finite).alias("_bad"), F.avg(F.when(finite, F.col("value_mw"))).alias("value_mw"),
     )
-    full = (F.col("_rows") == 4) & (F.col("_times") == 4) & F.col("_quarter")
+    full = (F.col("_rows") == 4) & F.col("_quarter")
+    for m in (0, 15, 30, 45):
+        full = full & (F.col(f"_at_{m}") == 1)
     single = (F.col("_rows") == 1) & F.col("_hour")
     supported = F.coalesce(F.col("resolution").isin(*RESOLUTION_SECONDS), F.lit(False))
     reason = (
@@ -252,7 +254,7 @@ def hourly_vintages(df: DataFrame, keys: Sequence[str] = VINTAGE_KEYS) -> DataFr
         .when(F.col("_bad") > 0, "non_finite_value")
     )
     return hourly.withColumn("reject_reason", reason).drop(
-        "_rows", "_times", "_quarter", "_hour", "_bad"
+        "_rows", "_quarter", "_hour", "_bad", "_at_0", "_at_15", "_at_30", "_at_45"
     )
 
 

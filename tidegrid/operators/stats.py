@@ -239,7 +239,7 @@ def vintage_coverage(df: DataFrame, keys: Sequence[str] = ("document_id", "revis
         F.min(target).alias("first_ts"), F.max(target).alias("last_ts"), F.count("*").alias("observed_slots"))
     expected = F.floor((epoch("last_ts") - epoch("first_ts")) / step) + 1
     on_grid = F.pmod(epoch(target) - epoch("first_ts"), step) == 0
-    placed = seen.join(groups.select(*keys, "first_ts"), keys).groupBy(*keys).agg(
+    placed = salted_join(seen, groups.select(*keys, "first_ts"), keys).groupBy(*keys).agg(
         F.count_if(on_grid).alias("_hit"))
     absent = None
     for text, seconds in (("PT15M", 900), ("PT60M", 3600)):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from tidegrid.functions.times import DAY, HOUR, QUARTER, floor_to, shift
 
@@ -23,10 +24,17 @@ def on_grid(column):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table with zone-less timestamps read as UTC instants."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    casts = {c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}
-    return df.withColumns(casts) if casts else df
+    """A driver table with zone-less timestamps declared as UTC instants.
+
+    Declaring the type at the scan, instead of casting after it, lets time
+    filters reach the Parquet reader.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    stored = spark.read.parquet(path).schema
+    declared = StructType([
+        StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType, f.nullable)
+        for f in stored])
+    return spark.read.schema(declared).parquet(path)
 
 
 # --- Q: quarter-hour observations of each event type -------------------------

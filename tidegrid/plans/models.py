@@ -67,7 +67,7 @@ def _(spark, d):
 @query("ml9_fit_horizons")
 def _(spark, d):
     columns = (*PLAIN, *CALENDAR)
-    rows = issue_rows(spark, d)
+    rows = ops.by_horizon(issue_rows(spark, d))
     models = ops.fit_horizons(rows.filter("target_ts < '2024-01-24'"), lambda h: ops.unscaled(
         GBTRegressor(featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, seed=h), columns), SHORT)
     scored = ops.score_horizons(rows.filter("issue >= '2024-01-24'"), models, ["series_id", "issue", "target_ts", "label"])
@@ -104,9 +104,9 @@ def _(spark, d):
 def _(spark, d):
     columns = (*PLAIN, *CALENDAR)
     base = silver(spark, d)
-    rows = ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh")
+    rows = ops.by_horizon(ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh").filter("target_ts < '2024-01-28'"))
     horizons = tuple(range(1, 25))
-    models = ops.fit_horizons(rows.filter("target_ts < '2024-01-28'"), linear_factory(columns), horizons)
+    models = ops.fit_horizons(rows, linear_factory(columns), horizons)
     issues = features.issue_features(base).filter("ts >= '2024-01-29'")
     issued, withheld = ops.issue_forecasts(issues, models, columns, "2024-01-29 14:10:00", "linear-1")
     return issued.unionByName(withheld, allowMissingColumns=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For a frame that many jobs read in part: each job then reads only the
+    columns and partitions it needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidegrid-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
