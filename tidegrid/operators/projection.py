@@ -120,8 +120,8 @@ def fill_series(df: DataFrame, keys: Sequence[str], columns: Sequence[str], zero
     out = ranked(df, keys, ts, width=365 * DAY)
     for c in columns:
         out = nearest_known(out, keys, "rn", c, width=width, before="_b", after="_a")
-        share = (F.col("rn") - F.col("_b.at")) / F.nullif(F.col("_a.at") - F.col("_b.at"), F.lit(0))
-        between = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share
+        rise = (F.col("_a.v") - F.col("_b.v")) * (F.col("rn") - F.col("_b.at"))
+        between = F.col("_b.v") + rise / F.nullif(F.col("_a.at") - F.col("_b.at"), F.lit(0))
         out = out.withColumn(c, F.coalesce(F.col(c), between, F.col("_a.v"), F.col("_b.v"))).drop("_a", "_b")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in zero}).drop("rn")
 

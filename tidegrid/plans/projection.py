@@ -181,14 +181,14 @@ def _(spark, d):
     CASE WHEN orders % 2 = 0 THEN NULL ELSE total END AS rain, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM dd),
 near AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY rn) AS b,
     first_value(CASE WHEN v IS NOT NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM holes)
-SELECT n.series_id, n.ts, round(coalesce(n.v, pb.v + (pa.v - pb.v) * (n.rn - n.b) / nullif(n.a - n.b, 0), pa.v, pb.v), 9) AS v,
+SELECT n.series_id, n.ts, coalesce(n.v, pb.v + (pa.v - pb.v) * (n.rn - n.b) / nullif(n.a - n.b, 0), pa.v, pb.v) AS v,
   coalesce(n.rain, 0) AS rain FROM near n LEFT JOIN holes pb ON pb.series_id = n.series_id AND pb.rn = n.b
   LEFT JOIN holes pa ON pa.series_id = n.series_id AND pa.rn = n.a""")
 def _(spark, d):
     holes = days(spark, d).select(
         "series_id", "ts", F.when(~((F.col("orders") % 3 == 0) | (F.dayofmonth("ts") <= 2)), F.col("price_eur_mwh")).alias("v"),
         F.when(F.col("orders") % 2 != 0, F.col("total")).alias("rain"))
-    return ops.fill_series(holes, ["series_id"], ["v"], ["rain"]).withColumn("v", F.round("v", 9))
+    return ops.fill_series(holes, ["series_id"], ["v"], ["rain"])
 
 
 @query("prj18_factorize", """WITH f AS (SELECT event_type, min(event_id) AS first_id FROM events GROUP BY 1),

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: str | None = None  # of a local session without a configured folder
+
 
 def build_session(app: str = "tidegrid", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` overrides any setting."""
@@ -39,9 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-    scratch = tempfile.mkdtemp(prefix="tidegrid-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    global _scratch
+    _scratch = _scratch or tempfile.mkdtemp(prefix="tidegrid-")
+    return _scratch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
