@@ -55,18 +55,21 @@ def ingest_increment(stored: DataFrame, source: DataFrame, kind: str, now, start
     """Read the due range, report its gaps, and merge it under the revision window.
 
     Rows after a gap are kept; nothing is filled. Only the overlap before the
-    end of the range may revise stored values.
+    end of the range may revise stored values. Stored rows outside the range
+    cannot change, so they are passed on without a join.
     """
     end = floor_to(instant(now), HOUR)
-    due = source.filter(between_ts(ts, start, end))
+    inside = between_ts(ts, start, end)
+    due, held, rest = source.filter(inside), stored.filter(inside), stored.filter(~inside)
     gaps = gap_report(due, keys, start, step_s, ts)
     window = (F.greatest(instant(start), shift(end, -overlap_s)), end)
     row_keys = [*keys, ts]
     if kind == "price":
-        merged = merge_prices(stored, due, row_keys, ts=ts, window=window)
+        merged = merge_prices(held, due, row_keys, ts=ts, window=window)
     else:
-        merged = merge_revisions(stored, due, row_keys, ts=ts, window=window, retain=True)
-    return Increment(merged, gaps)
+        merged = merge_revisions(held, due, row_keys, ts=ts, window=window, retain=True)
+    data = rest.unionByName(merged.data, allowMissingColumns=True)
+    return Increment(Merge(data, merged.audit), gaps)
 
 
 def trim_unpublished(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str = "ts",

@@ -316,21 +316,32 @@ def overlapping_periods(periods: DataFrame, keys: Sequence[str], order: Sequence
                         width_s: int = 64 * DAY) -> DataFrame:
     """Periods that start before an earlier period of their key has ended.
 
-    Running maximum of the end inside time buckets; the maximum end of all
-    earlier buckets comes from a table with one row per bucket.
+    Periods collapse to one row per start time; a running maximum of the end
+    inside time buckets, carried on by a table with one row per bucket, then
+    says how far the earlier starts reach. ``previous_end`` is the latest of
+    these ends and of the first lasting period with the same start.
     """
     keys = list(keys)
-    bucketed = periods.withColumn(BUCKET, F.floor(epoch("start_ts") / width_s))
-    per_bucket = bucketed.groupBy(*keys, BUCKET).agg(F.max("end_ts").alias("_end"))
+    start, *ties = order
+    # One row per start time: its latest end, and its first period that lasts.
+    lasting = F.when(F.col("end_ts") > F.col(start), F.struct(*ties, "end_ts"))
+    starts = periods.groupBy(*keys, start).agg(F.max("end_ts").alias("_end"), F.min(lasting).alias("_first"))
+    starts = starts.withColumn(BUCKET, F.floor(epoch(start) / width_s))
+    per_bucket = starts.groupBy(*keys, BUCKET).agg(F.max("_end").alias("_max"))
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.withColumn("_carried", F.max("_end").over(earlier)).drop("_end")
-    local = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.withColumn("_carried", F.max("_max").over(earlier)).drop("_max")
+    local = Window.partitionBy(*keys, BUCKET).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    known = (
+        starts.withColumn("_local", F.max("_end").over(local)).join(carried, [*keys, BUCKET])
+        .select(*keys, start, "_first", F.greatest("_local", "_carried").alias("_before"))
+    )
+    follows = F.struct(*ties) > F.struct(*[F.col(f"_first.{c}").alias(c) for c in ties])
+    same_start = F.when(follows, F.col("_first.end_ts"))
     return (
-        bucketed.withColumn("_local", F.max("end_ts").over(local))
-        .join(carried, [*keys, BUCKET])
-        .withColumn("previous_end", F.greatest("_local", "_carried"))
-        .filter("previous_end > start_ts")
-        .drop(BUCKET, "_local", "_carried")
+        salted_join(periods, known, [*keys, start])
+        .withColumn("previous_end", F.greatest("_before", same_start))
+        .filter(F.col("previous_end") > F.col(start))
+        .drop("_before", "_first")
     )
 
 
@@ -349,6 +360,16 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*b.columns).distinct().join(b, list(b.columns), "left_anti")
 
 
+def stored_overlap(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows whose key is delivered again.
+
+    Taken first, so that checks and anti joins read this small part and the
+    stored table is passed over once, without a shuffle where Spark finds the
+    delivered keys small enough to broadcast.
+    """
+    return stored.join(incoming.select(*keys), list(keys), "left_semi")
+
+
 def verify_receipts(history: DataFrame, receipts: DataFrame, window_s: int = 300,
                     check: bool = True) -> DataFrame:
     """History rows proved by a receipt with the same key and value, completed in

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tidegrid.checks import DataContractError, ensure_none, ensure_unique
 from tidegrid.functions.scalars import same_cell
 from tidegrid.functions.times import between_ts, instant
-from tidegrid.operators.joins import missing_keys, new_rows, overlap_conflicts
+from tidegrid.operators.joins import missing_keys, new_rows, overlap_conflicts, stored_overlap
 from tidegrid.operators.series import RESOLUTION_SECONDS
-from tidegrid.session import checkpointed
+from tidegrid.session import checkpointed, written
 
 REPAIRED, REVISED, PROTECTED = "repaired", "revised", "protected"
 
@@ -87,9 +87,11 @@ def merge_strict(stored: DataFrame, incoming: DataFrame, keys: Sequence[str],
     """Stored rows plus unseen incoming rows; overlapping rows must be equal."""
     if not allow_column_union and set(stored.columns) != set(incoming.columns):
         raise DataContractError("Incoming schema does not match the stored schema")
+    overlap = stored_overlap(stored, incoming, keys)
     if check:
-        ensure_none(overlap_conflicts(stored, incoming, keys), "Overlapping rows differ")
-    return stored.unionByName(new_rows(stored, incoming, keys), allowMissingColumns=True)
+        overlap = written(overlap)
+        ensure_none(overlap_conflicts(overlap, incoming, keys), "Overlapping rows differ")
+    return stored.unionByName(new_rows(overlap, incoming, keys), allowMissingColumns=True)
 
 
 def _merged(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], ts: str, window) -> tuple:
@@ -215,15 +217,17 @@ def repair_interval(stored: DataFrame, incoming: DataFrame, keys: Sequence[str],
     days = (_date(end) - _date(start)).total_seconds() / 86400
     if not 0 < days <= 7:
         raise DataContractError("A repair interval must be positive and at most seven days")
-    held = stored.filter(between_ts(ts, start, end))
+    inside = between_ts(ts, start, end)
+    held, rest = stored.filter(inside), stored.filter(~inside)  # only the interval is joined
     known = [c for c in stored.columns if c in incoming.columns]
     usable = incoming.select(*known).join(held.select(*keys), list(keys), "left_semi")
-    frame, columns = _merged(stored, usable, keys, ts, None)
+    frame, columns = _merged(held, usable, keys, ts, None)
     if check:
         frame = checkpointed(frame)
         conflict = F.array_contains(F.array(*[F.col(f"_outcome.{c}") for c in columns]), PROTECTED)
         ensure_none(frame.filter(conflict).select(*keys), "A repair cannot change a stored value")
-    return Merge(frame.drop("_outcome", "_added"), _audit(frame, columns, ts))
+    data = rest.unionByName(frame.drop("_outcome", "_added"))
+    return Merge(data, _audit(frame, columns, ts))
 
 
 def _date(text: str):

@@ -452,6 +452,7 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
             lengths += length[at]
         return pd.Series(np.power(2.0, -(lengths / len(forest.value)) / normal))
 
-    scored = rows.withColumn("anomaly_score", depth_score(*[F.col(c).cast("double") for c in columns]))
+    # Scored once, read for the cut and for the result.
+    scored = written(rows.withColumn("anomaly_score", depth_score(*[F.col(c).cast("double") for c in columns])))
     cut = exact_quantiles(scored.select("anomaly_score"), [], "anomaly_score", [1.0 - contamination]).first()["quantiles"][0]
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidegrid.checks import ensure_none
-from tidegrid.operators.joins import new_rows, overlap_conflicts
+from tidegrid.operators.joins import new_rows, overlap_conflicts, stored_overlap
 from tidegrid.operators.quality import check_forecast
+from tidegrid.session import written
 
 
 def append_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
@@ -18,15 +19,17 @@ def append_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], chec
 
     An empty result is a no-op for the caller: nothing has to be written.
     """
+    overlap = stored_overlap(stored, incoming, keys)
     if check:
-        ensure_none(overlap_conflicts(stored, incoming, keys), "Overlapping rows differ")
-    return new_rows(stored, incoming, keys)
+        overlap = written(overlap)
+        ensure_none(overlap_conflicts(overlap, incoming, keys), "Overlapping rows differ")
+    return new_rows(overlap, incoming, keys)
 
 
 def append_to(path: str, stored: DataFrame, incoming: DataFrame, keys: Sequence[str],
               partition_by: Sequence[str] = ()) -> int:
     """Append unseen rows to a Parquet table; returns how many, and writes nothing for none."""
-    fresh = append_new(stored, incoming, keys)
+    fresh = written(append_new(stored, incoming, keys))  # counted and appended
     count = fresh.count()
     if count:
         fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
@@ -46,6 +49,11 @@ def publish_table(df: DataFrame, root: str, partition_by: Sequence[str] = ()) ->
     return version
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions that ``df`` has rows for, for example the changed months."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         pointer = spark.read.schema("version int").json(f"{root}/current")
