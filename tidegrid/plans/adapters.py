@@ -90,7 +90,7 @@ S_SQL = f"""s AS (
   SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts,
     round(((avg(value) - 42) * {K} * 5) * 1024) / 1024 AS price_eur_mwh,
     round((sum(value)) * 1024) / 1024 AS load_mw,
-    max(value) AS biomass_mw, min(value) AS lignite_mw,
+    round((max(value)) * 1024) / 1024 AS biomass_mw, round((min(value)) * 1024) / 1024 AS lignite_mw,
     round((avg(value) * {K} / 2) * 1024) / 1024 AS gas_mw, CAST(count(*) AS DOUBLE) AS hard_coal_mw,
     round((avg(value) * {K} / 4) * 1024) / 1024 AS hydro_mw,
     round((sum(value) FILTER (WHERE event_type = 'error')) * 1024) / 1024 AS nuclear_mw,
@@ -101,8 +101,8 @@ S_SQL = f"""s AS (
       + round((coalesce(sum(value) FILTER (WHERE event_type = 'signup'), 0)) * 1024) / 1024 AS wind_total_mw,
     round((avg(user_id) * {K}) * 1024) / 1024 AS temperature_2m,
     least(100.0, round((avg(value) * {K}) * 1024) / 1024) AS relative_humidity_2m,
-    min(value) AS wind_speed_10m, least(100.0, max(value)) AS cloud_cover,
-    round((max(value) * 2) * 1024) / 1024 AS shortwave_radiation
+    round((min(value)) * 1024) / 1024 AS wind_speed_10m, least(100.0, round((max(value)) * 1024) / 1024) AS cloud_cover,
+    round((max(value)) * 1024) / 1024 * 2 AS shortwave_radiation
   FROM events GROUP BY 1, 2)"""
 
 
@@ -110,7 +110,7 @@ def silver(spark, d) -> DataFrame:
     def of_type(kind):
         return F.sum(F.when(F.col("event_type") == kind, F.col("value")))
 
-    mean, top, low = F.avg("value"), F.max("value"), F.min("value")
+    mean, top, low = F.avg("value"), on_grid(F.max("value")), on_grid(F.min("value"))
     offshore = on_grid(F.coalesce(of_type("view"), F.lit(0.0)))
     onshore = on_grid(F.coalesce(of_type("signup"), F.lit(0.0)))
     return (
@@ -128,7 +128,7 @@ def silver(spark, d) -> DataFrame:
             on_grid(F.avg("user_id") * K).alias("temperature_2m"),
             F.least(F.lit(100.0), on_grid(mean * K)).alias("relative_humidity_2m"),
             low.alias("wind_speed_10m"), F.least(F.lit(100.0), top).alias("cloud_cover"),
-            on_grid(top * 2).alias("shortwave_radiation"),
+            (top * 2).alias("shortwave_radiation"),
         )
         .withColumn("series_id", F.lit("all"))
     )
