@@ -72,6 +72,13 @@ def test_published_versions_and_pointer(spark, tmp_path):
     assert sinks.read_published(spark, root).count() == 2
 
 
+def test_only_delivered_partitions_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "m")
+    sinks.overwrite_partitions(table(spark, "month string, v int", [("01", 1), ("02", 2)]), path, ["month"])
+    sinks.overwrite_partitions(table(spark, "month string, v int", [("02", 5)]), path, ["month"])
+    assert values(spark.read.parquet(path), "v") == [(1,), (5,)]
+
+
 def issue(spark, rows=24, shift=0.0, issued="2026-01-01 00:05:00"):
     columns = "series_id string, model_release string, forecast_issue_time timestamp, target_timestamp timestamp, horizon_hours int, predicted_price_eur_mwh double, issued_at_utc timestamp"
     return table(spark, columns, [("one", "m", "2026-01-01 00:00:00", f"2026-01-0{1 + h // 24} {h % 24:02d}:00:00", h, h + shift, issued) for h in range(1, rows + 1)])

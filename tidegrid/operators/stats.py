@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.times import DAY, HOUR, elapsed_seconds, epoch, floor_to, instant, iso_duration_seconds, shift
+from tidegrid.functions.times import DAY, HOUR, elapsed_seconds, epoch, instant, iso_duration_seconds, shift
 from tidegrid.operators.scale import exact_quantiles, salted_join, with_previous
 from tidegrid.operators.series import spine
 

@@ -15,8 +15,6 @@ from tidegrid.plans.registry import query
 from tidegrid.plans.series import P_SQL, period_points
 
 
-
-
 @query("ag1_coverage", f"""WITH {Q_SQL} SELECT series_id, count(ts) AS "rows", min(ts) AS first_ts, max(ts) AS last_ts,
   CAST((epoch(max(ts)) - epoch(min(ts))) / 900 + 1 - count(ts) AS BIGINT) AS missing FROM q GROUP BY 1""")
 def _(spark, d):
@@ -273,6 +271,3 @@ SELECT period_id, count(*) AS point_count, min(position) AS position_min, max(po
 def _(spark, d):
     points = period_points(spark, d)
     return ops.document_inventory(points.unionByName(points.filter("position = 2")), ["period_id"])
-
-
-

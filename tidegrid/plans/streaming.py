@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-
 from tidegrid.functions.times import shift
 from tidegrid.plans import features  # noqa: F401  registers the batch cooldown and its SQL
 from tidegrid.plans.adapters import F_SQL, H_SQL, M_SQL, K, actuals, forecasts, hours, quarters_all, runs, stored_and_incoming
@@ -79,5 +78,3 @@ def _(spark, d):
 def _(spark, d):
     events = runs(spark, d).select("component", "run_time", "id").repartitionByRange(6, "run_time")
     return run(jobs.stream_cooldown(stream_of(events, spark), ["component"], 60), spark)
-
-
