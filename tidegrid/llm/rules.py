@@ -60,7 +60,7 @@ def host_verdicts(rows: DataFrame, rules: list[str], max_rate: float = 0.5) -> D
     """host and ``host_ok``: false if a rule's shrunk failure rate is above ``max_rate``.
 
     For each rule, mean m and variance v of the host rates give the prior's
-    strength m (1 - m) / v - 1 (at least 1; rates that don't differ, or one
+    strength m (1 - m) / v - 1 (at least 10 documents; rates that don't differ, or one
     host alone, give 10**6, that is the common rate). A host's rate is then
     (failures + m strength) / (documents + strength).
     """
@@ -72,7 +72,7 @@ def host_verdicts(rows: DataFrame, rules: list[str], max_rate: float = 0.5) -> D
     ok = F.lit(True)
     for rule in rules:
         mean, var = moments[f"{rule}_m"] or 0.0, moments[f"{rule}_v"] or 0.0
-        strength = max(1.0, mean * (1 - mean) / var - 1) if var > 1e-12 else 1e6
+        strength = max(10.0, mean * (1 - mean) / var - 1) if var > 1e-12 else 1e6
         ok = ok & ((F.col(rule) + mean * strength) / (F.col("n") + strength) <= max_rate)
     return counts.select("host", ok.alias("host_ok"))
 

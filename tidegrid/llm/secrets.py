@@ -22,7 +22,7 @@ HEX = r"[0-9a-f]{16,}"
 #: What the models judge.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
-#: Documents whose words the identifier model is fitted on, about.
+#: Documents whose words the identifier model is fitted on, and digests for the random one, about.
 SAMPLE_DOCS = 20_000
 #: Natural-log likelihood ratio that a random string has at least.
 THRESHOLD = 12.0
@@ -55,19 +55,22 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled strings of the corpus: value and random.
 
-    Random: what the base rules found, and a digest of every sampled document's
-    text in base 64. Ordinary: the identifiers of the sampled documents outside
-    base spans. A hash of id and text picks about ``sample_docs`` documents.
+    Random: what the base rules found, and digests of the sampled texts in base
+    64, about ``sample_docs`` in all. Ordinary: the identifiers of the sampled
+    documents outside base spans. A hash of id and text picks about
+    ``sample_docs`` documents.
     """
-    share = max(1, docs.count() // max(1, sample_docs))
+    n = docs.count()
+    share, digests = max(1, n // max(1, sample_docs)), max(1, sample_docs // max(1, n))
     picked = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
     rows = base_spans(picked)
     values = lambda c: F.transform(c, lambda s: s["value"])
     secret = F.transform("__assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 2))
-    digest = F.regexp_replace(F.base64(F.unhex(F.sha2("__text", 256))), "=", "")
+    digest = F.transform(F.sequence(F.lit(1), F.lit(digests)), lambda i: F.regexp_replace(F.base64(F.unhex(
+        F.sha2(F.concat(F.sha2("__text", 256), i.cast("string")), 256))), "=", ""))
     cleared = F.regexp_replace(F.regexp_replace("__text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     # the outer form adds no filter on the array's size, for which Spark would match the text once more
-    random = rows.select(F.explode_outer(F.concat(secret, values("__access"), values("__hex"), F.array(digest))).alias("value"))
+    random = rows.select(F.explode_outer(F.concat(secret, values("__access"), values("__hex"), digest)).alias("value"))
     plain = rows.select(F.explode_outer(F.regexp_extract_all(cleared, F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     return random.withColumn("random", F.lit(True)).union(plain.withColumn("random", F.lit(False))).filter("value is not null")
 

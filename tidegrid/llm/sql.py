@@ -59,7 +59,7 @@ h AS (
 b AS (SELECT rule, avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h GROUP BY rule),
 v AS (
   SELECT host, bool_and((bad + mean * strength) / (n + strength) <= 0.5) AS ok
-  FROM h JOIN (SELECT rule, mean, CASE WHEN var > 1e-12 THEN greatest(1.0, mean * (1 - mean) / var - 1) ELSE 1e6 END AS strength FROM b)
+  FROM h JOIN (SELECT rule, mean, CASE WHEN var > 1e-12 THEN greatest(10.0, mean * (1 - mean) / var - 1) ELSE 1e6 END AS strength FROM b)
     USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM f JOIN v USING (host)
