@@ -10,6 +10,7 @@ pair of ASCII characters, whatever the size of the samples.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
 SAMPLE_DOCS = 20_000
 #: Natural-log likelihood ratio that a random string has at least.
 THRESHOLD = 12.0
+SMOOTHING = 10.0
 _ASCII = 128
 _SPANS = "array<struct<start:int,stop:int,value:string>>"
 
@@ -76,18 +78,28 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratio of every transition, at 128 * first + second; add-one smoothing over 66 characters."""
+    """Log-likelihood ratio of every transition, at 128 * first + second.
+
+    Equal strings count once. A transition's probability is smoothed with ``SMOOTHING`` times that of its
+    second character, and that by one count for each of 66 characters.
+    """
     chars = F.split("value", "")
-    pairs = (labelled.groupBy("value", "random").agg(F.count("*").alias("n"))
-             .select("random", "n", F.explode_outer(F.zip_with(
+    pairs = (labelled.distinct()
+             .select("random", F.explode_outer(F.zip_with(
                  chars, F.slice(chars, 2, F.greatest(F.length("value"), F.lit(1))),
                  lambda a, b: F.struct(F.ascii(a).alias("a"), F.ascii(b).alias("b")))).alias("p"))
              .filter((F.col("p.a") < _ASCII) & (F.col("p.b") < _ASCII)))
-    counts = {(r.random, r.a, r.b): r.n for r in pairs.groupBy("random", "p.a", "p.b").agg(F.sum("n").alias("n")).collect()}
-    rows: dict[tuple[bool, int], int] = {}
-    for (label, a, _), n in counts.items():
-        rows[label, a] = rows.get((label, a), 0) + n
-    prob = lambda label, a, b: (counts.get((label, a, b), 0) + 1) / (rows.get((label, a), 0) + 66)
+    counts = {(r.random, r.a, r.b): r.n for r in pairs.groupBy("random", "p.a", "p.b").agg(F.count("*").alias("n")).collect()}
+    first, second, every = Counter(), Counter(), Counter()
+    for (label, a, b), n in counts.items():
+        first[label, a] += n
+        second[label, b] += n
+        every[label] += n
+
+    def prob(label: bool, a: int, b: int) -> float:
+        alone = (second[label, b] + 1) / (every[label] + 66)
+        return (counts.get((label, a, b), 0) + SMOOTHING * alone) / (first[label, a] + SMOOTHING)
+
     return [math.log(prob(True, a, b) / prob(False, a, b)) for a in range(_ASCII) for b in range(_ASCII)]
 
 
