@@ -17,8 +17,10 @@ prefix, the first n - ceil(3n / 4) + 1.
   one below.
 
 Rare and frequent are told apart by counting all tokens in buckets. Copies in
-one batch are one set. Index entries that meet are joined to one pivot first;
-after linking these, only pairs of sets in different components are left.
+one batch are one set. Of the sets that meet in the index, each is first compared
+with one pivot, in two rounds. Sets with one pivot form blocks, and blocks in
+which sets of different components still meet are compared as a whole, by matrix
+products, so no link between components is left out and no pairs are shipped.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ FREQUENT = 32
 #: Bytes of text whose tokens a bucket holds, about.
 BUCKET_BYTES = 4_000_000
 HASH_BITS = 48
-#: Rounds in which sets that meet are joined to one pivot before the rest is compared.
+#: Rounds in which every set is compared with one pivot before the rest is compared.
 PIVOT_ROUNDS = 2
+#: Tokens and sets that a block of the last comparison holds, about.
+BLOCK_TOKENS, BLOCK_SETS = 300_000, 1024
 _NODE_BITS = 16
 
 
@@ -229,7 +233,7 @@ def _index(bits: int, key_bits: int):
             out.append(("set", int(node[i]), int(sizes[i]), None, None, None,
                         P.pack(np.sort(tokens[edges[i] : edges[i + 1]]), 6), batch))
         for b, a, z in P.slices(bucket):
-            meta = np.stack([of[a:z], sizes[of[a:z]]], 1).astype(np.uint32)
+            meta = np.stack([of[a:z], sizes[of[a:z]], alone[of[a:z]]], 1).astype(np.uint32)
             body = P.pack(keys[a:z], 8)
             out.append(("key", None, z - a, None, None, b, len(body).to_bytes(8, "little") + body + P.shrink(meta.ravel()), batch))
         columns = list(zip(*out, strict=True))
@@ -241,60 +245,134 @@ def _index(bits: int, key_bits: int):
 
 
 def _entries(group: pd.DataFrame):
-    """Keys, nodes, sizes and components (the node itself if none came along) of a bucket's index rows."""
-    keys, nodes, sizes, comps = [], [], [], []
+    """Keys, nodes, sizes, shares of unshared tokens, components and blocks of a bucket's index rows.
+
+    Without a known component or block, it is the node itself.
+    """
+    keys, nodes, sizes, shares, comps, blocks = [], [], [], [], [], []
     for batch, body, known in zip(group["batch"], group["body"], group["comps"], strict=True):
         to = 8 + int.from_bytes(body[:8], "little")
         keys.append(P.unpack(body[8:to], 8))
-        of, size = P.grow(body[to:], np.uint32).reshape(-1, 2).astype(np.int64).T
+        of, size, alone = P.grow(body[to:], np.uint32).reshape(-1, 3).astype(np.int64).T
         node = (int(batch) << _NODE_BITS) | of
-        comp = node
+        comp = block = node
         if known is not None and len(known):
-            pairs = P.grow(known, np.int64).reshape(-1, 2)
-            at = np.minimum(np.searchsorted(pairs[:, 0], node), len(pairs) - 1)
-            comp = np.where(pairs[at, 0] == node, pairs[at, 1], node)
+            place = P.grow(known, np.int64).reshape(-1, 3)
+            at = np.minimum(np.searchsorted(place[:, 0], node), len(place) - 1)
+            there = place[at, 0] == node
+            comp, block = np.where(there, place[at, 1], node), np.where(there, place[at, 2], node)
         nodes.append(node)
         sizes.append(size)
+        shares.append(alone / size)
         comps.append(comp)
-    return tuple(map(np.concatenate, (keys, nodes, sizes, comps)))
+        blocks.append(block)
+    return tuple(map(np.concatenate, (keys, nodes, sizes, shares, comps, blocks)))
 
 
-def _pairs(turn: int | None):
-    """Pairs of sets in different components that meet at a key: with one pivot (by ``turn``), or all."""
+def _pivots(turn: int):
+    """For every set the pivot in another component that leads among those it meets at the keys of a bucket.
+
+    Sets with few tokens of their own lie in the middle of their group and
+    lead; a little chance, other in each turn, lets others lead as well.
+    """
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        keys, nodes, sizes, comps = _entries(group)
-        lead = nodes if not turn else P.mix(nodes.astype(np.uint64) + np.uint64(turn)).view(np.int64)
-        order = np.lexsort((lead, keys))
-        keys, nodes, sizes, comps = keys[order], nodes[order], sizes[order], comps[order]
+    def pivots(group: pd.DataFrame) -> pd.DataFrame:
+        keys, nodes, sizes, shares, comps, _ = _entries(group)
+        chance = (P.mix(nodes.astype(np.uint64) + np.uint64(turn)) >> np.uint64(11)).astype(float) / 2.0**53
+        lead = shares + chance * 0.02 * turn
+        order = np.lexsort((nodes, lead, keys))
+        keys, nodes, sizes, comps, lead = (x[order] for x in (keys, nodes, sizes, comps, lead))
         new = np.ones(len(keys), dtype=bool)
         new[1:] = keys[1:] != keys[:-1]
-        start = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-
-        def add(i, j):
-            a, b = sizes[i], sizes[j]
-            good = (comps[i] != comps[j]) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
-            left.append(np.minimum(nodes[i[good]], nodes[j[good]]))
-            right.append(np.maximum(nodes[i[good]], nodes[j[good]]))
-
-        if turn is not None:
-            add(start[which], np.arange(len(keys)))
-        else:
-            mixed = np.unique(which[comps != comps[start][which]])
-            ends = np.append(start[1:], len(keys))
-            for k in mixed.tolist():  # keys that still join components; one entry against the later ones at a time
-                for i in range(start[k], ends[k] - 1):
-                    later = np.arange(i + 1, ends[k])
-                    add(np.full(len(later), i), later)
-                if len(left) > 20_000:
-                    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-                    left[:], right[:] = [both[:, 0]], [both[:, 1]]
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return pairs
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        good = (comps[first] != comps) & (4 * np.minimum(sizes[first], sizes) >= 3 * np.maximum(sizes[first], sizes))
+        node, lead, pivot = nodes[good], lead[first][good], nodes[first][good]
+        order = np.lexsort((pivot, lead, node))
+        one = np.ones(len(node), dtype=bool)
+        one[1:] = node[order][1:] != node[order][:-1]
+        order = order[one]
+        return pd.DataFrame({"node": node[order], "lead": lead[order], "pivot": pivot[order]})
+
+    return pivots
+
+
+def _crossing(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of blocks (a block with itself, too) with a key whose sets lie in different components."""
+    keys, _, _, _, comps, blocks = _entries(group)
+    order = np.lexsort((blocks, keys))
+    keys, comps, blocks = keys[order], comps[order], blocks[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    start = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    mixed = np.zeros(len(start), dtype=bool)
+    mixed[which[comps != comps[start][which]]] = True
+    once = new.copy()
+    once[1:] |= blocks[1:] != blocks[:-1]
+    use = once & mixed[which]
+    keys, blocks = keys[use], blocks[use]
+    found, apart = [np.stack([blocks, blocks], 1)], 1
+    while apart < len(keys):
+        same = keys[apart:] == keys[:-apart]
+        if not same.any():
+            break
+        found.append(np.unique(np.stack([blocks[:-apart][same], blocks[apart:][same]], 1), axis=0))
+        apart += 1
+    both = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _packed_block(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("node")
+    body = group["body"].tolist()
+    places = group[["node", "n", "comp"]].to_numpy(np.int64)
+    lengths = np.array([len(b) // 6 for b in body], dtype=np.int64)
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "places": [P.shrink(np.column_stack([places, lengths]).ravel())],
+                         "tokens": [b"".join(body)]})
+
+
+def common_counts(left: np.ndarray, left_of: np.ndarray, right: np.ndarray, right_of: np.ndarray, shape) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of 0/1 matrices."""
+    every = np.intersect1d(left, right)
+    out = np.zeros(shape, dtype=np.float32)
+    for at in range(0, len(every), 4096):
+        some = every[at : at + 4096]
+        sides = []
+        for tokens, of, rows in ((left, left_of, shape[0]), (right, right_of, shape[1])):
+            use = (tokens >= some[0]) & (tokens <= some[-1])
+            place = np.minimum(np.searchsorted(some, tokens[use]), len(some) - 1)
+            hit = some[place] == tokens[use]
+            matrix = np.zeros((rows, len(some)), dtype=np.float32)
+            matrix[of[use][hit], place[hit]] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _linked_blocks(rows):
+    """One link for each two components that any sets of two blocks link."""
+    for row in rows:
+        links = [np.empty((0, 2), np.int64)]
+        for p, s, q, t in zip(*(row.column(c).to_pylist() for c in ("p", "s", "q", "t")), strict=True):
+            (node, n, comp, length), (other, m, mate, size) = (P.grow(x, np.int64).reshape(-1, 4).T for x in (p, q))
+            common = common_counts(P.unpack(s, 6), np.repeat(np.arange(len(node)), length),
+                                   P.unpack(t, 6), np.repeat(np.arange(len(other)), size), (len(node), len(other)))
+            good = (100 * common >= 75 * (n[:, None] + m[None, :] - common)) & (comp[:, None] != mate[None, :])
+            i, j = np.nonzero(good)
+            low, high = np.minimum(comp[i], mate[j]), np.maximum(comp[i], mate[j])
+            _, first = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+            links.append(np.stack([np.minimum(node[i], other[j])[first], np.maximum(node[i], other[j])[first]], 1))
+        links = np.concatenate(links)
+        yield P.record(a=pa.array(links[:, 0], pa.int64()), b=pa.array(links[:, 1], pa.int64()))
+
+
+def _verify_blocks(pairs: DataFrame, places: DataFrame, sets: DataFrame) -> DataFrame:
+    packed = written(sets.join(places, "node").groupBy("block").applyInPandas(
+        _packed_block, "block long, places binary, tokens binary"))
+    left = packed.select(F.col("block").alias("a"), F.col("places").alias("p"), F.col("tokens").alias("s"))
+    right = packed.select(F.col("block").alias("b"), F.col("places").alias("q"), F.col("tokens").alias("t"))
+    return written(pairs.distinct().join(right, "b").join(left, "a").select("p", "s", "q", "t").mapInArrow(
+        _linked_blocks, "a long, b long"))
 
 
 def _linked(rows):
@@ -339,20 +417,31 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def _with_components(index: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
+def _with_places(index: DataFrame, places: DataFrame | None) -> DataFrame:
+    """Index rows with the components and blocks (node, comp, block) of their batch."""
+    if places is None:
         return index.withColumn("comps", F.lit(None).cast("binary"))
 
     def gathered(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         return pd.DataFrame({"batch": [group["batch"].iloc[0]],
-                             "comps": [P.shrink(group[["node", "comp"]].to_numpy(np.int64).ravel())]})
+                             "comps": [P.shrink(group[["node", "comp", "block"]].to_numpy(np.int64).ravel())]})
 
-    known = comps.withColumn("batch", F.shiftright("node", _NODE_BITS)).groupBy("batch").applyInPandas(
+    known = places.withColumn("batch", F.shiftright("node", _NODE_BITS)).groupBy("batch").applyInPandas(
         gathered, "batch long, comps binary")
     return index.join(known, "batch", "left")
 
 
+def _blocked(sets: DataFrame, pivots: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, comp and block of every set: the sets of one pivot, cut so that a block stays small."""
+    rows = (sets.select("node", "n").join(pivots, "node", "left").join(comps, "node", "left")
+            .select("node", "n", F.coalesce("pivot", "node").alias("family"), F.coalesce("comp", "node").alias("comp")))
+    parts = rows.groupBy("family").agg(F.greatest(
+        F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    return rows.join(parts, "family").select("node", "comp", F.xxhash64("family", part).alias("block"))
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, h, n, comp, component_id) and the links that were verified (nodes a, b).
 
@@ -377,13 +466,22 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = kinds.filter("kind = 'doc'").select("doc_id", "h", "node", "n")
     sets = kinds.filter("kind = 'set'").select("node", "n", "body")
     index = kinds.filter("kind = 'key'").select("key", "batch", "body")
-    links, comps = None, None
-    for turn in (*range(PIVOT_ROUNDS), None):
-        pairs = _with_components(index, comps).groupBy("key").applyInPandas(_pairs(turn), "a long, b long")
-        found = _verify(pairs, sets)
+    links = comps = first_pivots = None
+    for turn in range(PIVOT_ROUNDS):
+        places = comps if comps is None else comps.withColumn("block", F.col("node"))
+        pivots = _with_places(index, places).groupBy("key").applyInPandas(
+            _pivots(turn), "node long, lead double, pivot long")
+        pivots = written(pivots.groupBy("node").agg(F.min(F.struct("lead", "pivot")).alias("best")).select("node", "best.pivot"))
+        first_pivots = pivots if first_pivots is None else first_pivots
+        found = _verify(pivots.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), sets)
         links = found if links is None else links.union(found)
-        if found.limit(1).count() or comps is None:
-            comps = written(components(links))
+        comps = written(components(links))
+    places = written(_blocked(sets, first_pivots, comps))
+    crossing = _with_places(index, places).groupBy("key").applyInPandas(_crossing, "a long, b long")
+    found = _verify_blocks(crossing, places, sets)
+    links = links.union(found)
+    if found.limit(1).count():
+        comps = written(components(links))
     known = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = known.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "comp", "left").select(
