@@ -91,7 +91,9 @@ def redact_query(url: Column | str) -> Column:
 
     def clean(pair: Column) -> Column:
         name = F.split(pair, "=", 2)[0]
-        normal = F.regexp_replace(F.lower(name), "[_-]", "")
+        # an encoded name is the same name; one that cannot be decoded is compared as it is
+        plain = F.coalesce(F.try_url_decode(name), name)
+        normal = F.regexp_replace(F.lower(plain), "[_-]", "")
         return F.when(
             normal.isin(*SENSITIVE_PARAMETERS), F.concat(name, F.lit("=[REDACTED]"))
         ).otherwise(pair)

@@ -137,7 +137,7 @@ def _(spark, d):
 
 # The exogenous frame runs on one series, on which all parts meet often.
 EXO_SQL = REQ_SQL.replace("o_orderpriority AS series_id", "'all' AS series_id") + f""",
-f1 AS (SELECT o_orderdate AS ts, count(*) AS orders, round(avg(o_totalprice) * {K}) / 1024 AS price FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1),
+f1 AS (SELECT o_orderdate AS ts, count(*) AS orders, round(avg(o_totalprice) * {K}) / 1024 AS price FROM orders GROUP BY 1),
 pick AS (SELECT * FROM (SELECT g.issue, g.horizon, cv.technology, cv.process_type, cv.value_mw, row_number() OVER (
     PARTITION BY g.issue, g.horizon, cv.technology ORDER BY CASE process_type WHEN 'A40' THEN 0 ELSE 1 END,
     cycle DESC, source_created_at_utc DESC, TRY_CAST(revision_number AS DOUBLE) DESC, acquired_at_utc DESC, document_id DESC, value_mw DESC, process_type DESC) AS rn
@@ -162,7 +162,7 @@ def exogenous(spark, d):
     def one(df):
         return df.withColumn("series_id", F.lit("all"))
 
-    base = table(spark, d, "orders").filter("o_custkey % 2 = 0").groupBy(whole, F.col("o_orderdate").alias("ts")).agg(
+    base = table(spark, d, "orders").groupBy(whole, F.col("o_orderdate").alias("ts")).agg(
         F.count("*").alias("orders"), (F.round(F.avg("o_totalprice") * K, 0) / 1024).alias("price"))
     cycles = ops.distinct_cycles([one(vintages(spark, d))], "collection_issue_time", ["series_id"])
     return ops.build_exogenous(cycles, base.select("series_id", "ts", "orders"), base.select("series_id", "ts", "price"),

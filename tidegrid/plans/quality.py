@@ -184,7 +184,7 @@ def _(spark, d):
     return ops.freshness(rows, "2024-01-31 00:10:00")
 
 
-VH_SQL = f"""{V_SQL}, x AS (SELECT *, date_trunc('month', collection_issue_time) AS cyc FROM v WHERE collection_issue_time IS NOT NULL AND revision_number = '1'),
+VH_SQL = f"""{V_SQL}, x AS (SELECT *, date_trunc('month', collection_issue_time) AS cyc FROM v WHERE collection_issue_time IS NOT NULL),
 nw AS (SELECT process_type, max(collection_issue_time) AS cycle FROM x GROUP BY 1),
 cur AS (SELECT x.* FROM x JOIN nw ON nw.process_type = x.process_type AND nw.cycle = x.collection_issue_time),
 dup AS (SELECT process_type, CAST(sum(c - 1) AS BIGINT) AS duplicates FROM (SELECT process_type, count(*) AS c FROM x GROUP BY document_type, process_type, document_id, revision_number, source_created_at_utc, series_id, target_timestamp, technology) GROUP BY 1),
@@ -195,7 +195,7 @@ facts AS (SELECT process_type, max(acquired_at_utc) AS latest_acquired, count(*)
 SELECT process_type, latest_acquired, newest_rows, latest_cycle, revisions, duplicates, age AS age_minutes,
   CASE WHEN age > 180 THEN 'STALE' WHEN age > 90 OR duplicates > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM f""")
 def _(spark, d):
-    rows = vintages(spark, d).filter("collection_issue_time IS NOT NULL AND revision_number = '1'")
+    rows = vintages(spark, d).filter("collection_issue_time IS NOT NULL")
     out = ops.vintage_health(rows, "2001-08-01 01:30:00", ["process_type"])
     return out.select("process_type", "latest_acquired", "newest_rows", "latest_cycle", "revisions", "duplicates", "age_minutes", "status")
 
@@ -204,7 +204,7 @@ def _(spark, d):
 st AS (SELECT CASE WHEN age > 180 THEN 2 WHEN age > 90 OR duplicates > 0 THEN 1 ELSE 0 END AS r FROM f)
 SELECT CASE max(r) WHEN 2 THEN 'STALE' WHEN 1 THEN 'DEGRADED' ELSE 'HEALTHY' END AS overall_status FROM st""")
 def _(spark, d):
-    rows = vintages(spark, d).filter("collection_issue_time IS NOT NULL AND revision_number = '1'")
+    rows = vintages(spark, d).filter("collection_issue_time IS NOT NULL")
     return ops.overall_status(ops.vintage_health(rows, "2001-08-01 01:30:00", ["process_type"]))
 
 

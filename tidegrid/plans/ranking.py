@@ -17,14 +17,14 @@ def _(spark, d):
     return ops.page(rows, [F.asc("ts")], 25, 50)
 
 
-@query("tk2_order_events", f"WITH {S_SQL} SELECT ts, price_eur_mwh FROM s WHERE price_eur_mwh > 100 ORDER BY price_eur_mwh DESC, ts")
+@query("tk2_order_events", f"WITH {S_SQL} SELECT ts, price_eur_mwh FROM s ORDER BY price_eur_mwh DESC NULLS LAST, ts")
 def _(spark, d):
-    return ops.order_events(silver(spark, d).filter("price_eur_mwh > 100").select("ts", "price_eur_mwh"), "price_desc")
+    return ops.order_events(silver(spark, d).select("ts", "price_eur_mwh"), "price_desc")
 
 
-@query("tk2_order_events_time_desc", f"WITH {S_SQL} SELECT ts, price_eur_mwh FROM s WHERE price_eur_mwh > 100 ORDER BY ts DESC LIMIT 30")
+@query("tk2_order_events_time_desc", f"WITH {S_SQL} SELECT ts, price_eur_mwh FROM s ORDER BY ts DESC")
 def _(spark, d):
-    return ops.order_events(silver(spark, d).filter("price_eur_mwh > 100").select("ts", "price_eur_mwh"), "time_desc").limit(30)
+    return ops.order_events(silver(spark, d).select("ts", "price_eur_mwh"), "time_desc")
 
 
 @query("tk3_top_prices", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
