@@ -22,7 +22,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: What the models judge.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
+#: Ordinary ones to learn from: letters, then a short number at most, so that random strings don't pass for them.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z_-]{5,}[0-9_-]{0,5}(?![A-Za-z0-9+/])"
 #: Documents whose words the identifier model is fitted on, and digests for the random one, about.
 SAMPLE_DOCS = 20_000
 #: Natural-log likelihood ratio that a random string has at least.
