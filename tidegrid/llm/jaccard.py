@@ -43,7 +43,7 @@ HASH_BITS = 48
 #: Rounds in which every set is compared with one pivot before the rest is compared.
 PIVOT_ROUNDS = 2
 #: Tokens and sets that a block of the last comparison holds, about.
-BLOCK_TOKENS, BLOCK_SETS = 300_000, 1024
+BLOCK_TOKENS, BLOCK_SETS = 1_200_000, 2048
 _NODE_BITS = 16
 
 
