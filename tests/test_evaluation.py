@@ -109,3 +109,12 @@ def test_choices_follow_their_tie_keys(spark):
     order = {"linear": 1, "boost": 2, "forest": 3}
     assert ranking.simplest_within(scores, 0.02, order).first()["model_name"] == "linear"
     assert ranking.simplest_within(scores, 0.001, order).first()["model_name"] == "forest"
+
+
+def test_pooled_r2_holds_for_large_values(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"series_id": "a", "horizon_hours": np.arange(240) % 24 + 1, "actual": 1e8 + rng.normal(size=240)})
+    pdf["predicted"] = pdf["actual"] + rng.normal(size=240)
+    got = ops.metrics_by_horizon(spark.createDataFrame(pdf), ["series_id"]).filter("horizon_hours = 0").first()["r2"]
+    want = 1 - ((pdf.predicted - pdf.actual) ** 2).sum() / ((pdf.actual - pdf.actual.mean()) ** 2).sum()
+    assert abs(got - want) < 1e-6

@@ -108,3 +108,13 @@ def test_gap_flag_after_sampling(spark):
     pdf = silver_pandas(100).drop(index=range(40, 60))
     sample = ops.downsample_stride(spark.createDataFrame(pdf[["series_id", "ts"]]), ["series_id"], 20)
     assert ops.gap_before(sample, ["series_id"]).filter("gap_before").count() == 1
+
+
+def test_frames_match_instants_not_seconds(spark):
+    from tidegrid.operators.scale import TimeFrame
+
+    df = table(spark, "k string, ts timestamp, v double", [
+        ("a", "2026-01-01 09:00:00.2", 1.0), ("a", "2026-01-01 10:00:00.7", 2.0), ("a", "2026-01-01 11:00:00.7", 3.0)])
+    frame = TimeFrame(df, ["k"], "ts", back_s=3600)
+    got = frame.select(lag=frame.value_at("v", -3600)).orderBy("ts").collect()
+    assert [r["lag"] for r in got] == [None, None, 2.0]

@@ -94,3 +94,19 @@ def test_trim_keeps_published_rows_and_refuses_inner_gaps(spark):
     assert incremental.trim_unpublished(table(spark, COLUMNS, rows), ["series_id"], ["price", "load"]).count() == 2
     with pytest.raises(DataContractError):
         incremental.trim_unpublished(table(spark, COLUMNS, [*rows, ("a", "2026-01-04", 4.0, 4.0)]), ["series_id"], ["price", "load"])
+
+
+def test_a_repeated_key_is_fatal(spark):
+    twice = incoming(spark).unionByName(incoming(spark).limit(1))
+    with pytest.raises(DataContractError):
+        ops.merge_revisions(stored(spark), twice, KEYS, window=WINDOW, retain=True)
+    with pytest.raises(DataContractError):
+        ops.merge_revisions(stored(spark).unionByName(stored(spark)), incoming(spark), KEYS, window=WINDOW, retain=True)
+
+
+def test_rows_outside_the_delivered_range_are_kept(spark):
+    part = incoming(spark).filter("ts = '2026-01-02 00:00:00'")
+    out = ops.merge_revisions(stored(spark), part, KEYS, window=WINDOW, retain=True)
+    assert [tuple(r)[2:] for r in out.data.orderBy("ts").collect()] == [(1.0, 10.0), (8.0, 20.0), (None, 40.0)]
+    none = ops.merge_revisions(stored(spark), part.filter("false"), KEYS, window=WINDOW, retain=True)
+    assert none.data.exceptAll(stored(spark)).count() == 0 and none.data.count() == 3

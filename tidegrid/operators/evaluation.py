@@ -33,11 +33,20 @@ def error_moments(df: DataFrame, by: Sequence[str], actual: str = "actual", pred
     )
 
 
+def with_level(moments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Moment rows with the mean of one row of their group, which ``combine_moments`` measures from."""
+    return moments.withColumn("y_level", F.min("y_mean").over(Window.partitionBy(*by)))
+
+
 def combine_moments() -> list[Column]:
-    """Metrics of a group of moment rows: n, mae, rmse, r2, bias."""
+    """Metrics of a group of moment rows: n, mae, rmse, r2, bias.
+
+    Means are taken from ``y_level``, so that large values do not cancel.
+    """
     n = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("y_mean")) / n
-    between = F.sum(F.col("n") * F.col("y_mean") * F.col("y_mean")) - n * mean * mean
+    off = F.col("y_mean") - F.col("y_level")
+    mean = F.sum(F.col("n") * off) / n
+    between = F.sum(F.col("n") * off * off) - n * mean * mean
     spread = F.sum("y_m2") + F.greatest(between, F.lit(0.0))
     squares = F.sum("sq_sum")
     return [
@@ -49,7 +58,8 @@ def combine_moments() -> list[Column]:
 def error_metrics(df: DataFrame, by: Sequence[str] = (), actual: str = "actual",
                   predicted: str = "predicted") -> DataFrame:
     """MAE, RMSE, R2 against the slice's own mean, and bias (predicted minus actual)."""
-    return error_moments(df, by, actual, predicted).groupBy(*by).agg(*combine_moments())
+    fine = error_moments(df, by, actual, predicted).withColumn("y_level", F.col("y_mean"))  # one row per group
+    return fine.groupBy(*by).agg(*combine_moments())
 
 
 def metrics_by_horizon(df: DataFrame, by: Sequence[str], actual: str = "actual", predicted: str = "predicted",
@@ -58,7 +68,7 @@ def metrics_by_horizon(df: DataFrame, by: Sequence[str], actual: str = "actual",
 
     The facts are reduced once per horizon; the grouping sets run on that table.
     """
-    fine = error_moments(df, [*by, horizon], actual, predicted)
+    fine = with_level(error_moments(df, [*by, horizon], actual, predicted), by)
     sets = [[F.col(c) for c in (*by, horizon)], [F.col(c) for c in by]]
     grouped = fine.groupingSets(sets, *[F.col(c) for c in (*by, horizon)]).agg(
         F.grouping(horizon).alias("_all"), *combine_moments())

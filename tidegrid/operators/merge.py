@@ -130,18 +130,33 @@ def merge_revisions(stored: DataFrame, incoming: DataFrame, keys: Sequence[str],
     """Merge cell by cell: null cells are filled, differing cells inside ``window``
     take the new value, outside it they keep the stored one, unseen keys are added.
 
-    Without ``retain`` a differing cell outside the window is fatal. ``cut``
-    writes the joined table once when both the data and the audit are used.
+    Only stored rows between the first and last time of the delivery are joined;
+    a key twice in them, or in the delivery, is fatal. Without ``retain`` a
+    differing cell outside the window is fatal. ``cut`` writes the joined rows
+    once when both the data and the audit are used.
     """
     if window is not None and isinstance(window[0], str) and window[0] >= window[1]:
         raise DataContractError("The revision window must be positive")
-    frame, columns = _merged(stored, incoming, keys, ts, window)
+    ensure_unique(incoming, list(keys), "The delivery repeats a key")
+    touched = _delivered(incoming, ts)
+    held, rest = stored.filter(touched), stored.filter(~touched)  # only the delivered range is joined
+    ensure_unique(held, list(keys), "The stored table repeats a key")
+    frame, columns = _merged(held, incoming, keys, ts, window)
     if cut or not retain:
         frame = checkpointed(frame)
     if not retain:
         conflict = F.array_contains(F.array(*[F.col(f"_outcome.{c}") for c in columns]), PROTECTED)
         ensure_none(frame.filter(conflict).select(*keys), "Conflicting stored value")
-    return Merge(frame.drop("_outcome", "_added"), _audit(frame, columns, ts))
+    data = frame.drop("_outcome", "_added").unionByName(rest, allowMissingColumns=True)
+    return Merge(data, _audit(frame, columns, ts))
+
+
+def _delivered(incoming: DataFrame, ts: str) -> Column:
+    """Whether a time lies between the first and the last one of a delivery."""
+    first, last = incoming.agg(*[F.unix_micros(f(ts).cast("timestamp")) for f in (F.min, F.max)]).first()
+    if first is None:
+        return F.lit(False)
+    return F.coalesce(F.col(ts).between(F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))), F.lit(False))
 
 
 def _audit(frame: DataFrame, columns: Sequence[str], ts: str) -> DataFrame:

@@ -400,11 +400,11 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 
 
 def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float, *, key: Sequence[str], trees: int = 100,
-                     sample: int = 256, pool: int = 8192, seed: int = 42) -> DataFrame:
+                     sample: int = 256, seed: int = 42) -> DataFrame:
     """Anomaly score of every row and the label of the ``contamination`` share with the highest score.
 
-    Sampling is part of the method: trees grow from ``sample`` rows each, drawn
-    from a uniform pool of fixed size chosen by a hash of the row key. The
+    Sampling is part of the method: every tree draws its own ``sample`` rows
+    from the whole table, those with the smallest hash of tree and row key. The
     trees, a few hundred nodes each, are grown in parallel, one group per tree,
     and broadcast; every row is scored where it lies.
     """
@@ -413,24 +413,28 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
     total = rows.count()
     if total == 0:
         return rows.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_anomaly": F.lit(False)})
-    pick = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    share = min(1.0, 4.0 * pool / total)
-    likely = rows.filter(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    drawn = likely.select(*[F.col(c).cast("double").alias(c) for c in columns], pick.alias("_h")).orderBy("_h", *columns).limit(pool)
     size = min(sample, total)
+    # A row is sent to a tree only if its hash is likely to be among the smallest: some 4 x sample rows a tree.
+    likely = int(min(1.0, 4.0 * size / total) * (1 << 40)) + 1
+
+    def rank(tree):
+        return F.pmod(F.xxhash64(F.lit(seed), tree, *[F.col(k) for k in key]), F.lit(1 << 40))
+
+    drawn = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], F.explode(F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), rank(t).alias("h"))),
+        lambda p: p["h"] < likely)).alias("_p")).select(*columns, F.col("_p.tree").alias("_tree"), F.col("_p.h").alias("_h"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
-        ordered = pdf.sort_values(["_h", *columns])[list(columns)].to_numpy()
-        chosen = ordered[rng.permutation(len(ordered))[:size]]
+        chosen = pdf.sort_values(["_h", *columns])[list(columns)].to_numpy()[:size]
         nodes = _grow(chosen, rng, int(np.ceil(np.log2(max(size, 2)))))
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "length"])
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)
         return out
 
-    grown = drawn.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).groupBy("_tree").applyInPandas(
+    grown = drawn.groupBy("_tree").applyInPandas(
         grow, "tree int, node int, feature int, cut double, left int, right int, length double")
     table = grown.toPandas().sort_values(["tree", "node"])  # trees x a few hundred nodes, whatever the table size
     forest = spark.sparkContext.broadcast([

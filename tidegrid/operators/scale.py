@@ -32,29 +32,31 @@ class TimeFrame:
                  width_s: int | None = None, position: Column | None = None):
         """``position`` replaces the time axis, for windows that count rows."""
         self.keys, self.ts = list(keys), ts
-        width = width_s or 64 * max(back_s, fwd_s, 1)
-        seconds = epoch(ts) if position is None else position
-        first = F.floor((seconds - fwd_s) / width)
-        last = F.floor((seconds + back_s) / width)
-        own = F.floor(seconds / width)
+        # Instants are compared in microseconds, so a row off the grid is never taken for one on it.
+        self._unit = 1_000_000 if position is None else 1
+        width = (width_s or 64 * max(back_s, fwd_s, 1)) * self._unit
+        place = F.unix_micros(F.col(ts).cast("timestamp")) if position is None else position
+        first = F.floor((place - fwd_s * self._unit) / width)
+        last = F.floor((place + back_s * self._unit) / width)
+        own = F.floor(place / width)
         spread = df.withColumn(BUCKET, F.explode(F.sequence(first, last)))
         self.frame = spread.withColumn(HOME, F.col(BUCKET) == own)
-        self._base = Window.partitionBy(*self.keys, BUCKET).orderBy(seconds)
+        self._base = Window.partitionBy(*self.keys, BUCKET).orderBy(place)
 
     def value_at(self, column: Column | str, offset_s: int) -> Column:
         """Value exactly ``offset_s`` seconds away; null when that row is absent."""
         value = F.col(column) if isinstance(column, str) else column
-        return F.max(value).over(self._base.rangeBetween(offset_s, offset_s))
+        return self.over(F.max(value), offset_s, offset_s)
 
     def trailing(self, fn: Callable[[Column], Column], column: Column | str, rows: int,
                  step_s: int) -> Column:
         """``fn`` over the last ``rows`` grid steps; null unless all of them are present."""
         value = F.col(column) if isinstance(column, str) else column
-        window = self._base.rangeBetween(-(rows - 1) * step_s, 0)
+        window = self._base.rangeBetween(-(rows - 1) * step_s * self._unit, 0)
         return F.when(F.count(value).over(window) == rows, fn(value).over(window))
 
     def over(self, aggregate: Column, start_s: int, end_s: int) -> Column:
-        return aggregate.over(self._base.rangeBetween(start_s, end_s))
+        return aggregate.over(self._base.rangeBetween(start_s * self._unit, end_s * self._unit))
 
     def select(self, **columns: Column) -> DataFrame:
         """The input columns plus ``columns``, one row per input row."""

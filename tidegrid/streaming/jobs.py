@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegrid.checks import ensure_unique
 from tidegrid.functions.times import HOUR, QUARTER, is_exact
 from tidegrid.operators.joins import match_realized
 from tidegrid.operators.merge import merge_revisions
@@ -58,6 +59,8 @@ def stream_merge(df: DataFrame, root: str, keys: Sequence[str], window: tuple, *
             row = F.max(F.struct(F.col(order), F.struct(*batch.columns).alias("r")))["r"]
             incoming = batch.groupBy(*keys).agg(row.alias("_r")).select("_r.*")
             incoming = incoming.drop(order)
+        else:
+            ensure_unique(incoming, list(keys), "The delivery repeats a key")
         if current_version(spark, root) is None:
             publish_table(incoming, root)
         else:
