@@ -79,6 +79,16 @@ def test_text_rules(spark):
     assert row[2] == 5400 and row[3] == "a b" and len(row[4]) == 160 and row[4].endswith("…")
 
 
+@pytest.mark.parametrize("text, clean", [
+    ("Authorization: Bearer a.b", "Authorization=[REDACTED] [REDACTED]"), ("api_key=a1, x=2", "api_key=[REDACTED], x=2"),
+    ("go http://h/p?token=abc&x=1", "go http://h/p?token=[REDACTED]&x=1"), ("db://me:p,w@host/t", "db://[REDACTED]@host/t"),
+    ("the secret = s3 is", "the secret =[REDACTED] is"), ("a secret is kept at 10:30", "a secret is kept at 10:30"),
+    ("token=&x=1", "token=&x=1"), ("http://h:80/a@b", "http://[REDACTED]@b"), ("", ""), (None, None), (" \n a  b ", " \n a  b ")])
+def test_free_text_is_redacted_by_its_pieces(spark, text, clean):
+    # a port before a path with an @ could be a password with a slash, so it is masked
+    assert spark.createDataFrame([(text,)], "t string").select(scalars.redact_text("t")).first()[0] == clean
+
+
 @pytest.mark.parametrize("text, seconds", [("PT15M", 900), ("PT60M", 3600), ("PT90S", 90), ("P1D", None), ("PT", None), ("PT0M", None), ("15M", None), (None, None)])
 def test_iso_durations(spark, text, seconds):
     assert spark.createDataFrame([(text,)], "d string").select(times.iso_duration_seconds("d")).first()[0] == seconds

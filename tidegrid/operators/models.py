@@ -420,9 +420,10 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
     def rank(tree):
         return F.pmod(F.xxhash64(F.lit(seed), tree, *[F.col(k) for k in key]), F.lit(1 << 40))
 
-    drawn = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], F.explode(F.filter(
+    drawn = rows.withColumn("_p", F.explode(F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), rank(t).alias("h"))),
-        lambda p: p["h"] < likely)).alias("_p")).select(*columns, F.col("_p.tree").alias("_tree"), F.col("_p.h").alias("_h"))
+        lambda p: p["h"] < likely)))
+    drawn = drawn.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col("_p.tree").alias("_tree"), F.col("_p.h").alias("_h"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
