@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from tidegrid.llm.chat import calls_of, canonical, link_calls, problems
 from tidegrid.llm.mixing import mix_counts, mix_texts, permuted
 from tidegrid.llm.sharding import assign_shards, shard_of, standard_tree, write_shards
-from tidegrid.llm.token_store import Segment, encode_segment, read_tokens, stored_tokens, write_tokens
+from tidegrid.llm.token_store import Encoder, Segment, encode_segment, read_tokens, stored_tokens, write_tokens
 from tidegrid.session import shared_dir
 
 SCHEMA = "doc_id long, text string, source string, size string, start int, slot int, weight int"
@@ -128,6 +128,17 @@ def test_tokens_round_trip(spark, docs, rows):
     assert sorted(map(repr, want)) == sorted(map(repr, crc))
 
 
+def test_words_are_encoded_as_in_their_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = Encoder(path), Tokenizer.from_file(path)
+    parts = [" ", "\n", "\t", "a", "Été", "ÿ", "ª", "1", ".", ",", "'s", " the", "ing", "漢", "\x85", "\xa0", "\0", "<|endoftext|>"]
+    pick = np.random.default_rng(5)
+    texts = ["".join(parts[i] for i in pick.integers(0, len(parts), n)) for n in pick.integers(0, 14, 20_000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode_all(texts) == want
+    assert encoder.encode_all(texts[::-1]) == want[::-1]
+
+
 @pytest.mark.parametrize("widths", [(9, 7), (4, 4, 4, 4), (16,)])
 def test_every_token_is_addressable(widths):
     rng = np.random.Generator(np.random.PCG64(3))

@@ -26,23 +26,31 @@ from pyspark.sql import functions as F
 from tidegrid.llm import packed as P
 from tidegrid.session import shared_dir, written
 
-#: Bits of the levels; ids of byte_bpe_50k are below 2**16.
-WIDTHS = (9, 7)
+#: Bits of the levels; ids of byte_bpe_50k are below 2**16. Levels of whole bytes need no packing.
+WIDTHS = (8, 8)
 RANK_EVERY = 512
 #: Tokens that close a segment; a longer document has a segment of its own.
 SEGMENT_TOKENS = 2_000_000
 END_ID = 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Characters of the texts that are looked up together.
+GROUP_CHARS = 2_000_000
+#: Letters of which a word may be to go to the model directly.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    if width == 8:
+        return values.astype(np.uint8)
     bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
 
 
 def _unpack_bits(buf: np.ndarray, width: int, n: int) -> np.ndarray:
+    if width == 8:
+        return buf[:n].astype(np.uint32)
     bits = np.unpackbits(buf, count=n * width, bitorder="little").reshape(n, width)
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
@@ -123,7 +131,10 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins a character with a blank after it,
     so a text without neighbouring white space is cut before every blank and
-    line feed, and equal words are encoded once. Other texts are encoded whole.
+    around every line feed, and equal words are encoded once. A word of letters,
+    with a mark after it or not, is one piece to the pre-tokenizer (and the mark
+    another), so it goes to the model directly. Other texts, and all texts under
+    a tokenizer of another kind, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -133,33 +144,82 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        kind = json.loads(self.tokenizer.to_str())
+        splitter = kind["pre_tokenizer"] or {}
+        self.by_words = (splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True)
+                         and not splitter.get("add_prefix_space") and kind["normalizer"] is None)
         self.blanks = re.compile(r"\s\s")
+        self.plain = re.compile(f"( ?)([{LETTERS}]+)([.,;:!?]?)")
         self.cache: dict[str, bytes] = {}
-        self.line = self._encode(["\n"])[0]
+        self.always = {"": b"", **dict(zip("\n.,;:!?", self._encode(list("\n.,;:!?")), strict=True))}
+        if self.by_words:
+            shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            letters = re.findall(f"[{LETTERS}]", "".join(map(chr, range(256))))
+            self.shown = {ord(c): shown(c)[0][0] for c in letters} | {ord(" "): shown(" a")[0][0][:-1]}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         # the fast form leaves out character offsets, which nothing here reads
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if self.blanks.search(text):
-            return self._encode([text])[0]
-        out, cache = [], self.cache
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.line)
-            if not line:
+    def _learn(self, words: list[str]) -> None:
+        cache, tokenize, shown, other = self.cache, self.model.tokenize, self.shown, []
+        for word in words:
+            parts = self.plain.fullmatch(word)
+            if parts is None:
+                other.append(word)
                 continue
-            words = (" " + line.replace(" ", "\0 ")).split("\0") if "\0" not in line else [" " + line]
-            words[0] = words[0][1:]
-            new = list({w for w in words if w not in cache})
-            if new:
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = list(set(words))
-                cache.update(zip(new, self._encode(new), strict=True))
-            out.extend(map(cache.__getitem__, words))
-        return b"".join(out)
+            blank, letters, mark = parts.groups()
+            stem = blank + letters
+            ids = cache.get(stem)
+            if ids is None:
+                ids = cache[stem] = array("I", [t.id for t in tokenize(stem.translate(shown))]).tobytes()
+            if mark:
+                cache[word] = ids + self.always[mark]
+        cache.update(zip(other, self._encode(other), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, little-endian and 32 bits each."""
+        cut = [None if not self.by_words or "\0" in t or self.blanks.search(t) else
+               t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
+        every = set().union(*filter(None, cut))
+        new = every.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache.clear()
+            new = every
+        self.cache.update(self.always)
+        self._learn(list(new.difference(self.always)))
+        known = self.cache.__getitem__
+        return [self._encode([t])[0] if words is None else b"".join(map(known, words))
+                for t, words in zip(texts, cut, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder; tasks that follow one another in a worker share its words."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _texts(rows):
+    """doc_id and text, in groups of about GROUP_CHARS characters."""
+    for batch in rows:
+        ids, texts, chars = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            chars += len(texts[-1])
+            if chars >= GROUP_CHARS:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+        if ids:
+            yield ids, texts
 
 
 def _write(path: str, folder: str):
@@ -167,7 +227,7 @@ def _write(path: str, folder: str):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         part, seq = TaskContext.get().partitionId(), 0
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -183,9 +243,9 @@ def _write(path: str, folder: str):
                             name=pa.array([name], pa.string()), docs=pa.array([len(ids)], pa.int64()),
                             tokens=pa.array([total], pa.int64()))
 
-        for batch in rows:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = encoder.encode(text.as_py() or "") + END_ID.to_bytes(4, "little")
+        for doc_ids, texts in _texts(rows):
+            for doc_id, own in zip(doc_ids, encoder.encode_all(texts), strict=True):
+                own += END_ID.to_bytes(4, "little")
                 ids.append(doc_id)
                 sizes.append(len(own) // 4)
                 tokens.append(own)
