@@ -139,7 +139,7 @@ def test_words_are_encoded_as_in_their_text():
     assert encoder.encode_all(texts[::-1]) == want[::-1]
 
 
-@pytest.mark.parametrize("widths", [(9, 7), (4, 4, 4, 4), (16,)])
+@pytest.mark.parametrize("widths", [(8, 8), (9, 7), (4, 4, 4, 4), (16,)])
 def test_every_token_is_addressable(widths):
     rng = np.random.Generator(np.random.PCG64(3))
     tokens = (rng.pareto(0.4, 5000) % 50_257).astype(np.uint32)
