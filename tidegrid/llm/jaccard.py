@@ -379,7 +379,7 @@ def _linked(rows):
     for row in rows:
         a, b = row.column("a").to_pylist(), row.column("b").to_pylist()
         keep, last, one = [], None, None
-        for i, (n, m, s, t) in enumerate(zip(*(row.column(c).to_pylist() for c in ("n", "m", "s", "t")), strict=True)):
+        for i, (n, m, s, t) in enumerate(zip(*(row.column(c).to_pylist() for c in ("k", "m", "s", "t")), strict=True)):
             if a[i] != last:
                 last, one = a[i], P.unpack(s, 6)
             common = len(np.intersect1d(one, P.unpack(t, 6), assume_unique=True))
@@ -389,9 +389,10 @@ def _linked(rows):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    # every column has another name on both sides, so that the plans are equal and one shuffle of the sets serves both
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("body").alias("t"))
-    left = sets.select(F.col("node").alias("a"), "n", F.col("body").alias("s"))
-    return written(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "n", "m", "s", "t")
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("k"), F.col("body").alias("s"))
+    return written(pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "k", "m", "s", "t")
                    .mapInArrow(_linked, "a long, b long"))
 
 
