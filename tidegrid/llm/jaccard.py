@@ -367,11 +367,13 @@ def _linked_blocks(rows):
 
 
 def _verify_blocks(pairs: DataFrame, places: DataFrame, sets: DataFrame) -> DataFrame:
-    packed = written(sets.join(places, "node").groupBy("block").applyInPandas(
+    pairs = written(pairs.distinct())
+    used = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()  # the others are compared already
+    packed = written(sets.join(places.join(used, "block", "left_semi"), "node").groupBy("block").applyInPandas(
         _packed_block, "block long, places binary, tokens binary"))
     left = packed.select(F.col("block").alias("a"), F.col("places").alias("p"), F.col("tokens").alias("s"))
     right = packed.select(F.col("block").alias("b"), F.col("places").alias("q"), F.col("tokens").alias("t"))
-    return written(pairs.distinct().join(right, "b").join(left, "a").select("p", "s", "q", "t").mapInArrow(
+    return written(pairs.join(right, "b").join(left, "a").select("p", "s", "q", "t").mapInArrow(
         _linked_blocks, "a long, b long"))
 
 
