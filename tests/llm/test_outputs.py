@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegrid.llm.chat import calls_of, canonical, link_calls, problems
+from tidegrid.llm.chat import calls_of, canonical, link_calls, other_turns, problems
 from tidegrid.llm.mixing import mix_counts, mix_texts, permuted
 from tidegrid.llm.sharding import assign_shards, shard_of, standard_tree, write_shards
 from tidegrid.llm.token_store import Encoder, Segment, encode_segment, read_tokens, stored_tokens, write_tokens
@@ -197,6 +197,28 @@ def test_calls_of_conversations_come_in_order(spark):
     assert json.loads(got["call-3"].json)["result"] == "text 4" and not got["call-11"].linked
 
 
+def test_every_turn_is_shown_whole(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", f"first {long}"), (1, 2, "assistant", f"call {long}"), (1, 3, "user", f"answer {long}"),
+             (1, 4, "user", "again"), (1, 4, "user", "again"), (1, 5, "assistant", "b one"), (1, 5, "assistant", "a \u00e9 \"two\""), (1, 6, "user", "y"),
+             (1, 6, "user", "x"), (1, 7, "tool", " out\n"), (1, None, "assistant", "no number"), (1, 8, None, "no role"), (2, 0, "user", "only one"),
+             (None, 1, "assistant", "nowhere"), (None, 2, "user", None)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    linked, other = link_calls(*calls_of(frame)).collect(), other_turns(frame).collect()
+    shown = []
+    for r in linked:
+        line = json.loads(r.json)
+        shown += [(r.conv_id, r.turn, "assistant", line["arguments"]["query"])]
+        shown += [(r.conv_id, r.turn + 1, "user", line["result"])] if r.linked else []
+    lines = [(r, json.loads(r.json)) for r in other]
+    assert all(r.call_id is None and r.turn == line["turn"] for r, line in lines)
+    shown += [(r.conv_id, r.turn, line["role"], line["text"]) for r, line in lines]
+    want = {("" if c is None else str(c), *rest) for c, *rest in turns}
+    assert sorted(map(repr, shown)) == sorted(map(repr, want))
+    assert [r.copies for r, line in lines if line["text"] == "again"] == [2]
+    assert other_turns(frame.limit(0)).count() == 0
+
+
 def test_schemas_and_canonical_json():
     schema = {"type": "array", "items": {"type": "string", "enum": ["a", "b"], "minLength": 1}}
     assert problems(["a", 3, "c"], schema) == ["$[1]: not string", "$[2]: not in enum"]

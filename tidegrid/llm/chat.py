@@ -2,7 +2,8 @@
 
 Calls and results are hash-joined by conversation and identifier, calls are put
 in topological order of their references, arguments are validated against the
-tool's schema, and every call is written as one line of canonical JSON.
+tool's schema, and every call is written as one line of canonical JSON. Turns
+that are neither a call nor its result are lines of their own.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm import packed as P
@@ -28,6 +29,8 @@ TOOLS = {
     "measure": {"type": "object", "required": ["limit"], "properties": {"limit": {"type": "integer", "minimum": 20}}},
 }
 _TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool}
+_LINKED = ("conv_id string, call_id string, turn long, name string, position long, level int, "
+           "linked boolean, dangling long, copies long, valid boolean, errors string, json string")
 
 
 def problems(value, schema: dict, path: str = "$") -> list[str]:
@@ -67,28 +70,65 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _call_arguments() -> Column:
+    text = F.coalesce("text", F.lit(""))
+    return F.to_json(F.struct(text.alias("query"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("limit")))
+
+
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that plain conversations stand for.
 
-    Every assistant turn is a call, named by its turn, with its first words as
+    Every assistant turn is a call, named by its turn, with its whole text as
     arguments and a reference to the assistant turn half way back; the user turn
-    that follows answers it.
+    that follows answers it. ``other_turns`` has the rest.
     """
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     name = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     back = F.col("turn") - 2 * F.ceil(F.col("turn") / 4)
-    rows = conversations.select("conv_id", "turn", "role", "text", words.alias("words"))
-    arguments = F.to_json(F.struct(F.array_join(F.slice("words", 1, 8), " ").alias("query"), F.size("words").alias("limit")))
+    rows = conversations.select("conv_id", "turn", "role", "text")
     tools = F.array(*map(F.lit, TOOLS))
     calls = rows.filter("role = 'assistant'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn",
-        F.get(tools, F.pmod(F.col("turn"), F.lit(len(TOOLS))).cast("int")).alias("name"), arguments.alias("arguments"),
+        F.get(tools, F.pmod(F.col("turn"), F.lit(len(TOOLS))).cast("int")).alias("name"), _call_arguments().alias("arguments"),
         F.when(back >= 0, F.array(name(back))).otherwise(F.array().cast("array<string>")).alias("refers"))
     results = rows.filter("role = 'user'").select(
         "conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 
+def _told(rows):
+    for row in rows:
+        cols = {c: row.column(c) for c in row.schema.names}
+        texts = [canonical({"role": role, "text": text, "turn": turn}) for role, text, turn in zip(
+            *(cols[c].to_pylist() for c in ("role", "text", "turn")), strict=True)]
+        none = lambda kind, n=len(texts): pa.nulls(n, kind)
+        yield P.record(conv_id=cols["conv_id"], call_id=none(pa.string()), turn=cols["turn"], name=none(pa.string()),
+                       position=none(pa.int64()), level=none(pa.int32()), linked=pa.array([False] * len(texts), pa.bool_()),
+                       dangling=pa.array([0] * len(texts), pa.int64()), copies=cols["copies"], valid=none(pa.bool_()),
+                       errors=none(pa.string()), json=pa.array(texts, pa.string()))
+
+
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """One row for each turn that ``link_calls`` over ``calls_of`` doesn't show, in its columns.
+
+    These are system and opening user turns, other roles, user turns that answer
+    no call, turns without a number, and of several texts for one turn those that
+    were not taken. They have no identifier, name, position, level or verdict;
+    the JSON holds role, text and turn. Equal rows are one, with ``copies``.
+    """
+    said = written(conversations.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        "role", "text").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")))
+    one = said.filter("turn is not null").groupBy("conv_id", "turn").agg(
+        F.min(F.when(F.col("role") == "assistant", _call_arguments())).alias("__call"),
+        F.min(F.when(F.col("role") == "user", F.struct("text"))).alias("__answer"))
+    asked = one.filter("__call is not null").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("__asked"))
+    called = (F.col("role") == "assistant") & (_call_arguments() == F.col("__call"))
+    answer = (F.col("role") == "user") & F.col("__asked") & F.col("text").eqNullSafe(F.col("__answer.text"))
+    rest = said.join(one.join(asked, ["conv_id", "turn"], "left"), ["conv_id", "turn"], "left").filter(
+        ~F.coalesce(called, F.lit(False)) & ~F.coalesce(answer, F.lit(False)))
+    return rest.select("conv_id", "turn", "role", "text", "copies").mapInArrow(_told, _LINKED)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id and level (longest chain of references below it; -1 on or behind a cycle) of calls that refer.
 
@@ -179,6 +219,4 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = TOOLS) -> D
     ordered = placed.join(firsts, same).select(placed["*"], (F.col("__first") + F.col("__rank")).alias("position"))
     joined = ordered.join(answers, ["conv_id", "call_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     return joined.select("conv_id", "call_id", "turn", "name", "arguments", "refers", "position", "level", "linked",
-                         "content", "dangling", "copies").mapInArrow(_serialised(schemas), (
-                             "conv_id string, call_id string, turn long, name string, position long, level int, "
-                             "linked boolean, dangling long, copies long, valid boolean, errors string, json string"))
+                         "content", "dangling", "copies").mapInArrow(_serialised(schemas), _LINKED)

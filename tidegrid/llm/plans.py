@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.chat import calls_of, link_calls
+from tidegrid.llm.chat import calls_of, link_calls, other_turns
 from tidegrid.llm.common import table
 from tidegrid.llm.decontamination import contaminated
 from tidegrid.llm.jaccard import near_duplicates
@@ -55,7 +55,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_tool_calls")
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_calls(*calls_of(table(spark, sf_dir, "conversations")))
+    conversations = table(spark, sf_dir, "conversations")
+    return link_calls(*calls_of(conversations)).unionByName(other_turns(conversations))
 
 
 @query("op8_token_store")
