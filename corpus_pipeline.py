@@ -45,10 +45,12 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that is like a benchmark item; an id with one goes with all its rows."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(
-        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null")).distinct()
-    return join_small(_boxed(docs), written(hits), ["__id", "__null"], "left_anti").select("__doc.*")
+    """Documents without a window that is like a benchmark item; rows with one id (or none) are told apart by their text."""
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    hits = contaminated(rows, table(spark, sf_dir, "benchmark")).select(
+        F.coalesce("doc_id.doc_id", F.lit(0)).alias("__id"), F.col("doc_id.doc_id").isNull().alias("__null"), "doc_id.h").distinct()
+    boxed = _boxed(docs).withColumn("h", F.xxhash64("__doc.text"))
+    return join_small(boxed, written(hits), ["__id", "__null", "h"], "left_anti").select("__doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,17 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     assert sorted(repr((r.doc_id, r.ids_crc32)) for r in by["token_output"]) == want
     assert {repr(tuple(r)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {
         repr(tuple(r)) for r in by["token_output"]}
+
+
+def test_decontamination_keeps_clean_rows_of_a_shared_id(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    item = prose(30)
+    dirty = [" ".join(prose(20) + item + prose(20)) for _ in range(2)]
+    clean = [" ".join(prose(60)) for _ in range(5)] + [None, ""]
+    rows = [(None, dirty[0]), (7, dirty[1]), (7, dirty[1]), (0, clean[0])]
+    rows += [(i, t) for t in clean for i in (None, 7)] + [(None, clean[1])]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(repr(tuple(r)) for r in kept) == sorted(repr(r) for r in rows if r[1] not in dirty)
