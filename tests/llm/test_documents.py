@@ -94,6 +94,18 @@ def test_jaccard_equals_brute_force(docs, rows):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_link_counts_equal_brute_force(docs, rows, empty):
+    sets = []
+    for _, text, *_ in rows:
+        w = [x.lower() for x in words_of(text)]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    links = [sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = [(r.doc_id, r.n, r.n_links) for r in near_duplicates(docs, count_links=True)[0].collect()]
+    assert sorted(map(repr, got)) == sorted(repr((row[0], len(s), n)) for row, s, n in zip(rows, sets, links, strict=True))
+    assert max(links) > 30
+    assert near_duplicates(empty, count_links=True)[0].count() == 0
+
+
 def test_bands_hold_linked_sizes_together():
     edges = size_bands(5000).tolist()
     band = {n: max(i for i, e in enumerate(edges) if e <= n) for n in range(1, 5001)}

@@ -21,6 +21,7 @@ one batch are one set. Of the sets that meet in the index, each is first compare
 with one pivot, in two rounds. Sets with one pivot form blocks, and blocks in
 which sets of different components still meet are compared as a whole, by matrix
 products, so no link between components is left out and no pairs are shipped.
+To count the links of each document, blocks that meet anywhere are compared.
 """
 
 from __future__ import annotations
@@ -299,6 +300,10 @@ def _pivots(turn: int):
 def _crossing(group: pd.DataFrame) -> pd.DataFrame:
     """Pairs of blocks (a block with itself, too) with a key whose sets lie in different components."""
     keys, _, _, _, comps, blocks = _entries(group)
+    return _block_pairs(keys, comps, blocks)
+
+
+def _block_pairs(keys: np.ndarray, comps: np.ndarray, blocks: np.ndarray) -> pd.DataFrame:
     order = np.lexsort((blocks, keys))
     keys, comps, blocks = keys[order], comps[order], blocks[order]
     new = np.ones(len(keys), dtype=bool)
@@ -322,6 +327,13 @@ def _crossing(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
 
+def _meeting(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of blocks (a block with itself, too) with a key of several sets."""
+    keys, nodes, _, _, _, blocks = _entries(group)
+    # a set is its own component here, so a key with two sets is mixed
+    return _block_pairs(keys, nodes, blocks)
+
+
 def _packed_block(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("node")
     body = group["body"].tolist()
@@ -366,15 +378,40 @@ def _linked_blocks(rows):
         yield P.record(a=pa.array(links[:, 0], pa.int64()), b=pa.array(links[:, 1], pa.int64()))
 
 
+def _counted_blocks(rows):
+    """Of each set of two blocks the documents of the sets that link with it, a block against itself without the set."""
+    for row in rows:
+        nodes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b, p, s, q, t in zip(*(row.column(c).to_pylist() for c in ("a", "b", "p", "s", "q", "t")), strict=True):
+            (node, n, copies, length), (other, m, more, size) = (P.grow(x, np.int64).reshape(-1, 4).T for x in (p, q))
+            common = common_counts(P.unpack(s, 6), np.repeat(np.arange(len(node)), length),
+                                   P.unpack(t, 6), np.repeat(np.arange(len(other)), size), (len(node), len(other)))
+            good = 100 * common >= 75 * (n[:, None] + m[None, :] - common)
+            if a == b:
+                np.fill_diagonal(good, False)
+            else:
+                nodes.append(other)
+                counts.append(copies @ good)
+            nodes.append(node)
+            counts.append(good @ more)
+        nodes, counts = np.concatenate(nodes), np.concatenate(counts)
+        some = counts > 0
+        yield P.record(node=pa.array(nodes[some], pa.int64()), others=pa.array(counts[some], pa.int64()))
+
+
 def _verify_blocks(pairs: DataFrame, places: DataFrame, sets: DataFrame) -> DataFrame:
+    return written(_compared(pairs, places, sets).select("p", "s", "q", "t").mapInArrow(_linked_blocks, "a long, b long"))
+
+
+def _compared(pairs: DataFrame, places: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of blocks a and b with the places and tokens of both."""
     pairs = written(pairs.distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()  # the others are compared already
     packed = written(sets.join(places.join(used, "block", "left_semi"), "node").groupBy("block").applyInPandas(
         _packed_block, "block long, places binary, tokens binary"))
     left = packed.select(F.col("block").alias("a"), F.col("places").alias("p"), F.col("tokens").alias("s"))
     right = packed.select(F.col("block").alias("b"), F.col("places").alias("q"), F.col("tokens").alias("t"))
-    return written(pairs.join(right, "b").join(left, "a").select("p", "s", "q", "t").mapInArrow(
-        _linked_blocks, "a long, b long"))
+    return pairs.join(right, "b").join(left, "a")
 
 
 def _linked(rows):
@@ -445,7 +482,7 @@ def _blocked(sets: DataFrame, pivots: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(parts, "family").select("node", "comp", F.xxhash64("family", part).alias("block"))
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, count_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, h, n, comp, component_id) and the links that were verified (nodes a, b).
 
     h is xxhash64 of the text, n the size of the set, comp the component's
@@ -457,7 +494,9 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows with equal ids are documents of their own; a null id is never the
     smallest unless all are null. An empty table gives none; other columns are
     not read. The links connect each component; within one, pairs that need no
-    check were left out.
+    check were left out. With ``count_links`` the documents also have ``n_links``,
+    the number of other documents that each links with, over all pairs; no pair
+    is written.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -487,9 +526,20 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         comps = written(components(links))
     known = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = known.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "comp", "left").select(
-        "doc_id", "h", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out, links
+    out = known.join(least, "comp", "left")
+    columns = ["doc_id", "h", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count_links:
+        copies = written(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies")))
+        own = places.select("node", F.col("node").alias("comp"), "block")
+        meeting = _with_places(index, own).groupBy("key").applyInPandas(_meeting, "a long, b long")
+        weighed = places.join(copies, "node").select("node", F.col("copies").alias("comp"), "block")
+        others = _compared(meeting, weighed, sets).select("a", "b", "p", "s", "q", "t").mapInArrow(
+            _counted_blocks, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
+        counts = written(copies.join(others, "node", "left").select(
+            "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+        out = out.join(counts, "node", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns), links
 
 
 def dropped_copies(rows: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+@query("jaccard_link_counts")
+def jaccard_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
 @query("op3_substring_dedup", SUBSTRINGS)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
