@@ -1,5 +1,7 @@
 import numpy as np
 import pandas as pd
+import os
+
 import pytest
 from frames import silver_pandas
 from pyspark.sql import functions as F
@@ -51,3 +53,13 @@ def test_each_horizon_has_its_own_model_and_stale_issues_are_withheld(spark):
     shared = ops.scaled(ops.linear(), columns)
     with pytest.raises(DataContractError):
         ops.fit_horizons(train, lambda h: shared, (1, 2))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are absent")
+def test_queries_take_every_horizon_and_feature(spark):
+    from tidegrid.operators import features
+    from tidegrid.plans import models as plans
+
+    rows = plans.issue_rows(spark, "/root/testdata/sf0.01")
+    assert set(features.FEATURES) | set(plans.CALENDAR) <= set(rows.columns)
+    assert sorted(r.horizon for r in rows.select("horizon").distinct().collect()) == list(range(1, 25))

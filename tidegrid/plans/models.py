@@ -9,9 +9,9 @@ from tidegrid.functions.times import DAY, shift
 from tidegrid.operators import evaluation, features, models as ops
 from tidegrid.plans.adapters import days, silver, table
 from tidegrid.plans.registry import query
+from tidegrid.session import written
 
-PLAIN = ("price_eur_mwh", "price_lag_1h", "price_lag_24h", "load_mw", "load_lag_1h", "hour")
-SHORT = (1, 12, 24)
+HORIZONS = tuple(range(1, 25))
 
 
 def gold(spark, d):
@@ -32,17 +32,20 @@ HOLDOUT = "2000-01-01"
 
 def issue_rows(spark, d, horizons=24):
     base = silver(spark, d)
-    rows = ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh", horizons=horizons)
-    return rows.filter(F.col("horizon").isin(*SHORT))
+    return ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh", horizons=horizons)
 
 
-CALENDAR = ("target_hour", "target_day_of_week", "target_is_weekend")
+CALENDAR = ("target_hour", "target_day_of_week", "target_month", "target_is_weekend")
 
 
 def linear_factory(columns):
     return lambda horizon: ops.scaled(ops.linear("label", solver="normal"), columns)
 
 
+def every(columns):
+    return [*ops.linear_family(columns), *ops.tree_family(columns)]
+
+
 @query("ml6_fit_linear")
 def _(spark, d):
     rows = daily_rows(spark, d)
@@ -53,37 +56,37 @@ def _(spark, d):
 
 @query("ml7_linear_family")
 def _(spark, d):
-    small = [c._replace(grid=c.grid[:2]) for c in ops.linear_family(DAILY)]
-    return ops.best_configurations(ops.tune(daily_rows(spark, d), small, YEARS, HOLDOUT))
+    return ops.best_configurations(ops.tune(daily_rows(spark, d), ops.linear_family(DAILY), YEARS, HOLDOUT))
 
 
 @query("ml8_tree_family")
 def _(spark, d):
-    forest, boosted = ops.tree_family(DAILY)
-    small = [forest._replace(grid=[{"numTrees": 10, "maxDepth": 5}]), boosted._replace(grid=[{"maxIter": 5, "maxDepth": 3}])]
-    return ops.best_configurations(ops.tune(daily_rows(spark, d), small, YEARS[:1], HOLDOUT))
+    return ops.best_configurations(ops.tune(daily_rows(spark, d), ops.tree_family(DAILY), YEARS, HOLDOUT))
 
 
 @query("ml9_fit_horizons")
 def _(spark, d):
-    columns = (*PLAIN, *CALENDAR)
+    columns = (*features.FEATURES, *CALENDAR)
     rows = ops.by_horizon(issue_rows(spark, d))
     models = ops.fit_horizons(rows.filter("target_ts < '2024-01-24'"), lambda h: ops.unscaled(
-        GBTRegressor(featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, seed=h), columns), SHORT)
+        GBTRegressor(featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, seed=h), columns), HORIZONS)
     scored = ops.score_horizons(rows.filter("issue >= '2024-01-24'"), models, ["series_id", "issue", "target_ts", "label"])
     return evaluation.metrics_by_horizon(scored.withColumnsRenamed({"label": "actual", "prediction": "predicted"}), ["series_id"], horizon="horizon")
 
 
 @query("ml10_tune")
 def _(spark, d):
-    family = ops.linear_family(DAILY)
-    return ops.tune(daily_rows(spark, d), [family[0], family[1]._replace(grid=family[1].grid[:2])], YEARS, HOLDOUT)
+    return ops.tune(daily_rows(spark, d), ops.linear_family(DAILY), YEARS, HOLDOUT)
 
 
 @query("ml11_ablation")
 def _(spark, d):
-    groups = {"time": ("month", "weekday"), "time + last": ("month", "weekday", "persistence"), "all": DAILY}
-    errors = ops.ablation(daily_rows(spark, d), groups, lambda f: ops.scaled(ops.linear("label"), f), "linear", YEARS, HOLDOUT)
+    order = ("month", "weekday", "persistence", "daily", "weekly")
+    groups = {" + ".join(order[:n]): order[:n] for n in range(1, 6)}
+    rows, errors = written(daily_rows(spark, d)), None
+    for i, c in enumerate(every(DAILY)):
+        part = ops.ablation(rows, groups, lambda f, i=i, c=c: ops.configured(every(f)[i].estimator, c.grid[0]), c.name, YEARS, HOLDOUT)
+        errors = part if errors is None else errors.unionByName(part)
     return evaluation.ablation_aggregate(errors, list(groups), 150.0)
 
 
@@ -96,17 +99,16 @@ def _(spark, d):
 @query("ml13_score")
 def _(spark, d):
     table_ = gold(spark, d).withColumn("label", F.col(features.TARGET))
-    model = ops.fit_linear(table_.filter("ts < '2024-01-24'"), PLAIN)
-    return ops.score(table_, model, PLAIN, "2024-01-25", "2024-01-28", label="label")
+    model = ops.fit_linear(table_.filter("ts < '2024-01-24'"), features.FEATURES)
+    return ops.score(table_, model, features.FEATURES, "2024-01-25", "2024-01-28", label="label")
 
 
 @query("ml14_issue_forecasts")
 def _(spark, d):
-    columns = (*PLAIN, *CALENDAR)
+    columns = (*features.FEATURES, *CALENDAR)
     base = silver(spark, d)
     rows = ops.by_horizon(ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh").filter("target_ts < '2024-01-28'"))
-    horizons = tuple(range(1, 25))
-    models = ops.fit_horizons(rows, linear_factory(columns), horizons)
+    models = ops.fit_horizons(rows, linear_factory(columns), HORIZONS)
     issues = features.issue_features(base).filter("ts >= '2024-01-29'")
     issued, withheld = ops.issue_forecasts(issues, models, columns, "2024-01-29 14:10:00", "linear-1")
     return issued.unionByName(withheld, allowMissingColumns=True)
@@ -130,19 +132,19 @@ def _(spark, d):
 def _(spark, d):
     base = silver(spark, d)
     history = base.select("series_id", "ts", shift("ts", 4200).alias("available_at_utc"), F.col("price_eur_mwh").alias("value"))
-    return ops.evaluate_exogenous(issue_rows(spark, d), linear_factory((*PLAIN, *CALENDAR)), (*PLAIN, *CALENDAR), "2024-01-18 00:00:00",
-                                  "2024-01-24 00:00:00", persistence="price_eur_mwh", history=history, horizons=SHORT)
+    return ops.evaluate_exogenous(issue_rows(spark, d), linear_factory((*features.FEATURES, *CALENDAR)), (*features.FEATURES, *CALENDAR), "2024-01-18 00:00:00",
+                                  "2024-01-24 00:00:00", persistence="price_eur_mwh", history=history, horizons=HORIZONS)
 
 
 @query("ml18_final_holdout")
 def _(spark, d):
-    metrics, _regimes = ops.final_holdout(gold(spark, d), PLAIN, "2024-01-24", "2024-01-30")
+    metrics, _regimes = ops.final_holdout(gold(spark, d), features.FEATURES, "2024-01-24", "2024-01-30")
     return metrics
 
 
 @query("ml18_final_holdout_regimes")
 def _(spark, d):
-    _metrics, regimes = ops.final_holdout(gold(spark, d), PLAIN, "2024-01-24", "2024-01-30")
+    _metrics, regimes = ops.final_holdout(gold(spark, d), features.FEATURES, "2024-01-24", "2024-01-30")
     return regimes
 
 
@@ -151,11 +153,11 @@ def _(spark, d):
     daily = table(spark, d, "orders").groupBy(F.lit("all").alias("series_id"), F.col("o_orderdate").alias("ts")).agg(
         F.avg("o_totalprice").alias("price_eur_mwh"))
     wide = daily.withColumns({"month": F.month("ts"), "weekday": F.weekday("ts")})
-    rows = ops.horizon_rows(wide, daily, "price_eur_mwh", horizons=2, step_s=DAY)
+    rows = ops.horizon_rows(wide, daily, "price_eur_mwh", horizons=24, step_s=DAY)
     columns = ("price_eur_mwh", "month", "weekday", "target_month")
 
     def factory(horizon):
         return ops.scaled(ops.linear("label", solver="normal", weightCol="weight"), columns)
 
     return ops.nested_selection(rows, factory, ("full_expanding", "recency_weighted_365d"), "2001-01-01 00:00:00",
-                                horizons=(1, 2), step_s=DAY, min_train=365).aggregate
+                                horizons=HORIZONS, step_s=DAY, min_train=365).aggregate
