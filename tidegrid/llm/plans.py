@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables."""
+"""The operators over their whole tables."""
 
 from __future__ import annotations
 
@@ -12,12 +12,15 @@ from tidegrid.llm.jaccard import near_duplicates
 from tidegrid.llm.mixing import mix_counts
 from tidegrid.llm.registry import query
 from tidegrid.llm.rules import judge
+from tidegrid.llm.runs import periodic_runs
 from tidegrid.llm.scoring import backoff_scores
 from tidegrid.llm.secrets import find_secrets
 from tidegrid.llm.sharding import assign_shards
-from tidegrid.llm.sql import DECONTAMINATION, JACCARD, RULES, SUBSTRINGS
+from tidegrid.llm.sql import DECONTAMINATION, JACCARD, RULES, RUNS, SUBSTRINGS, TRIE, URLS
 from tidegrid.llm.substrings import remove_repeats
 from tidegrid.llm.token_store import stored_tokens
+from tidegrid.llm.trie import conversation_paths, prefix_trie
+from tidegrid.llm.urls import judge_urls, rules_table
 
 
 @query("op1_secrets")
@@ -79,3 +82,19 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scores")
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs", RUNS)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_prefix_trie", TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(conversation_paths(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_url_filters", URLS)
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark))
