@@ -20,11 +20,12 @@ from tidegrid.session import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the registered query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-RULE_SCHEMA = "action string, host string, path string"
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    """A short list of rules as a table of action, host and path."""
+    rows = [F.struct(*[F.lit(value).alias(name) for name, value in zip(("action", "host", "path"), rule, strict=True)]) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
