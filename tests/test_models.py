@@ -7,7 +7,7 @@ from frames import silver_pandas
 from pyspark.sql import functions as F
 
 from tidegrid import DataContractError
-from tidegrid.operators import features, models as ops
+from tidegrid.operators import features, gram, models as ops
 
 
 def rows(spark, n=300):
@@ -21,7 +21,8 @@ def test_linear_fit_and_coefficient_table(spark):
     model = ops.fit_linear(df, ["x", "z"])
     scored = ops.score(df, model, ["x", "z"], "2026-01-01 01:00:00", "2026-01-02 00:00:00", label="label")
     assert scored.count() == 24 and scored.filter("abs(actual_price - predicted_price) > 1e-6").count() == 0
-    table = ops.coefficients(model, df, ["x", "z"], "m").orderBy("coefficient_magnitude_rank").collect()
+    models = gram.fit(gram.moments(df, [], ["x", "z", "label"]), [], ["x", "z"], gram.linear_configs(["x", "z"], grids=False)[:1])
+    table = ops.coefficients(models, df, ["x", "z"]).orderBy("coefficient_magnitude_rank").collect()
     assert [(r["feature"], r["coefficient_sign"], r["coefficient_magnitude_rank"]) for r in table] == [("x", "positive", 1), ("z", "negative", 2)]
     with pytest.raises(DataContractError):
         ops.score(df.withColumn("x", F.when(F.col("z") > 5, F.col("x"))), model, ["x", "z"], "2026-01-01", "2026-01-05")

@@ -345,27 +345,35 @@ def rolling_folds(issues: DataFrame, test_start, keys: Sequence[str] = ("series_
         F.col("_valid").alias("validation_rows"))
 
 
-def strategy_rows(df: DataFrame, strategy: str, keys: Sequence[str] = ("series_id",), issue: str = "issue") -> DataFrame:
-    """Rows and weights of a training strategy, from issue times alone.
+def strategy_weight(strategy: str, issue: str = "issue", latest: str = "_latest") -> Column:
+    """Weight of a row in a training strategy, from its issue and the latest one; 0 leaves it out.
 
     ``full_expanding``; ``rolling_{n}y`` keeps the last n years;
     ``recency_weighted_{d}d`` halves a row's weight every d days.
     """
-    latest = df.groupBy(*keys).agg(F.max(issue).alias("_latest"))
-    joined = salted_join(df, latest, keys)
     if strategy in ("full_expanding", "full_history"):
-        return joined.withColumn("weight", F.lit(1.0)).drop("_latest")
+        return F.lit(1.0)
     if strategy.startswith("rolling_"):
         years = int(strategy.removeprefix("rolling_").removesuffix("y"))
-        cutoff = F.col("_latest") - F.make_ym_interval(F.lit(years), F.lit(0))
-        return joined.filter(F.col(issue) >= cutoff).withColumn("weight", F.lit(1.0)).drop("_latest")
+        return F.when(F.col(issue) >= F.col(latest) - F.make_ym_interval(F.lit(years), F.lit(0)), 1.0).otherwise(0.0)
     if strategy.startswith("recency_weighted_"):
         half_life = float(strategy.removeprefix("recency_weighted_").removesuffix("d"))
-        age = elapsed_seconds("_latest", issue) / DAY
-        return joined.withColumn("weight", F.pow(F.lit(0.5), age / half_life)).drop("_latest")
+        return F.pow(F.lit(0.5), elapsed_seconds(latest, issue) / DAY / half_life)
     raise DataContractError(f"Unknown training strategy: {strategy}")
 
 
+def strategy_rows(df: DataFrame, strategy: str, keys: Sequence[str] = ("series_id",), issue: str = "issue") -> DataFrame:
+    """Rows and weights of a training strategy, from issue times alone."""
+    weight = strategy_weight(strategy, issue)
+    latest = df.groupBy(*keys).agg(F.max(issue).alias("_latest"))
+    joined = salted_join(df, latest, keys)
+    if strategy.startswith("rolling_"):
+        joined = joined.filter(weight > 0).withColumn("weight", F.lit(1.0))
+    else:
+        joined = joined.withColumn("weight", weight)
+    return joined.drop("_latest")
+
+
 # --- seasonal forecast -----------------------------------------------------------------
 
 def seasonal_forecast(medians: DataFrame, now, keys: Sequence[str] = ("series_id",), horizons: int = 24) -> DataFrame:

@@ -1,9 +1,14 @@
-"""Fits, scoring and selection with Spark ML; every result is a table of predictions or errors."""
+"""Fits, scoring and selection; every result is a table of predictions or errors.
+
+Linear models come from sums of products (``gram``), trees from Spark ML.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -17,15 +22,16 @@ from pyspark.sql import functions as F
 from tidegrid.checks import DataContractError, ensure_none
 from tidegrid.functions.scalars import is_finite
 from tidegrid.functions.times import HOUR, calendar, elapsed_seconds, instant, shift
+from tidegrid.operators import gram
 from tidegrid.operators.evaluation import (
     baselines, baselines_long, error_metrics, expanding_folds, extreme_metrics, fold_aggregate, metrics_by_horizon,
-    nested_aggregate, purged_split, regime_performance, rolling_folds, strategy_rows, with_last_target,
+    nested_aggregate, purged_split, regime_performance, rolling_folds, strategy_weight, with_last_target,
 )
 from tidegrid.operators.joins import attach_targets, weekly_asof
-from tidegrid.operators.ranking import best_per_family, preferred_strategy
+from tidegrid.operators.ranking import best_per_family
 from tidegrid.operators.scale import exact_quantiles
 from tidegrid.operators.stats import max_abs_corr
-from tidegrid.session import checkpointed, written
+from tidegrid.session import written
 
 Factory = Callable[[int], Estimator]
 
@@ -61,40 +67,26 @@ class Candidate(NamedTuple):
     simplicity: int
 
 
-def linear_family(features: Sequence[str], label: str = "label") -> list[Candidate]:
-    """Ordinary, ridge, lasso, elastic net and Huber regression with their grids.
+def tree_family(features: Sequence[str], label: str = "label", seed: int = 42) -> list[Candidate]:
+    """Random forest and gradient boosting with their grids; an empty entry is the untuned reference.
 
-    ``regParam`` is searched directly. It is not the alpha of other libraries:
-    Spark halves the mean squared error, so equal numbers do not mean equal fits.
+    Spark cuts trees at depth 30, which stands for unlimited depth.
     """
     def grid(**axes):
         rows = [{}]
         for name, values in axes.items():
             rows = [{**r, name: v} for r in rows for v in values]
-        return rows
+        return [{}, *rows]
 
-    return [
-        Candidate("Ordinary Linear Regression", scaled(linear(label), features), [{}], 1),
-        Candidate("Ridge Regression", scaled(linear(label, elasticNetParam=0.0), features),
-                  grid(regParam=[0.001, 0.01, 0.1, 1.0, 10.0]), 2),
-        Candidate("Lasso Regression", scaled(linear(label, elasticNetParam=1.0), features),
-                  grid(regParam=[0.001, 0.01, 0.1, 1.0]), 3),
-        Candidate("Elastic Net", scaled(linear(label), features),
-                  grid(regParam=[0.001, 0.01, 0.1, 1.0], elasticNetParam=[0.1, 0.5, 0.9]), 4),
-        Candidate("Huber Regressor", scaled(linear(label, loss="huber"), features), grid(epsilon=[1.35, 1.75]), 5),
-    ]
-
-
-def tree_family(features: Sequence[str], label: str = "label", seed: int = 42) -> list[Candidate]:
-    """Random forest and gradient boosting. Spark has no histogram or XGBoost estimator in its core;
-    ``GBTRegressor`` stands in for both."""
-    forest = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, subsamplingRate=1.0)
-    boosted = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
+    forest = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, subsamplingRate=1.0, featureSubsetStrategy="all",
+                                   numTrees=100, maxDepth=30)
+    boosted = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, maxIter=100, stepSize=0.1, maxDepth=3)
+    # The searched grids.
     return [
         Candidate("Random Forest", unscaled(forest, features),
-                  [{"numTrees": 80, "maxDepth": 12, "minInstancesPerNode": m} for m in (1, 5)], 6),
+                  grid(numTrees=[200, 400], maxDepth=[12, 30], minInstancesPerNode=[1, 4]), 6),
         Candidate("Gradient Boosting", unscaled(boosted, features),
-                  [{"maxIter": 80, "stepSize": s, "maxDepth": 3} for s in (0.03, 0.05)], 7),
+                  grid(maxIter=[100, 200], stepSize=[0.03, 0.05], maxDepth=[2, 3]), 7),
     ]
 
 
@@ -127,6 +119,7 @@ def fit_horizons(rows: DataFrame, factory: Factory, horizons: Sequence[int], thr
     it a table written by horizon (``by_horizon``), so that a fit reads only
     its own partition.
     """
+    require_rows(rows, horizons, horizon)
     estimators = {h: factory(h) for h in horizons}
     if len({id(e) for e in estimators.values()}) != len(estimators):
         raise DataContractError("Each horizon needs its own estimator")
@@ -135,6 +128,36 @@ def fit_horizons(rows: DataFrame, factory: Factory, horizons: Sequence[int], thr
         return dict(fitted)
 
 
+def require_rows(rows: DataFrame, horizons: Sequence[int], horizon: str = "horizon") -> None:
+    """Every horizon needs training rows; one count over the rows."""
+    found = {r[0] for r in rows.groupBy(horizon).agg(F.count("*")).collect()}  # at most one row per horizon
+    missing = sorted(set(horizons) - found)
+    if missing:
+        raise DataContractError(f"No training rows for horizons {missing}")
+
+
+def fit_linear_horizons(rows: DataFrame, lists: Mapping[str, Sequence[str]], horizons: Sequence[int] = tuple(range(1, 25)),
+                        keys: Sequence[str] = (), label: str = "label", horizon: str = "horizon") -> DataFrame:
+    """Least squares for every horizon and feature list, all from one scan of the rows.
+
+    Returns a written table of models keyed by ``keys``, horizon and
+    ``feature_group``, the name of the list.
+    """
+    require_rows(rows, horizons, horizon)
+    columns = list(dict.fromkeys(c for names in lists.values() for c in names))
+    configs = [gram.linear_configs(names, group, grids=False)[0] for group, names in lists.items()]
+    origin = gram.origins(rows, [*columns, label])
+    sums = gram.moments(rows.filter(F.col(horizon).isin(*horizons)), [*keys, horizon], [*columns, label], origin=origin)
+    return written(gram.fit(sums, [*keys, horizon], columns, configs, origin, label))
+
+
+def score_linear_horizons(rows: DataFrame, models: DataFrame, lists: Mapping[str, Sequence[str]], keep: Sequence[str],
+                          keys: Sequence[str] = (), horizon: str = "horizon") -> DataFrame:
+    """keys, horizon, keep, feature_group and prediction of every row by the models of its horizon."""
+    columns = list(dict.fromkeys(c for names in lists.values() for c in names))
+    return gram.score_models(rows, models, [*keys, horizon], columns, keep, ("feature_group",))
+
+
 def score_horizons(rows: DataFrame, models: Mapping[int, Model], keep: Sequence[str], horizon: str = "horizon") -> DataFrame:
     """Predictions of every row by the model of its horizon."""
     parts = [m.transform(rows.filter(F.col(horizon) == h)).select(*keep, horizon, "prediction") for h, m in models.items()]
@@ -166,10 +189,14 @@ def score(df: DataFrame, model: Model, features: Sequence[str], start, end, *, s
     return model.transform(rows).select("series_id", "target_ts", *actual, F.col("prediction").alias("predicted_price"))
 
 
-def issue_forecasts(issues: DataFrame, models: Mapping[int, Model], features: Sequence[str], now, release: str, *,
+def issue_forecasts(issues: DataFrame, models: Mapping[int, Model] | DataFrame, features: Sequence[str], now, release: str, *,
                     max_age_s: int = 3 * HOUR, step_s: int = HOUR, ts: str = "ts",
                     check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """24 rows per fresh and complete issue row of every series, and the withheld rows with a reason."""
+    """24 rows per fresh and complete issue row of every series, and the withheld rows with a reason.
+
+    ``models`` is a table of ``fit_linear_horizons`` with one feature list, or
+    a fitted model per horizon, for which the fresh rows are written once.
+    """
     age = elapsed_seconds(instant(now), ts)
     observed = [f for f in features if not f.startswith("target_")]  # the target calendar is added below
     whole = F.lit(True)
@@ -178,10 +205,16 @@ def issue_forecasts(issues: DataFrame, models: Mapping[int, Model], features: Se
     reason = (F.when((age < 0) | (age > max_age_s), "stale_issue_hour").when(~whole, "incomplete_features"))
     marked = require_features(issues, observed).withColumn("reason", reason)
     withheld = marked.filter("reason IS NOT NULL").select("series_id", F.col(ts).alias("forecast_issue_time"), "reason")
+    table = isinstance(models, DataFrame)
+    horizons = [r[0] for r in models.select("horizon").distinct().collect()] if table else list(models)
     fresh = marked.filter("reason IS NULL").drop("reason").withColumn(
-        "horizon", F.explode(F.array(*[F.lit(h) for h in models])))
+        "horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     fresh = fresh.withColumn("target_ts", shift(ts, F.col("horizon") * step_s)).withColumns(calendar("target_ts", "target_"))
-    scored = score_horizons(fresh, models, ["series_id", ts, "target_ts"])
+    keep = ["series_id", ts, "target_ts"]
+    if table:
+        scored = score_linear_horizons(fresh, models, {"all": list(features)}, keep)
+    else:
+        scored = score_horizons(by_horizon(fresh), models, keep)
     issued = scored.select(
         "series_id", F.col(ts).alias("forecast_issue_time"), F.col("target_ts").alias("target_timestamp"),
         F.col("horizon").alias("horizon_hours"), F.col("prediction").alias("predicted_price_eur_mwh"),
@@ -205,22 +238,55 @@ def predict_folds(folds: DataFrame, estimator: Pipeline, periods: Sequence[str])
     return out
 
 
-def tune(df: DataFrame, candidates: Sequence[Candidate], years: Sequence[int], holdout: str) -> DataFrame:
+CONFIGURATION = ("model_name", "simplicity_rank", "selected_hyperparameters", "feature_group", "feature_count")
+
+
+def tune_linear(df: DataFrame, configs: Sequence[gram.Config], years: Sequence[int], holdout: str, *, label: str = "label",
+                target_ts: str = "target_ts") -> DataFrame:
+    """Errors of every linear configuration on every expanding fold, from yearly sums.
+
+    One scan adds up the years, the fits of all folds and configurations follow
+    from the sums, and one scan scores the validation years. Huber fits scan
+    once per round, for all folds and configurations together.
+    """
+    if any(f"{y + 1}-01-01" > holdout[:10] for y in years):
+        raise DataContractError("Development folds cannot overlap the holdout")
+    columns = list(dict.fromkeys(c for x in configs for c in x.columns))
+    rows = written(df.filter(F.col(target_ts) < instant(holdout)).select(
+        F.year(target_ts).alias("year"), *[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias(label)))
+    origin = gram.origins(rows, [*columns, label])
+    sums = written(gram.moments(rows, ["year"], [*columns, label], origin=origin))
+    fold = "validation_period"
+    folds = df.sparkSession.createDataFrame([(str(y),) for y in years], f"{fold} string")
+    training = gram.expanded(sums, folds, [])
+    models = written(gram.fit(training, [fold], columns, configs, origin, label))
+    if any(c.epsilon is not None for c in configs):
+        start = gram.fit(training, [fold], columns, [gram.linear_configs(columns, grids=False)[0]], origin, label)
+        copies = rows.withColumn(fold, F.explode(F.array_compact(F.array(
+            *[F.when(F.col("year") < y, F.lit(str(y))) for y in years]))))
+        models = written(models.unionByName(gram.fit_huber(copies, [fold], columns, configs, written(start), label=label)))
+    held = rows.filter(F.col("year").isin(*years)).withColumn(fold, F.col("year").cast("string"))
+    scored = gram.score_models(held, models, [fold], columns, [label])
+    return error_metrics(scored.withColumnsRenamed({label: "actual", "prediction": "predicted"}), [*CONFIGURATION, fold])
+
+
+def tune(df: DataFrame, candidates: Sequence[Candidate], years: Sequence[int], holdout: str, threads: int = 4) -> DataFrame:
     """Errors of every configuration on every expanding fold.
 
     Folds are by target time; random folds would leak. Fits are distributed
-    jobs, the driver only loops over configurations.
+    jobs, the driver only loops over configurations, a few at a time.
     """
     folds = written(expanding_folds(df, years, holdout), ("validation_period", "role"))
-    out = None
-    for c in candidates:
-        for params in c.grid:
-            scored = predict_folds(folds, configured(c.estimator, params), [str(y) for y in years])
-            errors = error_metrics(scored, ["validation_period"]).withColumns({
-                "model_name": F.lit(c.name), "simplicity_rank": F.lit(c.simplicity),
-                "selected_hyperparameters": F.lit(str(dict(sorted(params.items()))))})
-            out = errors if out is None else out.unionByName(errors)
-    return out
+
+    def errors_of(task: tuple[Candidate, Mapping[str, float]]) -> DataFrame:
+        c, params = task
+        scored = predict_folds(folds, configured(c.estimator, params), [str(y) for y in years])
+        return error_metrics(scored, ["validation_period"]).withColumns({
+            "model_name": F.lit(c.name), "simplicity_rank": F.lit(c.simplicity),
+            "selected_hyperparameters": F.lit(json.dumps(params, sort_keys=True))})
+
+    with ThreadPoolExecutor(threads) as pool:
+        return reduce(DataFrame.unionByName, pool.map(errors_of, [(c, p) for c in candidates for p in c.grid]))
 
 
 def summarize(errors: DataFrame) -> DataFrame:
@@ -245,14 +311,13 @@ def ablation(df: DataFrame, groups: Mapping[str, Sequence[str]], factory: Callab
     return out
 
 
-def coefficients(model: PipelineModel, df: DataFrame, features: Sequence[str], model_name: str) -> DataFrame:
+def coefficients(models: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Standardised coefficients: signed, magnitude, sign, rank, largest correlation with another feature.
 
-    One row per feature; the coefficients are a property of the fitted model.
+    ``models`` are rows of ``gram.fit`` over ``features``; one row per model and feature.
     """
-    values = [float(v) for v in model.stages[-1].coefficients]
-    table = df.sparkSession.createDataFrame(
-        list(zip([model_name] * len(values), features, values)), "model_name string, feature string, signed_coefficient double")
+    table = models.select("model_name", F.posexplode("standardized").alias("at", "signed_coefficient")).select(
+        "model_name", F.get(F.array(*[F.lit(f) for f in features]), "at").alias("feature"), "signed_coefficient")
     sign = F.signum("signed_coefficient")
     ranked = table.withColumns({
         "importance": F.abs("signed_coefficient"),
@@ -282,21 +347,27 @@ def final_holdout(df: DataFrame, features: Sequence[str], start, end, *, step_s:
     return error_metrics(both, ["model_name"]), regime_performance(labelled).filter("validation_period = 'holdout'")
 
 
-def evaluate_exogenous(rows: DataFrame, factory: Factory, features: Sequence[str], validation_start, test_start, *,
-                       persistence: str, history: DataFrame | None = None, horizons: Sequence[int] = tuple(range(1, 25)),
+def evaluate_exogenous(rows: DataFrame, features: Sequence[str], validation_start, test_start, *, persistence: str,
+                       factory: Factory | None = None, history: DataFrame | None = None, horizons: Sequence[int] = tuple(range(1, 25)),
                        step_s: int = HOUR, min_pairs: int = 2) -> DataFrame:
     """Fit per horizon on train only; candidate, persistence and weekly as-of on identical pairs.
 
+    The candidate is least squares for all horizons from one scan, or the
+    estimator that ``factory`` makes for each horizon.
+
     ``rows`` has (series_id, issue, horizon, target_ts, label, features). A
     baseline without evidence for a pair leaves that pair out, and the candidate
     is also reported on exactly the pairs that the baseline has.
     """
     whole = with_last_target(rows, ["series_id", "issue"])
     parts = by_horizon(purged_split(whole, validation_start, test_start, F.col("last_target")), ("split",))
-    models = fit_horizons(parts.filter("split = 'train'"), factory, horizons)
-    held = parts.filter("split <> 'train'")
+    training, held = parts.filter("split = 'train'"), parts.filter("split <> 'train'")
     keep = ["series_id", "issue", "target_ts", "split", "label", persistence]
-    scored = score_horizons(held, models, keep)
+    if factory is None:
+        lists = {"all": list(features)}
+        scored = score_linear_horizons(held, fit_linear_horizons(training, lists, horizons), lists, keep)
+    else:
+        scored = score_horizons(held, fit_horizons(training, factory, horizons), keep)
     if history is not None:
         weekly = weekly_asof(scored.select("series_id", "issue", "horizon", "target_ts"), history, step_s=step_s)
         scored = scored.join(weekly, ["series_id", "issue", "horizon", "target_ts"], "left")
@@ -321,48 +392,61 @@ def evaluate_exogenous(rows: DataFrame, factory: Factory, features: Sequence[str
 
 class Selection(NamedTuple):
     aggregate: DataFrame
-    strategy: str
+    strategy: DataFrame
     test: DataFrame
 
 
-def nested_selection(rows: DataFrame, factory: Factory, strategies: Sequence[str], test_start, *,
-                     horizons: Sequence[int] = tuple(range(1, 25)), step_s: int = HOUR, min_train: int = 365 * 24) -> Selection:
-    """Choose a training strategy on seasonal rolling folds, refit once, test once.
+# The training strategies.
+STRATEGIES = ("full_expanding", "rolling_1y", "rolling_2y", "rolling_3y", "recency_weighted_90d", "recency_weighted_180d",
+              "recency_weighted_365d", "recency_weighted_730d")
+
+
+def _strategy_models(training: DataFrame, keys: Sequence[str], columns: Sequence[str], strategies: Sequence[str]) -> DataFrame:
+    """Least squares per key, horizon and strategy from one scan; weights are those of the key's own issues."""
+    keys = list(keys)
+    latest = training.groupBy(*keys).agg(F.max("issue").alias("_latest"))
+    dated = training.join(latest, keys)
+    weights = {s: strategy_weight(s, "issue", "_latest") for s in strategies}
+    origin = gram.origins(training, [*columns, "label"])
+    sums = gram.moments(dated, [*keys, "horizon"], [*columns, "label"], weights, origin)
+    return written(gram.fit(sums, [*keys, "horizon", "strategy"], columns, gram.linear_configs(columns, grids=False)[:1], origin))
+
+
+def nested_selection(rows: DataFrame, features: Sequence[str], test_start, *, strategies: Sequence[str] = STRATEGIES,
+                     step_s: int = HOUR, horizons: int = 24, min_train: int = 365 * 24) -> Selection:
+    """Choose a training strategy per series on its seasonal rolling folds, refit once, test once.
 
-    ``rows`` has (series_id, issue, horizon, target_ts, label, features,
-    weight). Test rows are never read before the strategy is fixed.
+    ``rows`` has (series_id, issue, horizon, target_ts, label, features). The
+    folds of every series are rows of a table that is joined to its issues, so
+    series with different years keep their own. Test rows are never read before
+    the strategies are fixed. A series without a complete year is left out; no
+    such series at all is fatal.
     """
-    keys = ["series_id"]
-    whole = by_horizon(with_last_target(rows, ["series_id", "issue"]))
+    columns, keys = list(features), ["series_id"]
+    whole = written(with_last_target(rows, ["series_id", "issue"]))
     before = whole.filter(F.col("last_target") < instant(test_start))
     issues = before.select("series_id", "issue").distinct()
-    folds = rolling_folds(issues, test_start, keys, step_s=step_s, horizons=max(horizons), min_train=min_train)
-    # One row per season of a series: a table of at most four rows per series.
-    chosen = folds.select("fold_id", "season", "validation_start", "validation_end").distinct().collect()
-    if not chosen:
+    folds = written(rolling_folds(issues, test_start, keys, step_s=step_s, horizons=horizons, min_train=min_train))
+    if not folds.limit(1).count():
         raise DataContractError("No complete year supports all seasonal folds")
-    errors = extremes = None
-    for fold in chosen:
-        start, end = F.lit(fold.validation_start), F.lit(fold.validation_end)
-        training = before.filter(F.col("last_target") < start)
-        validation = before.filter((F.col("issue") >= start) & (F.col("last_target") < end))
-        for strategy in strategies:
-            models = fit_horizons(strategy_rows(training, strategy, keys, "issue"), factory, horizons)
-            scored = score_horizons(validation, models, ["series_id", "issue", "label"]).withColumns({
-                "strategy": F.lit(strategy), "fold_id": F.lit(fold.fold_id),
-                "actual": F.col("label"), "predicted": F.col("prediction")})
-            m = metrics_by_horizon(scored, ["strategy", "fold_id"], horizon="horizon").withColumnRenamed("horizon", "horizon_hours")
-            x = extreme_metrics(scored, ["strategy", "fold_id"])
-            errors = m if errors is None else errors.unionByName(m)
-            extremes = x if extremes is None else extremes.unionByName(x)
-    aggregate = checkpointed(nested_aggregate(errors, extremes))
-    strategy = preferred_strategy(aggregate).first()["strategy"]
-    models = fit_horizons(strategy_rows(before, strategy, keys, "issue"), factory, horizons)
+    served = before.join(folds.select("series_id", "fold_id", "validation_start", "validation_end"), "series_id")
+    training = served.filter(F.col("last_target") < F.col("validation_start"))
+    validation = served.filter((F.col("issue") >= F.col("validation_start")) & (F.col("last_target") < F.col("validation_end")))
+    models = _strategy_models(training, [*keys, "fold_id"], columns, strategies)
+    scored = gram.score_models(validation, models, [*keys, "fold_id", "horizon"], columns, ["label"], ("strategy",)).withColumnsRenamed(
+        {"label": "actual", "prediction": "predicted"})
+    by = [*keys, "strategy"]
+    scored = written(scored)
+    errors = metrics_by_horizon(scored, [*by, "fold_id"], horizon="horizon").withColumnRenamed("horizon", "horizon_hours")
+    aggregate = written(nested_aggregate(errors, extreme_metrics(scored, [*by, "fold_id"]), by))
+    line = Window.partitionBy(*keys).orderBy("mean_rmse", "worst_fold_rmse", "mean_absolute_bias", "strategy")  # a handful per series
+    chosen = written(aggregate.withColumn("_r", F.row_number().over(line)).filter("_r = 1").select(*keys, "strategy"))
+    refit = _strategy_models(before.join(chosen.select(*keys), keys, "left_semi"), keys, columns, strategies).join(chosen, by)
     held = whole.filter(F.col("issue") >= instant(test_start))
-    scored = score_horizons(held, models, ["label"]).withColumns({
-        "strategy": F.lit(strategy), "actual": F.col("label"), "predicted": F.col("prediction")})
-    test = metrics_by_horizon(scored, ["strategy"], horizon="horizon").withColumnRenamed("horizon", "horizon_hours")
-    return Selection(aggregate, strategy, test)
+    tested = gram.score_models(held, written(refit), [*keys, "horizon"], columns, ["label"], ("strategy",)).withColumnsRenamed(
+        {"label": "actual", "prediction": "predicted"})
+    test = metrics_by_horizon(tested, by, horizon="horizon").withColumnRenamed("horizon", "horizon_hours")
+    return Selection(aggregate, chosen, test)
 
 
 # --- isolation forest ---------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.times import DAY, HOUR, elapsed_seconds, epoch, instant, iso_duration_seconds, shift
+from tidegrid.operators.gram import correlations
 from tidegrid.operators.scale import exact_quantiles, salted_join, with_previous
 from tidegrid.operators.series import spine
 
@@ -168,16 +169,15 @@ def forecast_summary(df: DataFrame, now, keys: Sequence[str] = ("series_id", "fo
 
 
 def max_abs_corr(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Largest absolute correlation of each column with any other, all pairs in one scan."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    one = df.agg(*[F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
-    rows = [
-        F.struct(F.lit(c).alias("feature"),
-                 F.greatest(*[F.col(f"`{a}|{b}`") for a, b in pairs if c in (a, b)], F.lit(None).cast("double"))
-                 .alias("max_absolute_correlation"))
-        for c in columns
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    """Largest absolute correlation of each column with any other, from one scan of matrix products.
+
+    Null for a column without a correlation (constant, or the only one).
+    """
+    pairs = correlations(df, columns)
+    sides = F.explode(F.array("a", "b")).alias("feature")
+    best = pairs.select(sides, F.abs("correlation").alias("c")).groupBy("feature").agg(F.max("c").alias("max_absolute_correlation"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(best, "feature", "left")
 
 
 # --- inventories ------------------------------------------------------------------

@@ -151,6 +151,37 @@ def days(spark, d) -> DataFrame:
     )
 
 
+# --- DS: the columns of the hourly table by day, one series of all orders -----
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _day_columns():
+    """Column name, SQL before it goes to the grid."""
+    priced = lambda test: f"coalesce(sum(CASE WHEN {test} THEN o_totalprice END), 0) / 1000 * {K}"
+    yield "price_eur_mwh", f"(avg(o_totalprice) - 200000) / 1000 * {K}"
+    yield "load_mw", f"sum(o_totalprice) / 1000 * {K}"
+    for name, value in zip(("biomass_mw", "lignite_mw", "gas_mw", "hydro_mw", "solar_mw"), PRIORITIES, strict=True):
+        yield name, priced(f"o_orderpriority = '{value}'")
+    yield "hard_coal_mw", "count(*)"
+    for name, value in zip(("nuclear_mw", "wind_offshore_mw", "wind_onshore_mw"), "POF", strict=True):
+        yield name, priced(f"o_orderstatus = '{value}'")
+    yield "temperature_2m", f"avg(o_custkey) * {K}"
+    yield "relative_humidity_2m", f"least(100.0, avg(o_totalprice) / 4000 * {K})"
+    yield "wind_speed_10m", f"min(o_totalprice) / 1000 * {K}"
+    yield "cloud_cover", f"least(100.0, max(o_totalprice) / 5000 * {K})"
+    yield "shortwave_radiation", f"max(o_totalprice) / 1000 * {K}"
+
+
+DS_SQL = ("s AS (SELECT *, wind_offshore_mw + wind_onshore_mw AS wind_total_mw FROM (SELECT 'all' AS series_id, o_orderdate AS ts, "
+          + ", ".join(f"round(({x}) * 1024) / 1024 AS {c}" for c, x in _day_columns()) + " FROM orders GROUP BY 1, 2))")
+
+
+def daily_silver(spark, d) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.lit("all").alias("series_id"), F.col("o_orderdate").alias("ts")).agg(
+        *[on_grid(F.expr(x).cast("double")).alias(c) for c, x in _day_columns()]).withColumn(
+            "wind_total_mw", F.col("wind_offshore_mw") + F.col("wind_onshore_mw"))
+
+
 # --- V: forecast vintages: order day -> ship day ------------------------------
 V_SQL = """v AS (
   SELECT 'orders' AS source, 'A69' AS document_type,

@@ -1,33 +1,38 @@
-"""Queries on fits, scoring and selection (no SQL counterpart: rows only)."""
+"""Queries on fits, scoring and selection.
+
+SQL counterparts exist for the sums that the linear fits follow from; the fits
+themselves are held against other implementations in tests.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tidegrid.functions.times import DAY, shift
-from tidegrid.operators import evaluation, features, models as ops
-from tidegrid.plans.adapters import days, silver, table
+from tidegrid.operators import boosting, evaluation, features, gram, models as ops
+from tidegrid.plans.adapters import DS_SQL, S_SQL, daily_silver, silver, table
+from tidegrid.plans.features import ROUNDED, TABLE_SQL, not_null, rounded
 from tidegrid.plans.registry import query
 from tidegrid.session import written
 
 HORIZONS = tuple(range(1, 25))
+YEARS = (1998, 1999, 2000)
+HOLDOUT = "2001-01-01"
+CALENDAR = ("target_hour", "target_day_of_week", "target_month", "target_is_weekend")
+PRIMARY = (*features.FEATURES, *CALENDAR)
+FALLBACK = (*features.FALLBACK_FEATURES, *CALENDAR)
+MEASURED = (*features.FEATURES, features.TARGET)
+DAILY_SQL = TABLE_SQL.replace(S_SQL, DS_SQL).replace(" HOUR", " DAY")
 
 
 def gold(spark, d):
     return features.build_gold(silver(spark, d))
 
 
-def daily_rows(spark, d):
-    """Daily features and the next day's value of each series."""
-    wide = evaluation.baselines(days(spark, d), step_s=DAY)
-    return wide.withColumns({"label": F.col("actual"), "month": F.month("target_ts"), "weekday": F.weekday("target_ts")}).na.drop(
-        subset=["label", "persistence", "daily", "weekly"])
-
-
-DAILY = ("persistence", "daily", "weekly", "month", "weekday")
-YEARS = (1998, 1999)
-HOLDOUT = "2000-01-01"
+def daily_gold(spark, d):
+    """The 31 features and the next day's value of the daily series, over all years."""
+    return rounded(features.build_gold(daily_silver(spark, d), step_s=DAY)).withColumns(
+        {"label": F.col(features.TARGET), "target_ts": shift("ts", DAY)})
 
 
 def issue_rows(spark, d, horizons=24):
@@ -35,65 +40,120 @@ def issue_rows(spark, d, horizons=24):
     return ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh", horizons=horizons)
 
 
-CALENDAR = ("target_hour", "target_day_of_week", "target_month", "target_is_weekend")
+def cumulative_groups():
+    """The five feature groups, each with the columns of the one before."""
+    parts = (("Time Only", features.CALENDAR), ("Time + Price History", features.PRICE_FEATURES),
+             ("Time + Price + Load", features.LOAD_FEATURES),
+             ("Time + Price + Load + Generation", features.GENERATION + features.DERIVED), ("Full", features.WEATHER))
+    groups, so_far = {}, ()
+    for name, more in parts:
+        so_far += more
+        groups[name] = so_far
+    return groups
+
 
+GROUPS = cumulative_groups()
 
-def linear_factory(columns):
-    return lambda horizon: ops.scaled(ops.linear("label", solver="normal"), columns)
 
+def _pairs_sql(by):
+    """Correlations of every two columns of ``x``, where both vary."""
+    values = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MEASURED)
+    keys = "".join(f"a.{k}, " for k in by)
+    same = "".join(f" AND a.{k} = b.{k}" for k in by)
+    place = "list_position([" + ", ".join(f"'{c}'" for c in MEASURED) + "], {})"
+    return (f"v AS (SELECT row_number() OVER () AS rid, {''.join(f'{k}, ' for k in by)}{values} FROM x), "
+            f"u AS (UNPIVOT v ON {', '.join(MEASURED)} INTO NAME name VALUE value), "
+            f"c AS (SELECT {keys}a.name AS a, b.name AS b, CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 "
+            f"THEN corr(a.value, b.value) END AS r "
+            f"FROM u a JOIN u b ON a.rid = b.rid{same} AND {place.format('a.name')} < {place.format('b.name')} GROUP BY ALL) "
+            f"SELECT {''.join(f'{k}, ' for k in by)}a, b, round(r, 8) AS correlation FROM c")
 
-def every(columns):
-    return [*ops.linear_family(columns), *ops.tree_family(columns)]
+
+@query("ml6_correlations", f"WITH {TABLE_SQL}, x AS (SELECT * FROM feat WHERE {not_null(MEASURED)}), " + _pairs_sql([]))
+def _(spark, d):
+    return gram.correlations(rounded(gold(spark, d)), MEASURED).withColumn("correlation", F.round("correlation", 8))
+
+
+@query("ml7_fold_sums", f"WITH {DAILY_SQL}, g AS (SELECT *, year(ts + INTERVAL 1 DAY) AS y FROM feat WHERE {not_null(MEASURED)}), "
+       f"x AS (SELECT f.validation_period, g.* FROM g JOIN (VALUES {', '.join(f'({y!r})' for y in map(str, YEARS))}) f(validation_period) "
+       f"ON y < CAST(f.validation_period AS INTEGER)), " + _pairs_sql(["validation_period"]))
+def _(spark, d):
+    """Correlations of the folds' training rows, from yearly sums that are added up."""
+    rows = daily_gold(spark, d).withColumn("year", F.year("target_ts"))
+    origin = gram.origins(rows, MEASURED)
+    folds = spark.createDataFrame([(str(y),) for y in YEARS], "validation_period string")
+    sums = gram.expanded(gram.moments(rows, ["year"], MEASURED, origin=origin), folds, [])
+    wide = sums.groupBy("validation_period").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * 100 + F.col("j"), "value"))).alias("m"))
+    at = lambda i, j: F.col("m")[i * 100 + j]  # noqa: E731  a few hundred numbers per fold
+    cover = lambda i, j: at(i, j) - at(0, i) * at(0, j) / at(0, 0)
+    varies = lambda i: cover(i, i) > 1e-9 * at(i, i)
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(
+        varies(i) & varies(j), F.round(cover(i, j) / F.sqrt(cover(i, i) * cover(j, j)), 8)).alias("correlation"))
+        for i, a in enumerate(MEASURED, 1) for j, b in enumerate(MEASURED, 1) if i < j]
+    return wide.select("validation_period", F.inline(F.array(*pairs)))
 
 
 @query("ml6_fit_linear")
 def _(spark, d):
-    rows = daily_rows(spark, d)
-    model = ops.fit_linear(rows.filter("target_ts < '2000-01-01'"), DAILY)
-    held = model.transform(rows.filter("target_ts >= '2000-01-01'"))
-    return evaluation.error_metrics(held.select("series_id", F.col("label").alias("actual"), F.col("prediction").alias("predicted")), ["series_id"])
+    rows = written(daily_gold(spark, d))
+    train = rows.filter(f"target_ts < '{HOLDOUT}'")
+    columns, origin = list(features.FEATURES), gram.origins(train, [*features.FEATURES, "label"])
+    models = written(gram.fit(gram.moments(train, ["series_id"], [*columns, "label"], origin=origin), ["series_id"], columns,
+                              gram.linear_configs(columns, grids=False)[:1], origin))
+    scored = gram.score_models(rows.filter(f"target_ts >= '{HOLDOUT}'"), models, ["series_id"], columns, ["label"])
+    return evaluation.error_metrics(scored.withColumnsRenamed({"label": "actual", "prediction": "predicted"}), ["series_id", "model_name"])
 
 
 @query("ml7_linear_family")
 def _(spark, d):
-    return ops.best_configurations(ops.tune(daily_rows(spark, d), ops.linear_family(DAILY), YEARS, HOLDOUT))
+    return ops.best_configurations(ops.tune_linear(daily_gold(spark, d), gram.linear_configs(features.FEATURES), YEARS, HOLDOUT))
 
 
-@query("ml8_tree_family")
+@query("ml8_boosted_family")
 def _(spark, d):
-    return ops.best_configurations(ops.tune(daily_rows(spark, d), ops.tree_family(DAILY), YEARS, HOLDOUT))
+    """Both boosting families, whole grids, three folds."""
+    scored = boosting.tune_boosted(daily_gold(spark, d), boosting.boosted_family(
+        GROUPS["Time + Price + Load + Generation"], GROUPS["Time + Price History"]), YEARS, HOLDOUT)
+    return ops.best_configurations(evaluation.error_metrics(scored, [*ops.CONFIGURATION, "validation_period"]))
 
 
 @query("ml9_fit_horizons")
 def _(spark, d):
-    columns = (*features.FEATURES, *CALENDAR)
-    rows = ops.by_horizon(issue_rows(spark, d))
-    models = ops.fit_horizons(rows.filter("target_ts < '2024-01-24'"), lambda h: ops.unscaled(
-        GBTRegressor(featuresCol="features", labelCol="label", maxIter=5, maxDepth=3, seed=h), columns), HORIZONS)
-    scored = ops.score_horizons(rows.filter("issue >= '2024-01-24'"), models, ["series_id", "issue", "target_ts", "label"])
-    return evaluation.metrics_by_horizon(scored.withColumnsRenamed({"label": "actual", "prediction": "predicted"}), ["series_id"], horizon="horizon")
+    lists = {"primary": PRIMARY, "fallback": FALLBACK}
+    rows = written(issue_rows(spark, d))
+    models = ops.fit_linear_horizons(rows.filter("target_ts < '2024-01-24'"), lists, HORIZONS)
+    scored = ops.score_linear_horizons(rows.filter("issue >= '2024-01-24'"), models, lists, ["series_id", "label"])
+    return evaluation.metrics_by_horizon(scored.withColumnsRenamed({"label": "actual", "prediction": "predicted"}), ["series_id", "feature_group"],
+                                         horizon="horizon")
 
 
 @query("ml10_tune")
 def _(spark, d):
-    return ops.tune(daily_rows(spark, d), ops.linear_family(DAILY), YEARS, HOLDOUT)
+    """Errors of every configuration of the linear and boosting families on every fold."""
+    rows = written(daily_gold(spark, d))
+    linear = ops.tune_linear(rows, gram.linear_configs(features.FEATURES), YEARS, HOLDOUT)
+    scored = boosting.tune_boosted(rows, boosting.boosted_family(
+        GROUPS["Time + Price + Load + Generation"], GROUPS["Time + Price History"]), YEARS, HOLDOUT)
+    return linear.unionByName(evaluation.error_metrics(scored, [*ops.CONFIGURATION, "validation_period"]))
 
 
 @query("ml11_ablation")
 def _(spark, d):
-    order = ("month", "weekday", "persistence", "daily", "weekly")
-    groups = {" + ".join(order[:n]): order[:n] for n in range(1, 6)}
-    rows, errors = written(daily_rows(spark, d)), None
-    for i, c in enumerate(every(DAILY)):
-        part = ops.ablation(rows, groups, lambda f, i=i, c=c: ops.configured(every(f)[i].estimator, c.grid[0]), c.name, YEARS, HOLDOUT)
-        errors = part if errors is None else errors.unionByName(part)
-    return evaluation.ablation_aggregate(errors, list(groups), 150.0)
+    configs = [c for name, columns in GROUPS.items() for c in gram.linear_configs(columns, name, grids=False)]
+    rows = written(daily_gold(spark, d))
+    boosted = [boosting.Boost(name, rank, group, tuple(columns), *settings) for group, columns in GROUPS.items()
+               for name, rank, *settings in (("Gradient Boosting", 7, 100, 0.1, 3, 0.0), ("XGBoost", 8))]
+    scored = boosting.tune_boosted(rows, boosted, YEARS, HOLDOUT)
+    errors = ops.tune_linear(rows, configs, YEARS, HOLDOUT).unionByName(evaluation.error_metrics(scored, [*ops.CONFIGURATION, "validation_period"]))
+    return evaluation.ablation_aggregate(errors, list(GROUPS), 150.0)
 
 
 @query("ml12_coefficients")
 def _(spark, d):
-    rows = daily_rows(spark, d)
-    return ops.coefficients(ops.fit_linear(rows, DAILY), rows, DAILY, "linear")
+    rows, columns = written(daily_gold(spark, d)), list(features.FEATURES)
+    origin = gram.origins(rows, [*columns, "label"])
+    models = gram.fit(gram.moments(rows, [], [*columns, "label"], origin=origin), [], columns, gram.linear_configs(columns, grids=False)[:4], origin)
+    return ops.coefficients(models, rows, columns)
 
 
 @query("ml13_score")
@@ -105,12 +165,11 @@ def _(spark, d):
 
 @query("ml14_issue_forecasts")
 def _(spark, d):
-    columns = (*features.FEATURES, *CALENDAR)
     base = silver(spark, d)
-    rows = ops.by_horizon(ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh").filter("target_ts < '2024-01-28'"))
-    models = ops.fit_horizons(rows, linear_factory(columns), HORIZONS)
+    rows = written(ops.horizon_rows(features.issue_features(base), base, "price_eur_mwh").filter("target_ts < '2024-01-28'"))
+    models = ops.fit_linear_horizons(rows, {"all": PRIMARY}, HORIZONS)
     issues = features.issue_features(base).filter("ts >= '2024-01-29'")
-    issued, withheld = ops.issue_forecasts(issues, models, columns, "2024-01-29 14:10:00", "linear-1")
+    issued, withheld = ops.issue_forecasts(issues, models, PRIMARY, "2024-01-29 14:10:00", "linear-1")
     return issued.unionByName(withheld, allowMissingColumns=True)
 
 
@@ -132,8 +191,8 @@ def _(spark, d):
 def _(spark, d):
     base = silver(spark, d)
     history = base.select("series_id", "ts", shift("ts", 4200).alias("available_at_utc"), F.col("price_eur_mwh").alias("value"))
-    return ops.evaluate_exogenous(issue_rows(spark, d), linear_factory((*features.FEATURES, *CALENDAR)), (*features.FEATURES, *CALENDAR), "2024-01-18 00:00:00",
-                                  "2024-01-24 00:00:00", persistence="price_eur_mwh", history=history, horizons=HORIZONS)
+    return ops.evaluate_exogenous(issue_rows(spark, d), PRIMARY, "2024-01-18 00:00:00", "2024-01-24 00:00:00",
+                                  persistence="price_eur_mwh", history=history, horizons=HORIZONS)
 
 
 @query("ml18_final_holdout")
@@ -150,14 +209,6 @@ def _(spark, d):
 
 @query("ml19_nested_selection")
 def _(spark, d):
-    daily = table(spark, d, "orders").groupBy(F.lit("all").alias("series_id"), F.col("o_orderdate").alias("ts")).agg(
-        F.avg("o_totalprice").alias("price_eur_mwh"))
-    wide = daily.withColumns({"month": F.month("ts"), "weekday": F.weekday("ts")})
-    rows = ops.horizon_rows(wide, daily, "price_eur_mwh", horizons=24, step_s=DAY)
-    columns = ("price_eur_mwh", "month", "weekday", "target_month")
-
-    def factory(horizon):
-        return ops.scaled(ops.linear("label", solver="normal", weightCol="weight"), columns)
-
-    return ops.nested_selection(rows, factory, ("full_expanding", "recency_weighted_365d"), "2001-01-01 00:00:00",
-                                horizons=HORIZONS, step_s=DAY, min_train=365).aggregate
+    base = daily_silver(spark, d)
+    rows = ops.horizon_rows(features.issue_features(base, step_s=DAY), base, "price_eur_mwh", horizons=24, step_s=DAY)
+    return ops.nested_selection(rows, PRIMARY, "2001-01-01 00:00:00", step_s=DAY, horizons=24, min_train=180).aggregate
