@@ -68,3 +68,17 @@ def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     path = f"{shared_dir(spark)}/tidegrid-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def written_buckets(df: DataFrame, column: str, buckets: int, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a table in buckets of ``column`` in the shared folder and read it back.
+
+    For a frame that is joined by one column several times: joins on it need no
+    further shuffle of this side. ``df`` should be partitioned by the column
+    already, or every task writes a file per bucket.
+    """
+    spark = df.sparkSession
+    name = f"tidegrid_{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name).select(*df.columns)
