@@ -83,14 +83,17 @@ def _(spark, d):
     origin = gram.origins(rows, MEASURED)
     folds = spark.createDataFrame([(str(y),) for y in YEARS], "validation_period string")
     sums = gram.expanded(gram.moments(rows, ["year"], MEASURED, origin=origin), folds, [])
-    wide = sums.groupBy("validation_period").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * 100 + F.col("j"), "value"))).alias("m"))
-    at = lambda i, j: F.col("m")[i * 100 + j]  # noqa: E731  a few hundred numbers per fold
-    cover = lambda i, j: at(i, j) - at(0, i) * at(0, j) / at(0, 0)
-    varies = lambda i: cover(i, i) > 1e-9 * at(i, i)
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(
-        varies(i) & varies(j), F.round(cover(i, j) / F.sqrt(cover(i, i) * cover(j, j)), 8)).alias("correlation"))
-        for i, a in enumerate(MEASURED, 1) for j, b in enumerate(MEASURED, 1) if i < j]
-    return wide.select("validation_period", F.inline(F.array(*pairs)))
+    sums, fold = written(sums), "validation_period"
+    rows_of = sums.filter("i = 0 AND j = 0").select(fold, F.col("value").alias("n"))
+    first = sums.filter("i = 0 AND j > 0").select(fold, F.col("j").alias("k"), F.col("value").alias("s"))
+    square = sums.filter("i = j AND i > 0").select(fold, F.col("j").alias("k"), F.col("value").alias("q"))
+    each = first.join(square, [fold, "k"]).join(rows_of, fold).withColumn("v", F.col("q") - F.col("s") * F.col("s") / F.col("n"))
+    name = F.get(F.array(*[F.lit(c) for c in MEASURED]), F.col("k") - 1)
+    side = lambda at, out: each.select(
+        fold, F.col("k").alias(at), name.alias(out), F.col("s").alias(f"s{at}"), F.col("v").alias(f"v{at}"), (F.col("v") > 1e-9 * F.col("q")).alias(f"ok{at}"))
+    pairs = sums.filter("0 < i AND i < j").join(side("i", "a"), [fold, "i"]).join(side("j", "b"), [fold, "j"]).join(rows_of, fold)
+    cover = (F.col("value") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(F.col("vi") * F.col("vj"))
+    return pairs.select(fold, "a", "b", F.when(F.col("oki") & F.col("okj"), F.round(cover, 8)).alias("correlation"))
 
 
 @query("ml6_fit_linear")
