@@ -118,3 +118,33 @@ def test_frames_match_instants_not_seconds(spark):
     frame = TimeFrame(df, ["k"], "ts", back_s=3600)
     got = frame.select(lag=frame.value_at("v", -3600)).orderBy("ts").collect()
     assert [r["lag"] for r in got] == [None, None, 2.0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chained_step_functions_are_associative_and_short(seed):
+    rng = np.random.default_rng(seed)
+    gap = 50
+    at = np.unique(rng.integers(0, 4000, 900)) if seed else np.arange(0, 4000, 5)
+    parts = [ops.steps_of(p, gap) for p in np.array_split(at, 9)]
+    left = parts[0]
+    for p in parts[1:]:
+        left = ops.chained(left, p, gap)
+    right = parts[-1]
+    for p in parts[-2::-1]:
+        right = ops.chained(p, right, gap)
+    whole = ops.steps_of(at, gap)
+    for f in (left, right):
+        asked = np.arange(at[0] - 5, at[0] + gap + 1)
+        assert np.array_equal(f.last(asked, asked * 0 - 1), whole.last(asked, asked * 0 - 1))
+        assert len(f.entries) <= np.searchsorted(at, at[0] + gap) + 1
+
+
+def test_a_flood_of_one_key_is_cut_into_blocks(spark):
+    """Ten events a second for three hours, in many blocks of one key, with a chain that began earlier."""
+    n = 3 * 3600 * 10
+    df = spark.range(n).select(F.lit("k").alias("key"), "id", F.timestamp_micros(F.col("id") * 100_000).alias("run_time"))
+    kept = [r["id"] for r in ops.cooldown(df, ["key"], 7, "run_time", rows_per_block=10_000).orderBy("id").collect()]
+    assert kept == list(range(0, n, 7 * 600))
+    since = spark.createDataFrame([("k", 90_000_000)], "key string, _from long")
+    later = [r["id"] for r in ops.cooldown(df, ["key"], 7, "run_time", rows_per_block=30_000, since=since).orderBy("id").collect()]
+    assert later == list(range(900, n, 7 * 600))

@@ -4,7 +4,7 @@ import pytest
 from frames import silver_pandas
 from pyspark.sql import functions as F
 
-from tidegrid.operators import features
+from tidegrid.operators import features, scale
 from tidegrid.operators.projection import fill_series
 from tidegrid.operators.scale import exact_quantiles, ranked, salted_join, with_previous
 
@@ -19,7 +19,7 @@ def skewed(spark, n=3000):
 def test_exact_quantiles_match_numpy_on_hot_keys_and_repeats(spark):
     pdf = skewed(spark)
     probs = [0.0, 0.05, 0.25, 0.5, 0.77, 0.95, 1.0]
-    got = {r["key"]: r["quantiles"] for r in exact_quantiles(spark.createDataFrame(pdf), ["key"], "value", probs, splits=8).collect()}
+    got = {r["key"]: r["quantiles"] for r in exact_quantiles(spark.createDataFrame(pdf), ["key"], "value", probs, most=8).collect()}
     for key, part in pdf.groupby("key"):
         assert got[key] == pytest.approx(np.quantile(part["value"], probs).tolist(), abs=1e-9)
 
@@ -63,3 +63,32 @@ def test_fill_series_matches_pandas_interpolation(spark, width):
     out = fill_series(spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None))), ["series_id"], ["v"], width=width)
     want = pdf["v"].interpolate().bfill().ffill()
     assert np.allclose(out.orderBy("ts").toPandas()["v"], want)
+
+
+def test_dense_stretches_are_cut_by_rows(spark):
+    """90 % of the rows in one day of one key: ranks stay exact and no bucket is large."""
+    rng = np.random.default_rng(8)
+    seconds = np.unique(np.concatenate([rng.integers(0, 86_400_000, 9000) / 1000 + 40 * 86400, rng.integers(0, 400 * 86400, 1000)]))
+    pdf = pd.DataFrame({"k": "a", "ts": pd.to_datetime(seconds, unit="s")})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame(pdf.iloc[:50].assign(k="b")))
+    micros = F.unix_micros("ts")
+    _, sizes = scale.equal_depth(df, ["k"], micros, F.floor(micros / (30 * 86400 * 10**6)), rows=300)
+    assert sizes.agg(F.max("_n"), F.sum("_n")).first()[0] <= 300 and sizes.agg(F.sum("_n")).first()[0] == len(pdf) + 50
+    got = scale.ranked(df, ["k"], "ts", width=30 * 86400, total="n", rows=300).toPandas().sort_values(["k", "ts"])
+    assert got[got["k"] == "a"]["rn"].tolist() == list(range(1, len(pdf) + 1)) and set(got["n"]) == {len(pdf), 50}
+    ties = spark.range(1000).select(F.lit("a").alias("k"), F.lit(5).cast("long").alias("p"))
+    _, sizes = scale.equal_depth(ties, ["k"], F.col("p"), F.lit(0), rows=100)  # equal positions stay together
+    assert [r["_n"] for r in sizes.collect()] == [1000]
+
+
+@pytest.mark.parametrize("most", [10, 200, 100_000])
+def test_quantiles_narrow_the_range_of_a_rank(spark, most):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": np.where(np.arange(30_000) < 27_000, "hot", "cold"), "v": np.round(rng.lognormal(0, 2, 30_000), 3)})
+    pdf.loc[::7, "v"] = 1.0
+    probs = [0.0, 0.05, 0.5, 0.95, 0.999, 1.0]
+    got = {r["k"]: r["quantiles"] for r in scale.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", probs, most=most).collect()}
+    for k, part in pdf.groupby("k"):
+        assert np.allclose(got[k], part["v"].quantile(probs), rtol=1e-12)
+    whole = scale.exact_quantiles(spark.createDataFrame(pdf), [], "v", [0.25], most=most).first()["quantiles"]
+    assert whole[0] == pytest.approx(pdf["v"].quantile(0.25))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -286,17 +287,77 @@ def active_incidents(df: DataFrame, keys: Sequence[str] = ("component", "event_t
     return latest_per(df, keys, order).filter(F.col("status") == active)
 
 
+NEVER = -(2**62)
+
+
+def kept_path(at: np.ndarray, first: int, gap: int) -> np.ndarray:
+    """Places of the kept events of sorted distinct times, from place ``first`` on, by doubling jumps."""
+    jump = np.append(np.searchsorted(at, at + gap), len(at))
+    path = np.array([first])
+    while True:
+        more = jump[path]
+        if more[0] == len(at):
+            break
+        path = np.concatenate([path, more])
+        jump = jump[jump]
+    return path[path < len(at)]
+
+
+class Steps(NamedTuple):
+    """A step function: a chain that may keep events from ``t`` on keeps ``exits[i]`` last, for the first entry not before ``t``.
+
+    Later than all entries, nothing is kept. The last event before a stretch
+    that starts at ``start`` lies before it, so only times up to start + gap
+    matter, and entries after the first one beyond them are left out.
+    """
+
+    start: int
+    entries: np.ndarray
+    exits: np.ndarray
+
+    def last(self, t: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.entries, t)
+        return np.where(at < len(self.entries), self.exits[np.minimum(at, len(self.exits) - 1)], otherwise)
+
+
+def _trimmed(start: int, entries: np.ndarray, exits: np.ndarray, gap: int) -> Steps:
+    to = int(np.searchsorted(entries, start + gap)) + 1
+    entries, exits = entries[:to], exits[:to]
+    ends = np.append(exits[1:] != exits[:-1], True)
+    return Steps(start, entries[ends], exits[ends])
+
+
+def steps_of(at: np.ndarray, gap: int) -> Steps:
+    """The step function of a block of sorted distinct times."""
+    following = np.searchsorted(at, at + gap)
+    last = np.where(following < len(at), following, np.arange(len(at)))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return _trimmed(int(at[0]), at, at[last], gap)
+        last = further
+
+
+def chained(first: Steps, second: Steps, gap: int) -> Steps:
+    """First one, then the other; associative, and no longer than the first plus the events within its gap."""
+    exits = second.last(first.exits + gap, first.exits)
+    later = second.entries > first.entries[-1]
+    return _trimmed(first.start, np.concatenate([first.entries, second.entries[later]]), np.concatenate([exits, second.exits[later]]), gap)
+
+
 def cooldown(df: DataFrame, keys: Sequence[str], minutes: int, ts: str = "ts", tie: str = "id",
-             rows_per_block: int = 200_000) -> DataFrame:
+             rows_per_block: int = 200_000, since: DataFrame | None = None) -> DataFrame:
     """Drop an event that follows the last *kept* event of its key within ``minutes``.
 
     The chain of kept events is sequential, but only through one number: the
-    time of the last kept event. Each (key, time block) is reduced in parallel
-    to a step function from entry time to the last kept time in the block; the
-    functions of a key, one short list per block, are chained; then every block
-    marks its kept events on its own. Events at one instant keep the first.
-    Blocks are runs of minutes with about ``rows_per_block`` instants, so a
-    busy key is cut into more of them.
+    time of the last kept event. Every block of a key is reduced to a step
+    function from the earliest time that may be kept to the last kept time;
+    neighbours are chained pairwise, round by round, and the entry times of the
+    blocks follow on the way back. No group holds more than one block or two
+    functions, and a function has at most the events of one ``minutes``. Events
+    at one instant keep the first. Blocks are runs of minutes with about
+    ``rows_per_block`` instants. ``since`` (keys, _from in microseconds) names
+    the first time that a key may keep, for chains that began earlier.
     """
     keys = list(keys)
     gap = minutes * 60 * 1_000_000
@@ -311,49 +372,50 @@ def cooldown(df: DataFrame, keys: Sequence[str], minutes: int, ts: str = "ts", t
     # Read by the step functions, the marks and the result: written once.
     blocked = written(instants.withColumn("_minute", minute).join(blocks, [*keys, "_minute"]).drop("_minute"))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-
-    def step_function(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["_us"].to_numpy())
-        # The last kept time when the chain enters the block at each event.
-        following = np.searchsorted(at, at + gap)
-        last = at.copy()
-        for i in range(len(at) - 1, -1, -1):
-            if following[i] < len(at):
-                last[i] = last[following[i]]
-        # Events with the same outcome merge into one step: the latest entry of a run.
-        ends = np.append(last[1:] != last[:-1], True)
-        head = pdf.iloc[[0]][[*keys, "_block"]]
-        out = head.loc[head.index.repeat(int(ends.sum()))].reset_index(drop=True)
-        return out.assign(_entry=at[ends], _exit=last[ends])
-
-    steps = blocked.select(*keys, "_block", "_us").groupBy(*keys, "_block").applyInPandas(
-        step_function, f"{key_schema}, _block long, _entry long, _exit long"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_block", "_entry"])
-        blocks, limits, kept = [], [], None
-        for number_, part in pdf.groupby("_block", sort=True):
-            earliest = -(2**62) if kept is None else kept + gap
-            blocks.append(number_)
-            limits.append(earliest)
-            entries = part["_entry"].to_numpy()
-            at = int(np.searchsorted(entries, earliest))
-            if at < len(entries):
-                kept = int(part["_exit"].iloc[at])
-        head = pdf.iloc[[0]][keys]
-        out = head.loc[head.index.repeat(len(blocks))].reset_index(drop=True)
-        return out.assign(_block=blocks, _from=limits)
-
-    entry = steps.groupBy(*keys).applyInPandas(chain, f"{key_schema}, _block long, _from long")
+    steps_schema = f"{key_schema}, _block long, _start long, _entries array<long>, _exits array<long>"
+
+    def row_of(pdf: pd.DataFrame, block: int, f: Steps) -> pd.DataFrame:
+        return pdf.iloc[[0]][keys].assign(_block=block, _start=f.start, _entries=[f.entries], _exits=[f.exits])
+
+    def functions(pdf: pd.DataFrame) -> list[Steps]:
+        return [Steps(int(s), np.asarray(e), np.asarray(x)) for s, e, x in zip(pdf["_start"], pdf["_entries"], pdf["_exits"], strict=True)]
+
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return row_of(pdf, int(pdf["_block"].iloc[0]), steps_of(np.sort(pdf["_us"].to_numpy()), gap))
+
+    def of_two(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        two = functions(pdf)
+        return row_of(pdf, int(pdf["_block"].iloc[0]) // 2, two[0] if len(two) == 1 else chained(*two, gap))
+
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        limits = pdf["_from"].to_numpy().copy()
+        if len(pdf) == 2:
+            kept = functions(pdf)[0].last(limits[:1], np.array([NEVER]))
+            limits[1] = limits[0] if kept[0] == NEVER else kept[0] + gap
+        return pdf[[*keys, "_block"]].assign(_from=limits)
+
+    half = F.floor(F.col("_block") / 2)
+    rounds = int(blocked.agg(F.max("_block")).first()[0] or 0).bit_length()
+    begin = F.lit(NEVER).cast("long")
+    start = blocked.select(*keys).distinct().withColumn("_block", F.lit(0).cast("long"))
+    entry = start.withColumn("_from", begin) if since is None else start.join(since.select(*keys, "_from"), keys, "left").withColumn(
+        "_from", F.coalesce("_from", begin))
+    if rounds:
+        levels = [written(blocked.select(*keys, "_block", "_us").groupBy(*keys, "_block").applyInPandas(of_block, steps_schema))]
+        for _ in range(rounds - 1):
+            levels.append(written(levels[-1].groupBy(*keys, half.alias("_half")).applyInPandas(of_two, steps_schema)))
+        for level in reversed(levels):
+            above = entry.select(*keys, F.col("_block").alias("_half"), "_from")
+            entry = written(level.withColumn("_half", half).join(above, [*keys, "_half"]).groupBy(*keys, "_half").applyInPandas(
+                back, f"{key_schema}, _block long, _from long"))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_us")
-        at, kept, i = pdf["_us"].to_numpy(), [], 0
-        i = int(np.searchsorted(at, pdf["_from"].iloc[0]))
-        while i < len(at):
-            kept.append(i)
-            i = int(np.searchsorted(at, at[i] + gap))
+        at = pdf["_us"].to_numpy()
+        begin_at = int(np.searchsorted(at, pdf["_from"].iloc[0]))
+        kept = kept_path(at, begin_at, gap) if begin_at < len(at) else []
         return pdf.iloc[kept][[*keys, "_block", "_us"]]
 
     kept = blocked.select(*keys, "_block", "_us").join(entry, [*keys, "_block"]).groupBy(

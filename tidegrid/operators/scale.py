@@ -63,18 +63,47 @@ class TimeFrame:
         return self.frame.withColumns(columns).filter(HOME).drop(BUCKET, HOME)
 
 
+#: Rows that a window over one bucket orders, about, and parts that a larger bucket is cut into at a time.
+BUCKET_ROWS, SPLITS = 500_000, 64
+
+
+def equal_depth(df: DataFrame, keys: Sequence[str], position: Column, coarse: Column, rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``df`` with buckets that order like ``position``, and the written sizes (keys, bucket, _n) of the buckets.
+
+    ``coarse`` cuts by value, so a dense stretch may fill one bucket. A bucket
+    of more than ``rows`` rows is cut again at split points from a sketch of
+    its own positions, round by round; only equal positions stay together.
+    """
+    keys = list(keys)
+    out = df.withColumn(BUCKET, F.array(coarse.cast("long"))).withColumn("_place", position)
+    sizes = written(out.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n")))
+    before = None
+    while True:
+        large = sizes.filter(F.col("_n") > rows)
+        most = large.agg(F.max("_n"), F.sum("_n")).first()
+        if most[0] is None or tuple(most) == before:
+            return out.drop("_place"), sizes
+        before = tuple(most)
+        part = out.join(large.drop("_n"), [*keys, BUCKET], "left_semi")
+        bounds = written(part.groupBy(*keys, BUCKET).agg(F.array_distinct(F.percentile_approx(
+            "_place", [i / SPLITS for i in range(1, SPLITS)], 10_000)).alias("_bounds")))  # a row for each large bucket
+        at = F.when(F.col("_bounds").isNotNull(), F.concat(BUCKET, F.array(_count_not_above("_bounds", F.col("_place"), SPLITS - 1).cast("long"))))
+        out = out.join(bounds, [*keys, BUCKET], "left").withColumn(BUCKET, F.coalesce(at, BUCKET)).drop("_bounds")
+        sizes = written(out.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n")))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: str, *, width: int, out: str = "rn",
-           total: str | None = None, position: Column | None = None) -> DataFrame:
+           total: str | None = None, position: Column | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
     """Row number in the order of a column per key, and optionally the row count per key.
 
     Ranks are taken inside buckets of ``position`` (the seconds of a timestamp
-    column by default, ``width`` per bucket); a small table with one row per
-    bucket carries the offsets. Order values must be unique per key.
+    column by default, ``width`` per bucket, dense ones cut to ``rows`` rows); a
+    small table with one row per bucket carries the offsets. Order values must
+    be unique per key.
     """
     keys = list(keys)
     axis = epoch(order) if position is None else position
-    bucketed = df.withColumn(BUCKET, F.floor(axis / width))
-    sizes = bucketed.groupBy(*keys, BUCKET).agg(F.count("*").alias("_n"))
+    bucketed, sizes = equal_depth(df, keys, axis, F.floor(axis / width), rows)
     upto = Window.partitionBy(*keys).orderBy(BUCKET)
     offsets = sizes.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     if total:
@@ -92,7 +121,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, *, width_s: int,
                   out: str = "previous_ts") -> DataFrame:
     """Time of the row before, in time order per key, without a window over a whole key."""
     keys = list(keys)
-    bucketed = df.withColumn(BUCKET, F.floor(epoch(ts) / width_s))
+    bucketed, _ = equal_depth(df, keys, epoch(ts), F.floor(epoch(ts) / width_s))
     upto = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carried = bucketed.groupBy(*keys, BUCKET).agg(F.max(ts).alias("_max")).withColumn(
         "_carried", F.max("_max").over(upto)
@@ -148,64 +177,60 @@ def _count_not_above(bounds: str, value: Column, size: int, low: int = 0) -> Col
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    *, out: str = "quantiles", splits: int = 64) -> DataFrame:
+                    *, out: str = "quantiles", most: int = 100_000) -> DataFrame:
     """Exact quantiles with linear interpolation, one array per key.
 
     Values are counted per (key, value) first, so repeated values and hot keys
-    collapse before anything is ordered. Approximate quantiles of the distinct
-    values only choose the split points; only the value ranges that hold a
-    wanted rank are then ordered, each in its own task.
+    collapse before anything is ordered. While the range that holds a wanted
+    rank has more than ``most`` distinct values, a sketch of that range cuts it
+    into ``SPLITS`` ranges and only those with a wanted rank stay. Each range is
+    then ordered in a task of its own.
     """
     keys = list(keys)
     key_list = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
-    # Three branches read the counts: they are written once instead of being
-    # recomputed from the input for the bounds, the totals and the picked ranges.
-    counted = written(
+    place = [*key_list, BUCKET]
+    part = written(
         source.filter(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*key_list, F.col(value).alias("_v"))
+        .groupBy(*key_list, F.lit(0).cast("long").alias(BUCKET), F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    bounds = counted.groupBy(*key_list).agg(
-        F.percentile_approx("_v", [i / splits for i in range(1, splits)], 10_000).alias("_bounds"),
-        F.sum("_c").alias("_n"),
-    )
-    bounds = bounds.withColumn("_bounds", F.array_distinct("_bounds"))
-    placed = salted_join(counted, bounds, key_list).withColumn(
-        BUCKET, _count_not_above("_bounds", F.col("_v"), splits - 1)
-    ).drop("_bounds")
-    totals = placed.groupBy(*key_list, BUCKET).agg(
-        F.sum("_c").alias("_rows"), F.max("_n").alias("_n")
-    )
-    upto = Window.partitionBy(*key_list).orderBy(BUCKET)
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                       for i, p in enumerate(probs)])
-    ranges = (
-        totals.withColumn("_before", F.sum("_rows").over(upto) - F.col("_rows"))
-        .withColumn("_w", F.explode(wanted))
-        .withColumn("_h", (F.col("_n") - 1) * F.col("_w.p"))
-        .withColumn("_rank", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
-        .filter((F.col("_rank") >= F.col("_before"))
-                & (F.col("_rank") < F.col("_before") + F.col("_rows")))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    # One row for each range and wanted rank: probability, exact place, rank, and rows before the range.
+    needed = (
+        part.groupBy(*place).agg(F.sum("_c").alias("_n"))
+        .withColumn("_w", F.explode(wanted)).withColumn("_h", (F.col("_n") - 1) * F.col("_w.p"))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))))
+        .select(*place, F.col("_w.i").alias("_i"), "_h", "_rank", F.lit(0).cast("long").alias("_before"))
     )
-    needed = ranges.groupBy(*key_list, BUCKET, "_before").agg(
-        F.collect_set(F.struct(F.col("_w.i").alias("i"), F.col("_h").alias("h"),
-                               F.col("_rank").alias("rank"))).alias("_want")
-    )
-    local = Window.partitionBy(*key_list, BUCKET).orderBy("_v")
+    size = None
+    while True:
+        sizes = part.groupBy(*place).agg(F.count("*").alias("_d"))
+        now = sizes.filter(F.col("_d") > most).agg(F.max("_d")).first()[0]
+        if now is None or now == size:
+            break
+        size = now
+        bounds = part.groupBy(*place).agg(F.array_distinct(F.percentile_approx(
+            "_v", [i / SPLITS for i in range(1, SPLITS)], 10_000)).alias("_bounds"))
+        cut = written(salted_join(part, bounds, place).withColumn("_sub", _count_not_above("_bounds", F.col("_v"), SPLITS - 1)).drop("_bounds"))
+        totals = cut.groupBy(*place, "_sub").agg(F.sum("_c").alias("_rows"))
+        upto = Window.partitionBy(*place).orderBy("_sub")
+        inside = totals.withColumn("_inside", F.sum("_rows").over(upto) - F.col("_rows"))
+        start = F.col("_before") + F.col("_inside")
+        needed = written(
+            needed.join(inside, place).filter((F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_rows")))
+            .select(*key_list, (F.col(BUCKET) * SPLITS + F.col("_sub")).alias(BUCKET), "_i", "_h", "_rank", start.alias("_before")))
+        finer = cut.withColumn(BUCKET, F.col(BUCKET) * SPLITS + F.col("_sub")).drop("_sub")
+        part = written(finer.join(F.broadcast(needed.select(*place).distinct()) if not keys else needed.select(*place).distinct(), place, "left_semi"))
+    local = Window.partitionBy(*place).orderBy("_v")
     picked = (
-        placed.join(needed, [*key_list, BUCKET])
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(local))
-        .withColumn("_w", F.explode("_want"))
-        .filter((F.col("_w.rank") < F.col("_end"))
-                & (F.col("_w.rank") >= F.col("_end") - F.col("_c")))
-    )
-    low = F.min(F.struct(F.col("_w.rank").alias("r"), F.col("_v").alias("v")))["v"]
-    high = F.max(F.struct(F.col("_w.rank").alias("r"), F.col("_v").alias("v")))["v"]
-    weight = F.max(F.col("_w.h") - F.floor("_w.h"))
-    per_prob = picked.groupBy(*key_list, F.col("_w.i").alias("_i")).agg(
-        (low + (high - low) * weight).alias("_q")
+        part.withColumn("_end", F.sum("_c").over(local)).join(needed, place)
+        .filter((F.col("_rank") < F.col("_before") + F.col("_end")) & (F.col("_rank") >= F.col("_before") + F.col("_end") - F.col("_c")))
     )
+    low = F.min(F.struct(F.col("_rank").alias("r"), F.col("_v").alias("v")))["v"]
+    high = F.max(F.struct(F.col("_rank").alias("r"), F.col("_v").alias("v")))["v"]
+    weight = F.max(F.col("_h") - F.floor("_h"))
+    per_prob = picked.groupBy(*key_list, "_i").agg((low + (high - low) * weight).alias("_q"))
     result = per_prob.groupBy(*key_list).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]
