@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from frames import table, values
 from pyspark.sql import functions as F
@@ -70,6 +72,10 @@ def test_published_versions_and_pointer(spark, tmp_path):
     sinks.publish_table(table(spark, "k int", [(1,)]), root)
     assert sinks.publish_table(table(spark, "k int", [(1,), (2,)]), root) == 2
     assert sinks.read_published(spark, root).count() == 2
+    with ThreadPoolExecutor(4) as pool:  # several writers at a time: every one gets a number of its own
+        numbers = list(pool.map(lambda k: sinks.publish_table(table(spark, "k int", [(k,)]), root), range(4)))
+    assert sorted(numbers) == [3, 4, 5, 6] and sinks.current_version(spark, root) == 6
+    assert values(sinks.read_published(spark, root), "k") == [(numbers.index(6),)]
 
 
 def test_only_delivered_partitions_are_replaced(spark, tmp_path):

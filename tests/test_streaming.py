@@ -4,7 +4,7 @@ import pytest
 from frames import table, values
 from pyspark.sql import functions as F
 
-from tidegrid.sources.sinks import publish_table, read_published
+from tidegrid.sources.sinks import VersionTaken, manifest, publish_parts, publish_table, read_published
 from tidegrid.streaming import jobs
 
 
@@ -53,6 +53,20 @@ def test_stream_merge_equals_batches_in_order(spark, tmp_path):
     assert values(read_published(spark, root), "value") == [(1.0,), (3.0,), (4.0,)]
 
 
+def test_a_batch_writes_only_the_parts_that_it_touches(spark, tmp_path):
+    schema = "series_id string, ts timestamp, value double"
+    root, window = str(tmp_path / "table"), ("2026-01-01 00:00:00", "2026-04-01 00:00:00")
+    feed(str(tmp_path / "in"), [table(spark, schema, rows) for rows in (
+        [("a", f"2026-0{m}-10 00:00:00", float(m)) for m in (1, 2, 3)], [("a", "2026-02-10 00:00:00", 9.0), ("a", "2026-02-11 00:00:00", 8.0)])])
+    jobs.stream_merge(source(spark, str(tmp_path / "in"), schema), root, ["series_id", "ts"], window, checkpoint=str(tmp_path / "cp")).awaitTermination()
+    first, second = manifest(spark, root, 1), manifest(spark, root)
+    assert second.version == 2 and {p for p in second.parts if second.parts[p] != first.parts.get(p)} == {"2026-02"}
+    assert values(read_published(spark, root), "value") == [(1.0,), (3.0,), (8.0,), (9.0,)]
+    with pytest.raises(VersionTaken):  # another writer that had read version 1
+        publish_parts(table(spark, schema, [("a", "2026-03-10 00:00:00", 0.0)]), root, F.date_format("ts", "yyyy-MM"), first)
+    assert manifest(spark, root) == second
+
+
 @pytest.mark.parametrize("split", [1, 3])
 def test_stream_cooldown_equals_the_batch_rule(spark, tmp_path, split):
     schema = "component string, run_time timestamp, id long"
@@ -60,8 +74,15 @@ def test_stream_cooldown_equals_the_batch_rule(spark, tmp_path, split):
     rows.sort(key=lambda r: r[1])
     size = -(-len(rows) // split)
     feed(str(tmp_path / "in"), [table(spark, schema, rows[i:i + size]) for i in range(0, len(rows), size)])
-    out = drain(jobs.stream_cooldown(source(spark, str(tmp_path / "in"), schema), ["component"], 60), tmp_path, spark)
+    root, feed_schema = str(tmp_path / "kept"), table(spark, schema, rows[:1]).schema
+    jobs.stream_cooldown(source(spark, str(tmp_path / "in"), schema), root, ["component"], 60, checkpoint=str(tmp_path / "cp")).awaitTermination()
+    out = jobs.read_cooldown(spark, root, feed_schema)
     assert sorted((r["component"], r["id"]) for r in out.collect()) == [("a", 0), ("a", 61), ("a", 121), ("b", 1)]
+    # the state goes on after a restart: 12 minutes after the last kept event of a, and an event far too late
+    more = [("a", "2026-01-01 02:13:00", 133), ("a", "2026-01-01 03:02:00", 182), ("c", "2026-01-01 00:10:00", 5)]
+    feed(str(tmp_path / "in"), [table(spark, schema, more)])
+    jobs.stream_cooldown(source(spark, str(tmp_path / "in"), schema), root, ["component"], 60, checkpoint=str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["id"] for r in jobs.read_cooldown(spark, root, feed_schema).collect()) == [0, 1, 61, 121, 182]
 
 
 def test_stream_realized_needs_earlier_issuance(spark, tmp_path):

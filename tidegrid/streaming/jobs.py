@@ -6,19 +6,20 @@ chooses sink, checkpoint folder and trigger.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidegrid.checks import ensure_unique
 from tidegrid.functions.times import HOUR, QUARTER, is_exact
-from tidegrid.operators.joins import match_realized
+from tidegrid.operators.features import cooldown
 from tidegrid.operators.merge import merge_revisions
-from tidegrid.sources.sinks import current_version, publish_table, read_published
+from tidegrid.session import written
+from tidegrid.sources.sinks import Manifest, VersionTaken, _path, manifest, publish_parts, read_parts, read_published
 
 LATE = "48 hours"
 
@@ -40,46 +41,52 @@ def stream_dedupe(df: DataFrame, identity: Sequence[str], ts: str = "acquired_at
 
 
 def stream_merge(df: DataFrame, root: str, keys: Sequence[str], window: tuple, *, checkpoint: str, ts: str = "ts",
-                 order: str | None = None) -> StreamingQuery:
-    """Merge every micro-batch into a published table under the revision rules.
-
-    The batch number is stored with the version, so a batch that Spark repeats
-    after a failure is not merged twice.
+                 order: str | None = None, part: Column | None = None, tries: int = 5) -> StreamingQuery:
+    """Merge every micro-batch into a published table under the revision rules, part by part.
+
+    ``part`` names the part of a row (its month by default) and must follow
+    from the keys. Only the parts that a batch delivers rows for are read,
+    merged and written; the manifest goes on referring to all others. The
+    batch number is published with the version, so a batch that Spark repeats
+    after a failure is not merged twice; if another writer publishes in
+    between, the batch is merged again on top of that.
     """
+    part = F.date_format(ts, "yyyy-MM") if part is None else part
+
+    def merged(spark: SparkSession, incoming: DataFrame, touched: list[str], before: Manifest | None) -> DataFrame:
+        if before is None:
+            return incoming
+        if list(before.parts) == [""]:  # published as a whole so far
+            return merge_revisions(read_published(spark, root), incoming, keys, ts=ts, window=window, retain=True).data
+        return merge_revisions(read_parts(spark, root, before, touched), incoming, keys, ts=ts, window=window, retain=True).data
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        marker = f"{root}/batches"
-        done = _last_batch(spark, marker)
-        if done is not None and number <= done:
-            return
         incoming = batch
         if order:
             row = F.max(F.struct(F.col(order), F.struct(*batch.columns).alias("r")))["r"]
-            incoming = batch.groupBy(*keys).agg(row.alias("_r")).select("_r.*")
-            incoming = incoming.drop(order)
+            incoming = batch.groupBy(*keys).agg(row.alias("_r")).select("_r.*").drop(order)
         else:
             ensure_unique(incoming, list(keys), "The delivery repeats a key")
-        if current_version(spark, root) is None:
-            publish_table(incoming, root)
-        else:
-            merged = merge_revisions(read_published(spark, root), incoming, keys, ts=ts, window=window, retain=True)
-            publish_table(merged.data, root)
-        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("append").json(marker)
+        touched = [r[0] for r in incoming.select(part.alias("p")).distinct().collect()]  # parts, not rows
+        for turn in range(tries):
+            before = manifest(spark, root)
+            if before and before.mark is not None and int(before.mark) >= number:
+                return
+            out = merged(spark, incoming, touched, before)
+            base = before._replace(parts={}) if before and list(before.parts) == [""] else before
+            try:
+                publish_parts(out, root, part, base, mark=str(number))
+                return
+            except VersionTaken:
+                if turn + 1 == tries:
+                    raise
 
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _last_batch(spark: SparkSession, path: str) -> int | None:
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        return spark.read.schema("batch long").json(path).agg(F.max("batch")).first()[0]
-    except AnalysisException:
-        return None
-
-
 def stream_realized(forecasts: DataFrame, actual: DataFrame, late: str = "25 hours", step_s: int = HOUR) -> DataFrame:
     """Stream-stream join of issued forecasts with the values that came true.
 
@@ -96,40 +103,47 @@ def stream_realized(forecasts: DataFrame, actual: DataFrame, late: str = "25 hou
         {"signed_error": error, "absolute_error": F.abs(error), "squared_error": error * error})
 
 
-def realized_batch(forecasts: DataFrame, actual: DataFrame, now) -> DataFrame:
-    return match_realized(forecasts, actual, now)
-
+def stream_cooldown(df: DataFrame, root: str, keys: Sequence[str], minutes: int, *, checkpoint: str, ts: str = "run_time",
+                    tie: str = "id", late: str = "1 hour") -> StreamingQuery:
+    """Drop a repeat of a key within ``minutes`` of its last kept event, batch by batch.
 
-def stream_cooldown(df: DataFrame, keys: Sequence[str], minutes: int, ts: str = "run_time", late: str = "1 hour") -> DataFrame:
-    """Drop a repeat of a key within ``minutes`` of its last kept event; state is one time per key.
-
-    Events of a micro-batch are taken in time order; an event older than the
-    last kept one counts as a repeat. An idle key leaves the state.
+    Every micro-batch is thinned by the batch rule (``cooldown``), which cuts a
+    busy key into blocks; only the last kept time of each key goes on to the
+    next batch, as a small table beside the rows. An event older than the last
+    kept one counts as a repeat, one older than ``late`` before the newest event
+    of the batches before is dropped, and so are the times of keys that have
+    been idle for so long. Rows and state of a batch are folders of its own, so
+    a repeated batch writes them again. ``read_cooldown`` reads the rows.
     """
     keys = list(keys)
-    gap = pd.Timedelta(minutes=minutes)
-    types = dict(df.dtypes)
-    out = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    gap, slack = minutes * 60 * 1_000_000, int(pd.Timedelta(late).value // 1000)
+    kinds = dict(df.dtypes)
+    state_schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "last_us long, seen_us long, batch long"])
 
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(ts, kind="stable")
-        kept = []
-        for i, at in enumerate(rows[ts]):
-            if last is None or at - last >= gap:
-                kept.append(i)
-                last = at
-        if last is not None:
-            micros = int(last.value // 1000) if last.unit == "ns" else int(last.as_unit("us").value)
-            state.update((micros,))
-            limit = micros // 1000 + minutes * 60_000
-            watermark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(limit, watermark + 1))
-        yield rows.iloc[kept]
-
-    assert set(keys) <= set(types)
-    return df.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(
-        keep, out, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path, fs = _path(spark, f"{root}/state")
+        numbers = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path)] if fs.exists(path) else []
+        newest = max((n for n in numbers if n < number), default=None)
+        state = spark.createDataFrame([], state_schema) if newest is None else spark.read.schema(state_schema).parquet(
+            f"{root}/state").filter(F.col("batch") == newest)
+        seen = state.agg(F.max("seen_us")).first()[0]
+        us = F.unix_micros(ts)
+        fresh = batch if seen is None else batch.filter(us >= seen - slack)
+        since = state.filter("last_us IS NOT NULL").select(*keys, (F.col("last_us") + gap).alias("_from"))
+        kept = written(cooldown(fresh, keys, minutes, ts, tie, since=since))
+        kept.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        top = max(x for x in (seen, batch.agg(F.max(us)).first()[0], 0) if x is not None)
+        last = state.filter("last_us IS NOT NULL").select(*keys, "last_us").unionByName(
+            kept.groupBy(*keys).agg(F.max(us).alias("last_us"))).groupBy(*keys).agg(F.max("last_us").alias("last_us"))
+        alive = last.filter(F.col("last_us") + gap >= top - slack).withColumn("seen_us", F.lit(top).cast("long"))
+        blank = spark.range(1).select(*[F.lit(None).cast(kinds[k]).alias(k) for k in keys], F.lit(None).cast("long").alias("last_us"),
+                                      F.lit(top).cast("long").alias("seen_us"))  # keeps the newest time when no key is alive
+        alive.unionByName(blank).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_cooldown(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The rows that ``stream_cooldown`` kept."""
+    return spark.read.schema(schema).parquet(f"{root}/rows").select(*schema.names)
