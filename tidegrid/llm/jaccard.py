@@ -26,6 +26,8 @@ To count the links of each document, blocks that meet anywhere are compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import packed as P
-from tidegrid.session import written
+from tidegrid.operators.scale import salted_join
+from tidegrid.session import written, written_buckets
 
 SHINGLE = 5
 #: Sets from which a token is frequent; also the sets of a batch from which it is counted there and then.
@@ -41,6 +44,8 @@ FREQUENT = 32
 #: Bytes of text whose tokens a bucket holds, about.
 BUCKET_BYTES = 4_000_000
 HASH_BITS = 48
+#: Bytes of a token that a bucket ships; the bucket number holds the bits above them.
+WIDTH = 5
 #: Rounds in which every set is compared with one pivot before the rest is compared.
 PIVOT_ROUNDS = 2
 #: Tokens and sets that a block of the last comparison holds, about.
@@ -75,65 +80,98 @@ def shingle_sets(words: P.Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.
     return hashes, doc, np.bincount(doc, minlength=docs)
 
 
-def _first_copies(tokens: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For every document the first one of the batch with the same set."""
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    signs = np.zeros((len(sizes), 3), dtype=np.uint64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        for k in range(2):
-            signs[full, k] = np.add.reduceat(P.mix(tokens * P._ODD[k + 40]), edges[full])
-    signs[:, 2] = sizes
-    _, first, back = np.unique(signs, axis=0, return_index=True, return_inverse=True)
-    return first[back.ravel()]
+#: Bytes of text whose n-grams are hashed at a time, and of packed tokens that a task merges by bucket before it ships them.
+STRETCH_BYTES, MERGED_BYTES = 1_000_000, 48_000_000
+
 
+def batch_sets(data: bytes, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, documents and sizes as ``shingle_sets``, and for every document the first one with the same set.
 
-_TOKEN_SCHEMA = "bucket long, batch long, tokens binary, docs binary, hot binary, ids binary"
+    Documents are hashed a stretch at a time, so that only the tokens
+    themselves (10 bytes each) are held for the whole batch.
+    """
+    tokens, doc, sizes, signs = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.int64)], [np.empty((0, 3), np.uint64)]
+    texts, at = data.split(b"\n"), 0
+    while at < docs:
+        to, held = at, 0
+        while to < docs and (to == at or held + len(texts[to]) <= STRETCH_BYTES):
+            held += len(texts[to])
+            to += 1
+        own, of, many = shingle_sets(P.Words(b"\n".join(texts[at:to])), to - at)
+        edges = np.concatenate([[0], np.cumsum(many)])
+        sign = np.zeros((to - at, 3), dtype=np.uint64)
+        full = np.flatnonzero(many)
+        if len(full):
+            for k in range(2):
+                sign[full, k] = np.add.reduceat(P.mix(own * P._ODD[k + 40]), edges[full])
+        sign[:, 2] = many
+        tokens.append(own)
+        doc.append((of + at).astype(np.uint16))
+        sizes.append(many)
+        signs.append(sign)
+        at = to
+    _, first, back = np.unique(np.concatenate(signs), axis=0, return_index=True, return_inverse=True)
+    return np.concatenate(tokens), np.concatenate(doc), np.concatenate(sizes), first[back.ravel()]
+
+
+_TOKEN_SCHEMA = "bucket long, batches array<long>, tokens array<binary>, docs array<binary>, hot array<binary>, ids binary"
 
 
 def _token_rows(bits: int):
     def rows_of(rows):
+        held, size = {}, 0
         for number, ids, data, n in P.batches(rows, lower=True):
-            tokens, doc, sizes = shingle_sets(P.Words(data), n)
-            first = _first_copies(tokens, doc, sizes)
+            tokens, doc, sizes, first = batch_sets(data, n)
+            del data
             keep = first[doc] == doc
             tokens, doc = tokens[keep], doc[keep]
             # tokens of many sets of this batch are frequent whatever the others hold
             order = np.argsort(tokens)
-            new = np.ones(len(tokens), dtype=bool)
-            new[1:] = tokens[order][1:] != tokens[order][:-1]
-            which = np.cumsum(new) - 1
-            times = np.diff(np.append(np.flatnonzero(new), len(tokens)))
+            ordered = tokens[order]
+            starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
+            times = np.diff(np.append(starts, len(ordered)))
+            hot_tokens = ordered[starts[times >= FREQUENT]]
             hot = np.zeros(len(tokens), dtype=bool)
-            hot[order] = (times >= FREQUENT)[which] if len(tokens) else False
-            hot_tokens = tokens[order][new][times >= FREQUENT]
-            yield _token_record([(1 << 40) + number], number, [P.pack(tokens[hot], 6)], [P.shrink(doc[hot].astype(np.uint16))],
-                                [P.shrink(np.stack([sizes, first, [x is None for x, _ in ids]], 1).astype(np.uint32).ravel())],
-                                [P.shrink(np.array([(x or 0, h) for x, h in ids], dtype=np.int64).ravel())])
+            hot[order] = np.repeat(times >= FREQUENT, times)
+            del order, ordered, starts, times, keep
+            yield _token_record([(1 << 40) + number], [[(number, P.pack(tokens[hot], 6), P.shrink(doc[hot]), P.shrink(
+                np.stack([sizes, first, [x is None for x, _ in ids]], 1).astype(np.uint32).ravel()))]],
+                [P.shrink(np.array([(x or 0, h) for x, h in ids], dtype=np.int64).ravel())])
             tokens, doc = tokens[~hot], doc[~hot]
-            bucket = (tokens >> np.uint64(HASH_BITS - bits)).astype(np.uint16)
+            bucket = (tokens >> np.uint64(HASH_BITS - bits)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             tokens, doc, bucket = tokens[order], doc[order], bucket[order]
-            hot_bucket = (hot_tokens >> np.uint64(HASH_BITS - bits)).astype(np.uint16)
+            hot_bucket = (hot_tokens >> np.uint64(HASH_BITS - bits)).astype(np.uint32)
             cut = {b: (a, z) for b, a, z in P.slices(bucket)}
             hot_cut = {b: (a, z) for b, a, z in P.slices(hot_bucket)}
-            keys = sorted(cut.keys() | hot_cut.keys())
-            for i in range(0, len(keys), 64):
-                part = keys[i : i + 64]
-                at = [cut.get(b, (0, 0)) for b in part]
-                hot_at = [hot_cut.get(b, (0, 0)) for b in part]
-                yield _token_record(
-                    part, number, [P.pack(tokens[a:z], 5) for a, z in at],
-                    [P.shrink(np.diff(doc[a:z], prepend=0).astype(np.uint16)) for a, z in at],
-                    [P.pack(hot_tokens[a:z], 5) for a, z in hot_at], [None] * len(part))
+            for b in cut.keys() | hot_cut.keys():
+                (a, z), (c, d) = cut.get(b, (0, 0)), hot_cut.get(b, (0, 0))
+                piece = (number, P.pack(tokens[a:z], WIDTH), P.shrink(np.diff(doc[a:z], prepend=np.uint16(0))), P.pack(hot_tokens[c:d], WIDTH))
+                held.setdefault(b, []).append(piece)
+                size += sum(map(len, piece[1:])) + 200
+            del tokens, doc, bucket, order, hot, cut, hot_cut
+            if size > MERGED_BYTES:
+                yield from _merged(held)
+                held, size = {}, 0
+            P.release()
+        yield from _merged(held)
+        P.release()
 
     return rows_of
 
 
-def _token_record(bucket, batch, tokens, docs, hot, ids):
-    return P.record(bucket=pa.array(bucket, pa.int64()), batch=pa.array([batch] * len(bucket), pa.int64()),
-                    tokens=pa.array(tokens, pa.binary()), docs=pa.array(docs, pa.binary()),
-                    hot=pa.array(hot, pa.binary()), ids=pa.array(ids, pa.binary()))
+def _merged(held: dict) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket, with the pieces of all its batches."""
+    keys = sorted(held)
+    for i in range(0, len(keys), 64):
+        part = keys[i : i + 64]
+        yield _token_record(part, [held.pop(b) for b in part], [None] * len(part))
+
+
+def _token_record(bucket, pieces, ids):
+    column = lambda k, kind: pa.array([[p[k] for p in of] for of in pieces], pa.list_(kind))
+    return P.record(bucket=pa.array(bucket, pa.int64()), batches=column(0, pa.int64()), tokens=column(1, pa.binary()),
+                    docs=column(2, pa.binary()), hot=column(3, pa.binary()), ids=pa.array(ids, pa.binary()))
 
 
 _SHARED_SCHEMA = "batch long, bucket long, tokens binary, docs binary, info binary, ids binary"
@@ -141,10 +179,12 @@ _SHARED_SCHEMA = "batch long, bucket long, tokens binary, docs binary, info bina
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's tokens, those of several sets go back to their batches, marked if frequent."""
+    pieces = [p for row in zip(*(group[c] for c in ("batches", "tokens", "docs", "hot")), strict=True) for p in zip(*row, strict=True)]
     if group["bucket"].iloc[0] >= 1 << 40:  # what a batch keeps for itself
-        return group.rename(columns={"hot": "info"})[["batch", "bucket", "tokens", "docs", "info", "ids"]]
-    tokens = [P.unpack(b, 5) for b in group["tokens"]]
-    hot = [P.unpack(b, 5) for b in group["hot"]]
+        return pd.DataFrame([(batch, group["bucket"].iloc[0], tokens, docs, info, group["ids"].iloc[0]) for batch, tokens, docs, info in pieces],
+                            columns=["batch", "bucket", "tokens", "docs", "info", "ids"])
+    tokens = [P.unpack(p[1], WIDTH) for p in pieces]
+    hot = [P.unpack(p[3], WIDTH) for p in pieces]
     edges = np.cumsum([0] + [len(t) for t in tokens])
     every = np.concatenate(tokens + hot)
     weight = np.ones(len(every), dtype=np.int64)
@@ -159,8 +199,8 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
         count = sets[edges[i] : edges[i + 1]]
         shared = count > 1
         if shared.any():
-            docs = np.cumsum(P.grow(group["docs"].iloc[i], np.uint16).astype(np.int64))[shared]
-            rows.append((group["batch"].iloc[i], group["bucket"].iloc[i], P.pack(own[shared], 5),
+            docs = np.cumsum(P.grow(pieces[i][2], np.uint16).astype(np.int64))[shared]
+            rows.append((pieces[i][0], group["bucket"].iloc[0], P.pack(own[shared], WIDTH),
                          P.shrink(np.diff(docs, prepend=0).astype(np.uint16)),
                          np.packbits(count[shared] >= FREQUENT).tobytes(), None))
     return pd.DataFrame(rows, columns=["batch", "bucket", "tokens", "docs", "info", "ids"])
@@ -179,9 +219,8 @@ def _index(bits: int, key_bits: int):
         tokens, docs, often = [P.unpack(info["tokens"], 6)], [P.grow(info["docs"], np.uint16).astype(np.int64)], []
         often.append(np.ones(len(tokens[0]), dtype=bool))
         for bucket, t, d, marks in zip(*(group[~own][c] for c in ("bucket", "tokens", "docs", "info")), strict=True):
-            t = P.unpack(t, 5)
-            tokens.append((t & np.uint64((1 << 40) - 1)) | ((np.uint64(bucket) << np.uint64(HASH_BITS - bits))
-                                                            & ~np.uint64((1 << 40) - 1)))
+            t, low = P.unpack(t, WIDTH), np.uint64((1 << 8 * WIDTH) - 1)
+            tokens.append((t & low) | ((np.uint64(bucket) << np.uint64(HASH_BITS - bits)) & ~low))
             docs.append(np.cumsum(P.grow(d, np.uint16).astype(np.int64)))
             often.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=len(t)).astype(bool))
         tokens, docs, often = np.concatenate(tokens), np.concatenate(docs), np.concatenate(often)
@@ -221,7 +260,7 @@ def _index(bits: int, key_bits: int):
                 of.append(d[apart:][pair])
                 apart += 1
         keys, of = np.concatenate(keys), np.concatenate(of)
-        bucket = (keys >> np.uint64(64 - key_bits)).astype(np.uint16)
+        bucket = (keys >> np.uint64(64 - key_bits)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
         keys, of, bucket = keys[order], of[order], bucket[order]
         out = []
@@ -504,9 +543,11 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> tuple[DataFra
     key_bits = P.bucket_bits(size, 16 * BUCKET_BYTES)
     tokens = docs.mapInArrow(_token_rows(bits), _TOKEN_SCHEMA)
     shared = tokens.groupBy("bucket").applyInPandas(_shared, _SHARED_SCHEMA)
-    kinds = written(shared.groupBy("batch").applyInPandas(_index(bits, key_bits), _KIND_SCHEMA), ("kind",))
+    # joined by batch, and the sets by node, several times: in buckets, so that only the other side moves
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = written_buckets(shared.groupBy("batch").applyInPandas(_index(bits, key_bits), _KIND_SCHEMA), "batch", buckets, ("kind",))
     rows = kinds.filter("kind = 'doc'").select("doc_id", "h", "node", "n")
-    sets = kinds.filter("kind = 'set'").select("node", "n", "body")
+    sets = written_buckets(kinds.filter("kind = 'set'").select("node", "n", "body").repartition(buckets, "node"), "node", buckets)
     index = kinds.filter("kind = 'key'").select("key", "batch", "body")
     links = comps = first_pivots = None
     for turn in range(PIVOT_ROUNDS):
@@ -524,10 +565,13 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> tuple[DataFra
     links = links.union(found)
     if found.limit(1).count():
         comps = written(components(links))
-    known = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = known.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "comp", "left")
-    columns = ["doc_id", "h", "n", "comp", F.coalesce("component_id", "doc_id").alias("component_id")]
+    # the smallest id of every set, then of every component with links, whose sets may be many: salted
+    own_id = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("__least"))
+    linked = written(comps.join(own_id, "node"))
+    least = linked.groupBy("comp").agg(F.min("__least").alias("__first"))
+    named = salted_join(linked.select("node", "comp"), least, ["comp"])
+    out = rows.join(own_id, "node", "left").join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    columns = ["doc_id", "h", "n", "comp", F.coalesce("__first", "__least", "doc_id").alias("component_id")]
     if count_links:
         copies = written(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies")))
         own = places.select("node", F.col("node").alias("comp"), "block")

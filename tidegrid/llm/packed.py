@@ -7,6 +7,8 @@ bucket at a time with numpy; Spark moves one row per batch and bucket.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,6 +208,13 @@ def batch_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack_all, BATCH_SCHEMA)
 
 
-def bucket_bits(total_bytes: int, per_bucket: int, least: int = 6, most: int = 16) -> int:
+def release() -> None:
+    """Give memory that numpy and Arrow have freed back to the system, so that an idle worker stays small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bucket_bits(total_bytes: int, per_bucket: int, least: int = 6, most: int = 30) -> int:
     """Bits of a bucket number so that a bucket holds about ``per_bucket`` bytes."""
     return int(min(most, max(least, np.ceil(np.log2(max(1.0, total_bytes / per_bucket))))))

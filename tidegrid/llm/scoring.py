@@ -144,7 +144,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataF
     """
     table = written(P.batch_table(docs))
     size, corpus_words = table.agg(F.sum("size"), F.sum("words")).first()
-    bits = P.bucket_bits(size or 0, BUCKET_BYTES)
+    bits = P.bucket_bits(size or 0, BUCKET_BYTES, most=28)
     asked = table.select("batch", "body").mapInArrow(
         _ask(order, bits), "key int, batch long, grams binary, counts binary")
     answers = asked.groupBy("key").applyInPandas(_total, "batch long, key int, totals binary")
