@@ -75,7 +75,7 @@ def exogenous(spark, raw, sky, issue="2026-10-15 12:00:00"):
     hourly = accepted(hourly_vintages(ops.within_cycle(raw)))
     cycles = ops.distinct_cycles([hourly.withColumnRenamed("effective_issue_time", "c"), sky.withColumnRenamed("collection_issue_time", "c")], "c", ["series_id"])
     prices = silver.select("series_id", "ts", F.col("price_eur_mwh").alias("price"))
-    return ops.build_exogenous(cycles, features.issue_features(silver), prices, hourly, sky, ["temperature_2m"])
+    return ops.build_exogenous(cycles, features.issue_features(silver), prices, raw, sky, ["temperature_2m"])
 
 
 def test_exogenous_frame_is_complete_and_passes_its_audit(spark):

@@ -189,6 +189,26 @@ def concise(text: Column | str, length: int = 160) -> Column:
     return F.when(F.length(line) <= length, line).otherwise(cut)
 
 
+def history_message(message: Column | str, length: int = 160) -> Column:
+    """A line for a history list: the text of a message, or what its JSON object says.
+
+    Of an object that is its message, else the number of missing times and the
+    first unresolved one, else a fixed line; an empty message says so.
+    """
+    text = as_col(message)
+    holds = F.coalesce(F.try_parse_json(text), F.parse_json(F.lit("null")))
+    part = lambda name: F.try_variant_get(holds, f"$.{name}", "string")
+    said = F.nullif(part("message"), F.lit(""))
+    has_first = F.coalesce(F.array_contains(F.json_object_keys(text), "first_unresolved_timestamp"), F.lit(False))
+    parts = F.concat_ws("; ", F.concat(part("missing_count"), F.lit(" missing timestamps")),
+                        F.concat(F.lit("first unresolved "), F.nullif(part("first_unresolved_timestamp"), F.lit(""))))
+    gap = F.when(has_first, F.coalesce(F.nullif(parts, F.lit("")), F.lit("Source continuity warning recorded.")))
+    is_object = F.json_object_keys(text).isNotNull()
+    line = F.when(is_object, F.coalesce(said, gap, F.lit("Operational metadata recorded."))).otherwise(
+        F.coalesce(F.nullif(text, F.lit("")), F.lit("No message recorded.")))
+    return concise(line, length)
+
+
 def slug(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(as_col(text)), "[^a-z0-9]+", "_"), F.lit("_"))
 

@@ -516,9 +516,10 @@ def _blocked(sets: DataFrame, pivots: DataFrame, comps: DataFrame) -> DataFrame:
     rows = (sets.select("node", "n").join(pivots, "node", "left").join(comps, "node", "left")
             .select("node", "n", F.coalesce("pivot", "node").alias("family"), F.coalesce("comp", "node").alias("comp")))
     parts = rows.groupBy("family").agg(F.greatest(
-        F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    return rows.join(parts, "family").select("node", "comp", F.xxhash64("family", part).alias("block"))
+        F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    # only families of several blocks are joined back, salted, since they are the large ones
+    return salted_join(rows, parts, ["family"], "left").select("node", "comp", F.xxhash64("family", part).alias("block"))
 
 
 def near_duplicates(docs: DataFrame, count_links: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from tidegrid.checks import duplicate_keys, ensure_none
 from tidegrid.functions.scalars import is_finite, number, revision_rank, same_cell
 from tidegrid.functions.times import DAY, HOUR, calendar, elapsed_seconds, epoch, floor_to, instant, shift
 from tidegrid.operators.scale import BUCKET, TimeFrame, salted_join
+from tidegrid.operators.series import accepted, hourly_vintages
 
 KEYS = ("series_id", "ts")
 
@@ -112,6 +113,30 @@ def asof_latest(requests: DataFrame, vintages: DataFrame, keys: Sequence[str], o
     )
 
 
+def asof_kinds(requests: DataFrame, vintages: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str], order: Sequence[Column],
+               payload: Sequence[str], *, step_s: int = HOUR, horizons: int = 24) -> DataFrame:
+    """As ``asof_latest`` for several kinds at once: a struct of the payload for each kind, null without a vintage.
+
+    The kinds are not spread over rows: a slot holds one conditional maximum
+    for each, and one window per target answers for all of them.
+    """
+    keys = list(keys)
+    lead = F.floor(elapsed_seconds("target_ts", "effective_issue_time") / step_s).cast("int")
+    best = F.struct(F.struct(*order).alias("o"), F.struct(*payload).alias("p"))
+    slots = (
+        vintages.withColumnRenamed("target_timestamp", "target_ts")
+        .withColumn("horizon", F.least(lead, F.lit(horizons)))
+        .filter("horizon >= 1")
+        .groupBy(*keys, "target_ts", "horizon")
+        .agg(*[F.max(F.when(F.col(kind) == k, best)).alias(f"_best{n}") for n, k in enumerate(kinds)])
+    )
+    asked = requests.select(*keys, "target_ts", F.col("horizon").cast("int").alias("horizon"), "issue", F.lit(True).alias("_ask"))
+    newest = Window.partitionBy(*keys, "target_ts").orderBy(F.desc("horizon")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.unionByName(slots, allowMissingColumns=True)
+    answered = both.withColumns({f"_best{n}": F.max(f"_best{n}").over(newest) for n in range(len(kinds))}).filter("_ask")
+    return answered.select(*keys, "issue", "horizon", "target_ts", *[F.col(f"_best{n}.p").alias(k) for n, k in enumerate(kinds)])
+
+
 def asof_prefer(requests: DataFrame, vintages: DataFrame, keys: Sequence[str], order: Sequence[Column],
                 payload: Sequence[str], preference: Sequence[str] = ("A40", "A01"),
                 *, step_s: int = HOUR, horizons: int = 24) -> DataFrame:
@@ -154,10 +179,13 @@ PROVENANCE = (
 def build_exogenous(cycles: DataFrame, features: DataFrame, prices: DataFrame, vintages: DataFrame,
                     weather: DataFrame, weather_values: Sequence[str], *,
                     technologies: Mapping[str, tuple] = TECHNOLOGIES, step_s: int = HOUR,
-                    horizons: int = 24) -> DataFrame:
+                    horizons: int = 24, hourly: bool = False) -> DataFrame:
     """Grid of cycle x horizon with issue features, target price and every forecast.
 
-    Each row carries ``reasons``, the parts that are missing; rows with an empty
+    ``vintages`` are source rows with a collection cycle: those acquired within
+    their cycle are summed up to hours per vintage, and incomplete hours are
+    rejected, before the as-of; ``hourly`` says that this is done already.
+    Weather counts if it was acquired within its cycle, too. Each row carries ``reasons``, the parts that are missing; rows with an empty
     list form the dataset (``complete_rows``), the others are counted by
     ``reason_counts``. All technologies are selected by one as-of pass.
 
@@ -172,18 +200,17 @@ def build_exogenous(cycles: DataFrame, features: DataFrame, prices: DataFrame, v
         F.lit(x) for name, (_, document, processes) in technologies.items()
         for i, process in enumerate(processes) for x in (f"{name}|{document}|{process}", -i)
     ])
+    if not hourly:
+        vintages = accepted(hourly_vintages(within_cycle(vintages)))
+    age = elapsed_seconds("acquired_at_utc", "collection_issue_time")
+    weather = weather.filter((age >= 0) & (age < HOUR))
     usable = vintages.withColumn(
         "_prefer", F.try_element_at(allowed, F.concat_ws("|", "technology", "document_type", "process_type"))
     ).filter("_prefer IS NOT NULL")
     payload = ["value_mw", *PROVENANCE]
-    asked = grid.withColumn("technology", F.explode(F.array(*[F.lit(t) for t in technologies])))
-    chosen = asof_latest(asked, usable, [*keys, "technology"],
-                         [F.col("_prefer"), *vintage_order()], payload,
-                         step_s=step_s, horizons=horizons)
-    per_request = chosen.groupBy(*keys, "issue", "horizon").agg(*[
-        F.max(F.when(F.col("technology") == name, F.struct(*payload))).alias(f"_{label}")
-        for name, (label, _, _) in technologies.items()
-    ])
+    names = {name: f"_{label}" for name, (label, _, _) in technologies.items()}
+    per_request = asof_kinds(grid, usable, keys, "technology", list(names), [F.col("_prefer"), *vintage_order(("value_mw", "process_type"))],
+                             payload, step_s=step_s, horizons=horizons).withColumnsRenamed(names).drop("target_ts")
     weather_payload = [*weather_values, "collection_issue_time", "acquired_at_utc", "provider", "model"]
     sky = exact_cycle(
         grid, weather.withColumn("_has_weather", F.lit(True)), keys, [*weather_payload, "_has_weather"]
@@ -338,7 +365,7 @@ def overlapping_periods(periods: DataFrame, keys: Sequence[str], order: Sequence
     follows = F.struct(*ties) > F.struct(*[F.col(f"_first.{c}").alias(c) for c in ties])
     same_start = F.when(follows, F.col("_first.end_ts"))
     return (
-        salted_join(periods, known, [*keys, start])
+        periods.join(known, [*keys, start])  # the other side is as fine as the periods; no key is hot
         .withColumn("previous_end", F.greatest("_before", same_start))
         .filter(F.col("previous_end") > F.col(start))
         .drop("_before", "_first")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalars import close, is_finite, number
 from tidegrid.functions.times import DAY, HOUR, elapsed_seconds, epoch, instant, is_exact, shift
 from tidegrid.operators.evaluation import realized_performance
-from tidegrid.operators.projection import horizon_consistent, vocabulary_violations
+from tidegrid.operators.projection import BOUNDS, bound_violations, horizon_consistent, vocabulary_violations
 from tidegrid.operators.scale import TimeFrame, salted_join, with_previous
 from tidegrid.operators.stats import FAILED_STATUSES, vintage_coverage
 
@@ -120,7 +121,19 @@ def check_ranges(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 # --- vintages -----------------------------------------------------------------------
 
 def validate_vintages(df: DataFrame, keys: Sequence[str] = ("series_id", "document_id", "revision_number", "target_timestamp")) -> DataFrame:
-    """Every broken rule of a forecast vintage row, one row per (vintage row, rule)."""
+    """Every broken rule of a forecast vintage row, one row per (vintage row, rule).
+
+    A declared ``source_horizon_minutes`` must be finite, not negative and the
+    time from creation to target; weather columns and ``horizon_hours``, where
+    they are present, must lie in their ranges.
+    """
+    declared = "source_horizon_minutes" in df.columns
+    horizon = [
+        F.when(~is_finite("source_horizon_minutes") | (F.col("source_horizon_minutes") < 0), "source_horizon"),
+        F.when(~F.coalesce(horizon_consistent("target_timestamp", "source_created_at_utc", "source_horizon_minutes", 60), F.lit(True)),
+               "horizon_inconsistent"),
+    ] if declared else []
+    ranges = [bound_violations(df, keys).select(*keys, F.concat(F.lit("range:"), "column_name").alias("rule"))] if set(BOUNDS) & set(df.columns) else []
     current = F.col("collection_issue_time").isNotNull()
     allowed = vocabulary_violations(df).select(*keys).withColumn("rule", F.lit("vocabulary"))
     rules = F.array_compact(F.array(
@@ -130,9 +143,10 @@ def validate_vintages(df: DataFrame, keys: Sequence[str] = ("series_id", "docume
         F.when(F.col("target_timestamp") < F.col("source_created_at_utc"), "negative_horizon"),
         F.when(current & ~is_exact("collection_issue_time"), "cycle_not_exact"),
         F.when(current & (F.col("acquired_at_utc") < F.col("source_created_at_utc")), "acquired_before_creation"),
-        F.when(~F.coalesce(F.col("resolution").rlike("^PT[0-9]+[HMS]"), F.lit(False)), "resolution"),
+        F.when(~F.coalesce(F.col("resolution").rlike("^PT0*[1-9][0-9]*[HMS]$"), F.lit(False)), "resolution"),
+        *horizon,
     ))
-    return df.select(*keys, F.explode(rules).alias("rule")).unionByName(allowed)
+    return reduce(DataFrame.unionByName, [df.select(*keys, F.explode(rules).alias("rule")), allowed, *ranges])
 
 
 def check_horizons(df: DataFrame, keys: Sequence[str], horizons: int = 24, horizon: str = "horizon_hours") -> DataFrame:

@@ -12,7 +12,7 @@ from tidegrid.functions.scalars import is_finite
 from tidegrid.functions.times import (
     DAY, HOUR, QUARTER, epoch, floor_to, instant, is_exact, iso_duration_seconds, shift,
 )
-from tidegrid.operators.scale import salted_join
+from tidegrid.operators.scale import nearest_known, salted_join
 
 # Seconds and expected points per hour of a source resolution.
 RESOLUTION_SECONDS = {"PT15M": 900, "PT60M": 3600}
@@ -364,16 +364,16 @@ def price_hour_slots(df: DataFrame, keys: Sequence[str], start, cutover=QUARTER_
     last = hourly.groupBy(*keys).agg(F.max("hour").alias("last_ts"))
     grid = spine(last.withColumn("first_ts", instant(start)), keys, HOUR, "hour")
     before = F.when(instant(start) >= instant(cutover), "PT15M").otherwise("PT60M")
-    carried = F.last("resolution", ignorenulls=True).over(
-        Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    )
     offsets = F.when(
         F.col("_carried") == "PT15M", F.array(*[F.lit(m) for m in (0, 15, 30, 45)])
     ).otherwise(F.array(F.lit(0)))
     absent = F.array_except(offsets, F.coalesce(F.col("present"), F.array().cast("array<int>")))
+    hours = grid.join(hourly.select(*keys, "hour", "resolution", "present"), [*keys, "hour"], "left").withColumn(
+        "_at", F.floor(epoch("hour") / HOUR))
+    # the label of the nearest hour before comes from buckets of hours, not from a window over a whole series
+    known = nearest_known(hours, keys, "_at", "resolution", width=50_000, before="_b", after="_a")
     return (
-        grid.join(hourly.select(*keys, "hour", "resolution", "present"), [*keys, "hour"], "left")
-        .withColumn("_carried", F.coalesce(carried, before))
+        known.withColumn("_carried", F.coalesce(F.col("_b.v"), before))
         .withColumn("_offset", F.explode(absent))
         .select(*keys, "hour", shift("hour", F.col("_offset") * 60).alias(ts))
     )

@@ -239,7 +239,8 @@ def vintage_coverage(df: DataFrame, keys: Sequence[str] = ("document_id", "revis
         F.min(target).alias("first_ts"), F.max(target).alias("last_ts"), F.count("*").alias("observed_slots"))
     expected = F.floor((epoch("last_ts") - epoch("first_ts")) / step) + 1
     on_grid = F.pmod(epoch(target) - epoch("first_ts"), step) == 0
-    placed = salted_join(seen, groups.select(*keys, "first_ts"), keys).groupBy(*keys).agg(
+    # a group is one vintage, as fine as a document: joined by its keys as they are
+    placed = seen.join(groups.select(*keys, "first_ts"), keys).groupBy(*keys).agg(
         F.count_if(on_grid).alias("_hit"))
     absent = None
     for text, seconds in (("PT15M", 900), ("PT60M", 3600)):
@@ -328,9 +329,8 @@ def document_inventory(points: DataFrame, keys: Sequence[str] = ("document_id",
 FAILED_STATUSES = ("FAILED", "FAILURE", "ERROR")
 
 
-def quality_state(df: DataFrame, order: Sequence[str] = ("check_time", "id"),
-                  excluded: Sequence[str] = ("forecast_freshness",),
-                  excluded_prefixes: Sequence[str] = ("incremental_continuity:", "storage_sync:")) -> DataFrame:
+def quality_state(df: DataFrame, excluded: Sequence[str], excluded_prefixes: Sequence[str],
+                  order: Sequence[str] = ("check_time", "id")) -> DataFrame:
     """Failed and warning counts over the latest result of every current check.
 
     Excluded checks are judged from the latest run; their old rows are history.

@@ -10,7 +10,7 @@ from tidegrid.operators.evaluation import baselines, baselines_long, expanding_f
 from tidegrid.operators.series import hourly_generation, hourly_load, hourly_prices
 from tidegrid.plans.adapters import (
     D_SQL, F_SQL, H_SQL, K, M_SQL, Q_SQL, S_SQL, V_SQL, actuals, days, forecasts, hours, quarters, silver,
-    stored_and_incoming, table, vintages,
+    on_grid, stored_and_incoming, table, vintages,
 )
 from tidegrid.plans.registry import query
 from tidegrid.plans.series import CUTOVER, G_SQL, NAMES, QG_ONLY, QP_SQL, gappy, generation, price_points
@@ -21,7 +21,7 @@ p1 AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS value FROM l GROUP BY
   HAVING min(res) = max(res) AND count(value) = CASE min(res) WHEN 'PT15M' THEN 4 ELSE 1 END),
 l1 AS (SELECT date_trunc('hour', ts) AS ts, avg(load_mw) AS load_mw FROM qg GROUP BY 1 HAVING count(*) = 4 AND count(load_mw) = 4),
 g1 AS (SELECT date_trunc('hour', ts) AS ts, avg("Solar") AS solar_mw FROM g GROUP BY 1 HAVING count(*) = 4),
-w1 AS (SELECT date_trunc('hour', ts) AS ts, avg(user_id) AS temperature_2m FROM events WHERE user_id % 2 = 0 GROUP BY 1)"""
+w1 AS (SELECT date_trunc('hour', ts) AS ts, avg(user_id) AS temperature_2m FROM events GROUP BY 1)"""
 
 
 @query("jn1_build_silver", f"""WITH {SIL_SQL}
@@ -29,7 +29,7 @@ SELECT 'all' AS series_id, ts, round(value, 9) AS value, round(load_mw, 7) AS lo
   round(temperature_2m, 9) AS temperature_2m FROM p1 JOIN l1 USING (ts) JOIN g1 USING (ts) JOIN w1 USING (ts)""")
 def _(spark, d):
     keys = ["series_id"]
-    weather = table(spark, d, "events").filter("user_id % 2 = 0").groupBy(
+    weather = table(spark, d, "events").groupBy(
         F.lit("all").alias("series_id"), F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("user_id").alias("temperature_2m"))
     out = ops.build_silver(
         hourly_prices(price_points(spark, d), keys, "value", CUTOVER),
@@ -135,25 +135,45 @@ def _(spark, d):
     return requests(spark, d)
 
 
-# The exogenous frame runs on one series, on which all parts meet often.
+# The exogenous frame runs on one series, on which all parts meet often. Lines are dealt to the five technologies;
+# those in quarters come as four points, of which one is missing for some.
+KINDS = ("TOTAL_LOAD", "TOTAL_GENERATION", "SOLAR", "WIND_OFFSHORE", "WIND_ONSHORE")
+KIND_SQL = "CASE part_key % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
 EXO_SQL = REQ_SQL.replace("o_orderpriority AS series_id", "'all' AS series_id") + f""",
 f1 AS (SELECT o_orderdate AS ts, count(*) AS orders, round(avg(o_totalprice) * {K}) / 1024 AS price FROM orders GROUP BY 1),
-pick AS (SELECT * FROM (SELECT g.issue, g.horizon, cv.technology, cv.process_type, cv.value_mw, row_number() OVER (
-    PARTITION BY g.issue, g.horizon, cv.technology ORDER BY CASE process_type WHEN 'A40' THEN 0 ELSE 1 END,
+pts AS (SELECT cv.* REPLACE ({KIND_SQL} AS technology, CASE WHEN part_key % 5 < 2 THEN 'A01' ELSE process_type END AS process_type,
+    round(value_mw * 1024) / 1024 + q AS value_mw, target_timestamp + q * INTERVAL 15 MINUTE AS target_timestamp)
+  FROM cv JOIN (SELECT unnest([0, 1, 2, 3]) AS q) ON q = 0 OR (resolution = 'PT15M' AND NOT (q = 3 AND part_key % 11 = 0))),
+hv AS (SELECT technology, process_type, document_id, revision_number, source_created_at_utc, cycle, acquired_at_utc, resolution,
+    date_trunc('hour', target_timestamp) AS target_timestamp, avg(value_mw) AS value_mw
+  FROM pts GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9 HAVING count(*) = CASE resolution WHEN 'PT15M' THEN 4 ELSE 1 END),
+pick AS (SELECT * FROM (SELECT g.issue, g.horizon, hv.technology, hv.process_type, hv.value_mw, row_number() OVER (
+    PARTITION BY g.issue, g.horizon, hv.technology ORDER BY CASE process_type WHEN 'A40' THEN 0 ELSE 1 END,
     cycle DESC, source_created_at_utc DESC, TRY_CAST(revision_number AS DOUBLE) DESC, acquired_at_utc DESC, document_id DESC, value_mw DESC, process_type DESC) AS rn
-  FROM grid g JOIN cv ON cv.target_timestamp = g.target_ts AND cv.cycle <= g.issue) WHERE rn = 1),
-tech AS (SELECT issue, horizon, max(value_mw) FILTER (WHERE technology = 'SOLAR') AS solar,
-    max(value_mw) FILTER (WHERE technology = 'WIND_OFFSHORE') AS off, max(value_mw) FILTER (WHERE technology = 'WIND_ONSHORE') AS onsh,
+  FROM grid g JOIN hv ON hv.target_timestamp = g.target_ts AND hv.cycle <= g.issue) WHERE rn = 1),
+tech AS (SELECT issue, horizon, {", ".join(f"max(value_mw) FILTER (WHERE technology = '{k}') AS {n}" for k, n in zip(KINDS, ("load", "generation", "solar", "off", "onsh"), strict=True))},
     max(process_type) FILTER (WHERE technology = 'SOLAR') AS solar_process FROM pick GROUP BY 1, 2),
-w AS (SELECT *, document_id || '-' || CAST(part_key AS VARCHAR) AS model FROM v WHERE process_type = 'A01' AND collection_issue_time IS NOT NULL),
+w AS (SELECT *, document_id || '-' || CAST(part_key AS VARCHAR) AS model FROM v WHERE process_type = 'A01' AND collection_issue_time IS NOT NULL
+  AND acquired_at_utc >= collection_issue_time AND acquired_at_utc < collection_issue_time + INTERVAL 1 HOUR),
 sky AS (SELECT issue, horizon, temperature_2m FROM (SELECT g.issue, g.horizon, CAST(part_key AS DOUBLE) AS temperature_2m, row_number() OVER (
     PARTITION BY g.issue, g.horizon ORDER BY acquired_at_utc DESC, model DESC, part_key DESC) AS rn
   FROM grid g JOIN w ON w.collection_issue_time = g.issue AND w.target_timestamp = g.target_ts) WHERE rn = 1),
-exo AS (SELECT g.issue, CAST(g.horizon AS INTEGER) AS horizon, g.target_ts, fi.orders, ft.price AS target_price, solar, off, onsh, solar_process, temperature_2m
+exo AS (SELECT g.issue, CAST(g.horizon AS INTEGER) AS horizon, g.target_ts, fi.orders, ft.price AS target_price, load, generation, solar, off, onsh, solar_process, temperature_2m
   FROM grid g LEFT JOIN tech ON tech.issue = g.issue AND tech.horizon = g.horizon LEFT JOIN sky ON sky.issue = g.issue AND sky.horizon = g.horizon
   LEFT JOIN f1 fi ON fi.ts = g.issue LEFT JOIN f1 ft ON ft.ts = g.target_ts)"""
+PARTS = ("load", "generation", "solar", "off", "onsh")
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ("orders", "target_price", *PARTS, "temperature_2m"))
 
-THREE = {k: v for k, v in ops.TECHNOLOGIES.items() if v[1] == "A69"}
+
+def _points(df):
+    """Source rows of the five technologies, in quarters where the resolution says so."""
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("part_key") % 5).cast("int"))
+    documents = F.create_map(*[F.lit(x) for k in KINDS for x in (k, ops.TECHNOLOGIES[k][1])])
+    quarters = F.when(F.col("resolution") != "PT15M", F.array(F.lit(0))).when(
+        F.col("part_key") % 11 == 0, F.array(*[F.lit(q) for q in range(3)])).otherwise(F.array(*[F.lit(q) for q in range(4)]))
+    rows = df.withColumns({"technology": kind, "document_type": documents[kind], "q": F.explode(quarters),
+                           "process_type": F.when(F.col("part_key") % 5 < 2, "A01").otherwise(F.col("process_type"))})
+    return rows.withColumns({"value_mw": on_grid(F.col("value_mw")) + F.col("q"), "target_timestamp": shift("target_timestamp", F.col("q") * 900)})
 
 
 def exogenous(spark, d):
@@ -166,17 +186,17 @@ def exogenous(spark, d):
         F.count("*").alias("orders"), (F.round(F.avg("o_totalprice") * K, 0) / 1024).alias("price"))
     cycles = ops.distinct_cycles([one(vintages(spark, d))], "collection_issue_time", ["series_id"])
     return ops.build_exogenous(cycles, base.select("series_id", "ts", "orders"), base.select("series_id", "ts", "price"),
-                               one(usable(spark, d)), one(sky(spark, d)), ["temperature_2m"], technologies=THREE, step_s=DAY)
+                               _points(one(vintages(spark, d))), one(sky(spark, d)), ["temperature_2m"], step_s=DAY)
 
 
 @query("jn9_exogenous_frame", f"""WITH {EXO_SQL}
-SELECT issue, horizon, target_ts, orders, target_price, solar AS forecast_solar_mw, solar_process AS solar_forecast_process_type,
-  round(off + onsh, 4) AS forecast_wind_total_mw, temperature_2m AS forecast_temperature_2m, CAST((dayofweek(target_ts) + 6) % 7 AS INTEGER) AS target_day_of_week
-FROM exo WHERE orders IS NOT NULL AND target_price IS NOT NULL AND solar IS NOT NULL AND off IS NOT NULL AND onsh IS NOT NULL AND temperature_2m IS NOT NULL""")
+SELECT issue, horizon, target_ts, orders, target_price, load AS forecast_load_mw, generation AS forecast_total_generation_mw, solar AS forecast_solar_mw,
+  solar_process AS solar_forecast_process_type, round(off + onsh, 4) AS forecast_wind_total_mw, temperature_2m AS forecast_temperature_2m,
+  CAST((dayofweek(target_ts) + 6) % 7 AS INTEGER) AS target_day_of_week FROM exo WHERE {COMPLETE}""")
 def _(spark, d):
     return ops.complete_rows(exogenous(spark, d)).select(
-        "issue", "horizon", "target_ts", "orders", "target_price", "forecast_solar_mw", "solar_forecast_process_type",
-        F.round("forecast_wind_total_mw", 4).alias("forecast_wind_total_mw"), "forecast_temperature_2m", "target_day_of_week")
+        "issue", "horizon", "target_ts", "orders", "target_price", "forecast_load_mw", "forecast_total_generation_mw", "forecast_solar_mw",
+        "solar_forecast_process_type", F.round("forecast_wind_total_mw", 4).alias("forecast_wind_total_mw"), "forecast_temperature_2m", "target_day_of_week")
 
 
 @query("jn10_match_realized", f"""WITH {F_SQL}

@@ -9,6 +9,7 @@ from tidegrid.operators import merge as ops
 from tidegrid.operators.series import bounds_of, spine
 from tidegrid.plans.adapters import D_SQL, M_SQL, V_SQL, days, stored_and_incoming, table, vintages
 from tidegrid.plans.registry import query
+from tidegrid.session import written
 
 KEYS = ["series_id", "ts"]
 START, END = "1998-06-01 00:00:00", "1999-03-01 00:00:00"
@@ -51,12 +52,26 @@ def _(spark, d):
     return ops.merge_audit(ops.merge_revisions(stored, incoming, KEYS, window=(START, END), retain=True).audit)
 
 
-@query("mrg6_should_rebuild", f"""WITH {D_SQL}, x AS (SELECT * FROM dd WHERE ts < TIMESTAMP '1999-06-01 00:00:00')
-SELECT 0::BIGINT AS new_rows, 0::BIGINT AS repaired_cells, 0::BIGINT AS revised_cells, count(*) < 0 AS watermark_advanced, count(*) < 0 AS rebuild FROM x""")
+# Unchanged; a watermark that moves on; new rows; filled cells; revised cells inside the window.
+@query("mrg6_should_rebuild", f"""WITH {D_SQL}, x AS (SELECT *, ts < TIMESTAMP '1999-06-01 00:00:00' AS old, ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}' AS inside FROM dd),
+n AS (SELECT count(*) FILTER (WHERE NOT old) AS added, count(*) FILTER (WHERE old AND day(ts) % 7 = 0) AS filled, count(*) FILTER (WHERE old AND inside AND day(ts) % 5 = 0) AS revised FROM x)
+SELECT name, new_rows, repaired_cells, revised_cells, watermark_advanced, rebuild FROM n, LATERAL (VALUES
+  ('unchanged', 0::BIGINT, 0::BIGINT, 0::BIGINT, false, false), ('advanced', 0, 0, 0, true, true), ('new', added, 0, 0, false, true),
+  ('filled', 0, filled, 0, false, true), ('revised', 0, 0, revised, false, true), ('full', 0, 0, 0, false, true)) v(name, new_rows, repaired_cells, revised_cells, watermark_advanced, rebuild)""")
 def _(spark, d):
-    stored = days(spark, d).filter("ts < '1999-06-01'")
-    audit = ops.merge_revisions(stored, stored, KEYS, window=(START, END), retain=True).audit
-    return ops.should_rebuild(audit, "1999-05-31 00:00:00", "1999-05-31 00:00:00")
+    whole = written(days(spark, d).select("series_id", "ts", "price_eur_mwh", "total"))
+    stored, day = whole.filter("ts < '1999-06-01'"), F.dayofmonth("ts")
+    holes = stored.withColumn("total", F.when(day % 7 != 0, F.col("total")))
+    other = stored.withColumn("total", F.when(day % 5 == 0, F.col("total") + 1).otherwise(F.col("total")))
+    at, out = "1999-05-31 00:00:00", None
+    for name, before, after, mark, mode in (
+            ("unchanged", stored, stored, at, "incremental"), ("advanced", stored, stored, "1999-06-01 00:00:00", "incremental"),
+            ("new", stored, whole, at, "incremental"), ("filled", holes, stored, at, "incremental"), ("revised", stored, other, at, "incremental"),
+            ("full", stored, stored, at, "full")):
+        audit = ops.merge_revisions(before, after, KEYS, window=(START, END), retain=True).audit
+        one = ops.should_rebuild(audit, at, mark, mode).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("mrg1_merge_strict", f"""WITH {D_SQL} SELECT series_id, ts, price_eur_mwh, total FROM dd""")

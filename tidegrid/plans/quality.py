@@ -12,7 +12,7 @@ from tidegrid.plans.adapters import (
 )
 from tidegrid.plans.evaluation import AG19_SQL, NOW, PAIR_SQL, named, pairs
 from tidegrid.plans.features import TABLE_SQL
-from tidegrid.plans.joins import EXO_SQL, REQ_SQL, exogenous, requests
+from tidegrid.plans.joins import COMPLETE, EXO_SQL, REQ_SQL, exogenous, requests
 from tidegrid.plans.projection import MESSY_SQL, messy
 from tidegrid.plans.registry import query
 from tidegrid.operators.joins import complete_rows
@@ -47,10 +47,11 @@ def _(spark, d):
     return ops.check_hourly(quarters(spark, d), ["series_id"])
 
 
-@query("dq4_check_duplicates", f"""WITH x AS (SELECT l_orderkey, l_linenumber FROM lineitem), n AS (SELECT count(*) AS c, (SELECT count(*) FROM (SELECT DISTINCT * FROM x)) AS u FROM x)
+@query("dq4_check_duplicates", f"""WITH x AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 3), n AS (SELECT count(*) AS c, (SELECT count(*) FROM (SELECT DISTINCT * FROM x)) AS u FROM x)
 {report(('duplicate_rows', 'FAILED', '(c - u)'), source='n')}""")
 def _(spark, d):
-    return ops.check_duplicates(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    lines = table(spark, d, "lineitem")
+    return ops.check_duplicates(lines.unionByName(lines.filter("l_linenumber = 3")))
 
 
 @query("dq5_check_nulls", f"WITH {S_SQL} {report(('null:nuclear_mw', 'FAILED', 'count(*) FILTER (WHERE nuclear_mw IS NULL)'), ('null:load_mw', 'FAILED', 'count(*) FILTER (WHERE load_mw IS NULL)'), source='s')}")
@@ -82,18 +83,25 @@ def _(spark, d):
 
 @query("dq10_validate_vintages", f"""WITH {V_SQL}, x AS (SELECT document_id, revision_number, target_timestamp, part_key, document_type, process_type,
   CASE WHEN part_key % 13 = 0 THEN 'COAL' ELSE technology END AS technology, CASE WHEN part_key % 11 = 0 THEN NULL ELSE value_mw END AS value_mw,
-  CASE WHEN part_key % 7 = 0 THEN NULL ELSE resolution END AS resolution, collection_issue_time,
+  CASE WHEN part_key % 7 = 0 THEN NULL WHEN part_key % 23 = 0 THEN 'PT15MX' ELSE resolution END AS resolution, collection_issue_time,
+  CASE WHEN part_key % 19 = 0 THEN -5.0 WHEN part_key % 17 = 0 THEN 1.0 ELSE epoch(target_timestamp - source_created_at_utc) / 60 END AS horizon, part_key % 130 AS humidity,
   CASE WHEN part_key % 5 = 0 THEN source_created_at_utc - INTERVAL 1 DAY ELSE acquired_at_utc END AS acquired_at_utc, source_created_at_utc FROM v)
 SELECT document_id, revision_number, target_timestamp, 'vocabulary' AS rule FROM x WHERE technology = 'COAL'
 UNION ALL SELECT document_id, revision_number, target_timestamp, 'value_not_finite' FROM x WHERE value_mw IS NULL
 UNION ALL SELECT document_id, revision_number, target_timestamp, 'provenance_missing' FROM x WHERE resolution IS NULL
-UNION ALL SELECT document_id, revision_number, target_timestamp, 'resolution' FROM x WHERE resolution IS NULL
+UNION ALL SELECT document_id, revision_number, target_timestamp, 'resolution' FROM x WHERE resolution IS NULL OR resolution = 'PT15MX'
+UNION ALL SELECT document_id, revision_number, target_timestamp, 'source_horizon' FROM x WHERE horizon < 0
+UNION ALL SELECT document_id, revision_number, target_timestamp, 'horizon_inconsistent' FROM x WHERE part_key % 19 = 0 OR part_key % 17 = 0
+UNION ALL SELECT document_id, revision_number, target_timestamp, 'range:relative_humidity_2m' FROM x WHERE humidity > 100
 UNION ALL SELECT document_id, revision_number, target_timestamp, 'acquired_before_creation' FROM x WHERE collection_issue_time IS NOT NULL AND acquired_at_utc < source_created_at_utc""")
 def _(spark, d):
     p = F.col("part_key")
     odd = vintages(spark, d).withColumns({
         "technology": F.when(p % 13 == 0, "COAL").otherwise(F.col("technology")), "value_mw": F.when(p % 11 != 0, F.col("value_mw")),
-        "resolution": F.when(p % 7 != 0, F.col("resolution")),
+        "resolution": F.when(p % 7 != 0, F.when(p % 23 == 0, "PT15MX").otherwise(F.col("resolution"))),
+        "source_horizon_minutes": F.when(p % 19 == 0, -5.0).when(p % 17 == 0, 1.0).otherwise(
+            (F.unix_seconds("target_timestamp") - F.unix_seconds("source_created_at_utc")) / 60),
+        "relative_humidity_2m": (p % 130).cast("double"),
         "acquired_at_utc": F.when(p % 5 == 0, shift("source_created_at_utc", -DAY)).otherwise(F.col("acquired_at_utc"))})
     return ops.validate_vintages(odd, ["document_id", "revision_number", "target_timestamp"])
 
@@ -104,17 +112,16 @@ def _(spark, d):
     return ops.check_horizons(forecasts(spark, d), ["series_id", "model_release", "forecast_issue_time"])
 
 
-COMPLETE = "orders IS NOT NULL AND target_price IS NOT NULL AND solar IS NOT NULL AND off IS NOT NULL AND onsh IS NOT NULL AND temperature_2m IS NOT NULL"
 
 
 @query("dq12_leakage_audit", f"""WITH {EXO_SQL}, done AS (SELECT * FROM exo WHERE {COMPLETE}),
 n AS (SELECT count(*) AS c FROM done), twice AS (SELECT CASE WHEN c > 0 THEN 1 ELSE 0 END AS one, c FROM n)
 SELECT check_name, CASE WHEN failing > 0 THEN 'FAILED' ELSE 'PASSED' END AS status, failing FROM (
-  SELECT unnest(['unique_row_grain', 'target_after_issue', 'horizon_derived', 'horizon_in_range', 'features_are_finite', 'solar_forecast_not_from_later_cycle', 'solar_forecast_acquired_within_cycle']) AS check_name,
-    unnest([0, 0, 0, 0, 0, 0, 0]::BIGINT[]) AS failing FROM twice)""")
+  SELECT unnest(['unique_row_grain', 'target_after_issue', 'horizon_derived', 'horizon_in_range', 'features_are_finite', 'solar_forecast_not_from_later_cycle', 'solar_forecast_acquired_within_cycle', 'load_forecast_not_from_later_cycle', 'load_forecast_acquired_within_cycle']) AS check_name,
+    unnest([0, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]) AS failing FROM twice)""")
 def _(spark, d):
     rows = complete_rows(exogenous(spark, d))
-    return ops.leakage_audit(rows, ["solar_forecast"], ["forecast_solar_mw", "forecast_temperature_2m"], step_s=DAY)
+    return ops.leakage_audit(rows, ["solar_forecast", "load_forecast"], ["forecast_solar_mw", "forecast_load_mw", "forecast_temperature_2m"], step_s=DAY)
 
 
 @query("dq13_readiness_status", f"""WITH {REQ_SQL}, g AS (SELECT * FROM grid WHERE horizon <= CASE WHEN series_id = '5-LOW' THEN 20 ELSE 24 END)

@@ -38,6 +38,21 @@ def _(spark, d):
     return observations.flatten_two_level_header(wide, header, keep=["ts"])
 
 
+@query("src2_wide_file", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS timestamp, CAST(count(*) FILTER (WHERE event_type = 'view') AS VARCHAR) AS "Solar",
+  CAST(count(*) FILTER (WHERE event_type = 'click') AS VARCHAR) AS "Gas" FROM events GROUP BY 1""")
+def _(spark, d):
+    """A file with a two-line header, written from the events and read back."""
+    counts = table(spark, d, "events").groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("t")).agg(*[
+        F.count_if(F.col("event_type") == k).cast("string").alias(k) for k in ("view", "signup", "click")])
+    lines = counts.select(F.concat_ws(",", "t", "view", "signup", "click").alias("value"))
+    header = spark.range(1).select(F.explode(F.array(
+        F.struct(F.lit(0).alias("n"), F.lit(",Solar,Solar,Gas").alias("value")),
+        F.struct(F.lit(1).alias("n"), F.lit(",Actual Aggregated,Actual Consumption,Actual Aggregated").alias("value")))).alias("h")).select("h.*")
+    path = scratch(spark)
+    header.unionByName(lines.withColumn("n", F.lit(2))).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    return observations.read_wide_generation(spark, path)
+
+
 def price_xml(spark, d) -> str:
     """One price document per order, as text files in a new folder."""
     point = F.concat(F.lit("<Point><position>"), F.col("position").cast("string"), F.lit("</position><price.amount>"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.times import DAY, shift
 from tidegrid.operators import quality, stats as ops
+from tidegrid.operators.models import isolation_forest
 
 from tidegrid.plans.adapters import (
     D_SQL, F_SQL, H_SQL, Q_SQL, R_SQL, S_SQL, V_SQL, days, forecasts, hours, quarters, runs, silver, table, vintages,
@@ -48,6 +49,14 @@ def _(spark, d):
     return ops.anomaly_summary(silver(spark, d).filter("abs(price_eur_mwh) > 100")).withColumn("average_load_mw", F.round("average_load_mw", 6))
 
 
+@query("ag4_marked_anomalies")
+def _(spark, d):
+    """The summary of the rows that the isolation forest marks."""
+    marked = isolation_forest(silver(spark, d).select("series_id", "ts", "price_eur_mwh", "load_mw"), ["price_eur_mwh", "load_mw"], 0.01,
+                              key=["series_id", "ts"]).filter("is_anomaly")
+    return ops.anomaly_summary(marked)
+
+
 PROFILE = """count(value) AS observations, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS minimum, max(value) AS maximum,
   round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95"""
@@ -137,6 +146,7 @@ def _(spark, d):
 
 @query("ag21_reason_counts", f"""WITH {EXO_SQL}, r AS (
   SELECT 'missing_issue_features' AS reason FROM exo WHERE orders IS NULL UNION ALL SELECT 'missing_target_price' FROM exo WHERE target_price IS NULL
+  UNION ALL SELECT 'missing_load_forecast' FROM exo WHERE load IS NULL UNION ALL SELECT 'missing_generation_forecast' FROM exo WHERE generation IS NULL
   UNION ALL SELECT 'missing_solar_forecast' FROM exo WHERE solar IS NULL UNION ALL SELECT 'missing_wind_offshore_forecast' FROM exo WHERE off IS NULL
   UNION ALL SELECT 'missing_wind_onshore_forecast' FROM exo WHERE onsh IS NULL UNION ALL SELECT 'missing_weather_forecast' FROM exo WHERE temperature_2m IS NULL)
 SELECT reason, count(*) AS "rows" FROM r GROUP BY 1""")

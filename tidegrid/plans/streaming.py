@@ -29,8 +29,9 @@ def chunk(ts="ts"):
     return F.least(F.greatest(F.floor(day / DAYS), F.lit(0)), F.lit(BATCHES - 1)).cast("int"), F.pmod(day, F.lit(DAYS))
 
 
-CHUNK_SQL = f"least(greatest(epoch({{0}} - TIMESTAMP '{START}') // 86400 // {DAYS}, 0), {BATCHES - 1})"
-DAY_SQL = f"(epoch({{0}} - TIMESTAMP '{START}') // 86400) % {DAYS}"
+_DAY = f"date_diff('day', TIMESTAMP '{START}', date_trunc('day', {{0}}))"
+CHUNK_SQL = f"least(greatest({_DAY} // {DAYS}, 0), {BATCHES - 1})"
+DAY_SQL = f"{_DAY} % {DAYS}"
 
 
 def feed(df, batch, numbers, path):

@@ -39,9 +39,13 @@ def _series_points(series: DataFrame, value: str, carried: list[str]) -> DataFra
 
 
 def load_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Texts of all documents in a folder with the time their file was stored."""
+    """Texts of all documents in a folder with the time their file was stored.
+
+    A document is a file or, with ``one_per_line``, a line, named by its file and content.
+    """
+    name = F.concat_ws("#", "_metadata.file_path", F.md5("value")) if one_per_line else F.col("_metadata.file_path")
     return spark.read.text(path, wholetext=not one_per_line).select(
-        F.col("_metadata.file_path").alias("document"), F.col("value").alias("xml"),
+        name.alias("document"), F.col("value").alias("xml"),
         F.col("_metadata.file_modification_time").alias("acquired_at_utc"))
 
 
@@ -66,15 +70,15 @@ def price_points(documents: DataFrame) -> DataFrame:
 def read_price_documents(spark: SparkSession, path: str, one_per_line: bool = False, check: bool = True) -> DataFrame:
     """Price rows (period_id, ts, value, resolution) with block-coded periods expanded.
 
-    Periods of one document that overlap or cannot be decoded are fatal.
+    Periods of one document that overlap, in one series or in several, or that cannot be decoded are fatal.
     """
     points = price_points(load_documents(spark, path, one_per_line))
     if check:
         points = checkpointed(points)  # parsed once for two checks and the result
         ensure_none(block_violations(points), "Price period cannot be decoded")
-        periods = points.select("document", "series_no", "period_id", F.col("period_start").alias("start_ts"),
+        periods = points.select("document", "period_id", F.col("period_start").alias("start_ts"),
                                 F.col("period_end").alias("end_ts")).distinct()
-        ensure_none(overlapping_periods(periods, ["document", "series_no"]), "Price periods overlap")
+        ensure_none(overlapping_periods(periods, ["document"]), "Price periods overlap")
     return expand_blocks(points)
 
 
