@@ -112,3 +112,20 @@ def test_unknown_schema_is_fatal(spark):
     with pytest.raises(DataContractError):
         observations.migrate_schema(df, ["a"], ["b"], {"b": "a"})
     assert values(observations.migrate_schema(df, ["a", "c"], ["id"], {"id": "a"}, {"c": "string"}), "a", "c") == [(0, None)]
+
+
+def test_scratch_tables_go_when_their_scope_ends(spark):
+    from tidegrid.session import scratch_scope, written, written_buckets
+
+    with scratch_scope():
+        with scratch_scope():
+            inner, kept = written(spark.range(3)), written(spark.range(4), keep=True)
+            table_ = written_buckets(spark.range(5).repartition(2, "id"), "id", 2)
+            assert (inner.count(), table_.count()) == (3, 5)
+        assert kept.count() == 4
+        with pytest.raises(Exception):  # noqa: B017
+            inner.count()
+    with pytest.raises(Exception):  # noqa: B017
+        kept.count()
+    alone = written(spark.range(6))
+    assert alone.count() == 6

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: str | None = None  # of a local session without a configured folder
+_scopes = threading.local()
 
 
 def build_session(app: str = "tidegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,14 +62,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Remove the tables that are written inside, but for those written with ``keep``, when the block ends.
+
+    For work whose result is a written table: what led to it is not read again.
+    Tables kept in an inner block belong to the block around it.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for spark, path, name in stack.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _noted(spark: SparkSession, path: str, name: str | None, keep: bool) -> None:
+    stack = _scopes.__dict__.get("stack", [])
+    at = len(stack) - (2 if keep else 1)
+    if at >= 0:
+        stack[at].append((spark, path, name))
+
+
+def written(df: DataFrame, partition_by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     For a frame that many jobs read in part: each job then reads only the
-    columns and partitions it needs.
+    columns and partitions it needs. ``keep``: outlives the ``scratch_scope``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid-{uuid.uuid4().hex}"
+    _noted(spark, path, None, keep)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
@@ -79,6 +110,7 @@ def written_buckets(df: DataFrame, column: str, buckets: int, partition_by: tupl
     """
     spark = df.sparkSession
     name = f"tidegrid_{uuid.uuid4().hex}"
+    _noted(spark, f"{shared_dir(spark)}/{name}", name, False)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name).select(*df.columns)
