@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegrid.llm.chat import calls_of, canonical, link_calls, other_turns, problems
-from tidegrid.llm.mixing import mix_counts, mix_texts, permuted
+from tidegrid.llm.mixing import mix_counts, mix_texts, permuted, whole_copies
 from tidegrid.llm.sharding import assign_shards, shard_of, standard_tree, write_shards
 from tidegrid.llm.token_store import Encoder, Segment, encode_segment, read_tokens, stored_tokens, write_tokens
 from tidegrid.session import shared_dir
@@ -62,6 +62,8 @@ def test_mix_meets_its_targets(docs, rows):
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source]
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
+        assert sum(w for _, w in r.shard_words) == r.taken and all(0 <= s < 64 and w > 0 for s, w in r.shard_words)
+    assert len({s for r in got for s, _ in r.shard_words}) == 64  # the draw spreads the words over the shards
     for s in order:
         assert abs(taken[s] - target[s]) <= 128
     again = mix_counts(docs.repartition(5)).collect()
@@ -76,6 +78,27 @@ def test_mix_meets_its_targets(docs, rows):
     assert {k: v for k, v in want.items() if v} == dict(words)
 
 
+def test_whole_copies_miss_a_source_by_less_than_a_document(docs):
+    counts = mix_counts(docs).cache()
+    rows = counts.collect()
+    copies = {r.h: r for r in whole_copies(counts).collect()}
+    size = {r.h: (r.source, r.size) for r in rows if r.size}
+    assert set(copies) == set(size)
+    for source in {r.source for r in rows}:
+        taken = sum(r.taken for r in rows if r.source == source)
+        whole = sum(copies[h].times * n for h, (s, n) in size.items() if s == source)
+        assert abs(whole - taken) <= max((n for s, n in size.values() if s == source), default=0)
+    assert all(0 <= r.times <= 2 * r.rows for r in copies.values())
+    assert {(r.h, r.times) for r in whole_copies(mix_counts(docs.repartition(7))).collect()} == {(r.h, r.times) for r in copies.values()}
+
+
+def test_every_document_may_be_a_source_of_its_own(spark):
+    frame = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{i:05d}" if i else None) for i in range(3000)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix_counts(frame).collect()}
+    turns = [got[i].target / got[i].size for i in sorted(got, key=lambda i: (i == 0, i))]
+    assert all(t == pytest.approx(2.0) for t in turns[::3]) and len({round(t * 1000) for t in turns[2::3]} - {2000}) >= 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutations_hit_every_block_once(spark, n):
     k = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(0)).alias("k")).collect()

@@ -63,7 +63,12 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     size = {r.doc_id: len(r.text.split()) for r in by["benchmark_decontamination"]}
     times = {d: sum(r.doc_id == d for r in by["mixing"]) for d in size}
     assert set(r.doc_id for r in by["mixing"]) <= set(size) and max(times.values()) <= 2
-    assert sum(times[d] * size[d] for d in size) == pytest.approx(1.5 * sum(size.values()), rel=0.15)
+    from_source = lambda s: [d for d in size if d is not None and d % 3 == s]
+    counts = corpus_pipeline.mix_counts(spark.createDataFrame([tuple(r) for r in by["benchmark_decontamination"]], schema)).collect()
+    for s in range(3):  # every source within its largest document, and the mix within two blocks of its target
+        taken = sum(r.taken for r in counts if r.source == f"src{s}")
+        assert abs(sum(times[d] * size[d] for d in from_source(s)) - taken) <= max(size[d] for d in from_source(s))
+        assert abs(taken - next(r.target for r in counts if r.source == f"src{s}")) <= 128
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     crc = lambda t: zlib.crc32(np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], dtype="<u4").tobytes())
     want = sorted(repr((r.doc_id, crc(r.text))) for r in by["mixing"])
@@ -72,6 +77,22 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         repr(tuple(r)) for r in by["token_output"]}
 
 
+def test_stages_of_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h int, size string, __times int"
+    spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = spark.createDataFrame([], schema)
+    odd = spark.createDataFrame([(None, None, None, None, None, None, None, None), (1, "", "en", "s", 0, 1, "x", 2), (1, "", "en", "s", 0, 1, "x", 2),
+                                 (2, " \n ", "en", None, 0, 1, "x", 2)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0 and stage(spark, empty, str(tmp_path)).columns == empty.columns
+        left = stage(spark, odd, str(tmp_path))
+        assert left.columns == odd.columns and left.count() == (0 if name in ("quality_rules", "mixing") else 4), name
+    twins = spark.createDataFrame([(3, "one two three", lang, "s", 0, 0, "", 0) for lang in ("en", "de", "fr")], schema)
+    taken = corpus_pipeline.mixing(spark, twins, str(tmp_path)).collect()  # equal id and text: copies are shared
+    assert 3 <= len(taken) <= 6 and len({r.lang for r in taken}) == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
 def test_decontamination_keeps_clean_rows_of_a_shared_id(spark, tmp_path):
     rng = random.Random(4)
     prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]

@@ -19,7 +19,7 @@ from tidegrid.session import written
 #: Primes just below 10**12; coprime to every smaller number of blocks.
 PRIMES = (999999999989, 999999999961, 999999999959)
 #: Slots that one row of the slot table expands to at most.
-RUN = 65_536
+RUN = 16_384
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
@@ -29,13 +29,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     Sources are numbered by code point, null last, and take the weights in
     turn. They share ``share`` times all words by weight; a target stops at
     ``cap`` times its source, and the excess is shared again until none is
-    above. Only one row of sums per round comes to the driver. The numbering
-    needs the sources (not the documents) in one order.
+    above. Only one row of sums per round comes to the driver. The sources are
+    numbered in ranges of the order with offsets, so there may be as many as
+    documents.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    sid = F.row_number().over(order) - 1
+    parts = cells(sizes.count(), least=1)
+    dealt = written(sizes.withColumn("__null", F.col("source").isNull()).repartitionByRange(parts, "__null", "source").withColumn(
+        "__part", F.spark_partition_id()))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    order = Window.partitionBy("__part").orderBy("__null", "source")
+    sizes = dealt.withColumn("__at", F.row_number().over(order) - 1).join(F.broadcast(before), "__part")
+    sid = F.col("__at") + F.col("__before")
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    rows = written(sizes.withColumn("sid", sid).withColumn(
+    rows = written(sizes.select("source", "source_size", sid.alias("sid")).withColumn(
         "weight", F.get(turn, F.pmod(F.col("sid"), F.lit(len(weights))))))
     limit = F.col("source_size") * F.lit(cap)
     total = rows.agg(F.sum("source_size")).first()[0] or 0
@@ -87,16 +94,18 @@ def _streams(docs: DataFrame, weights, share, cap, block, words: bool) -> tuple[
     firsts = sums.select("sid", "cell", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__first"))
     inside = Window.partitionBy("sid", "cell").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = (rows.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-              .join(firsts, ["sid", "cell"])
+              .join(firsts.hint("merge"), ["sid", "cell"])
               .withColumn("start", F.col("__first") + F.col("__inside")).drop("__first", "__inside", "cell"))
     return placed, sources
 
 
 def _slots(sources: DataFrame, shards: int) -> DataFrame:
-    """sid, k, shard and block of every slot; long sources are expanded by many rows."""
+    """sid, k, shard and block of every slot; long sources are expanded by many rows, in as many tasks."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RUN))
     runs = sources.filter("slots > 0").select(
         "sid", "slots", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))).alias("run"))
-    runs = runs.repartition("sid", "run")
+    runs = runs.repartition(tasks, "sid", "run")  # a number that is asked for is not joined again to fewer
     slots = runs.select("sid", "blocks", F.explode(F.sequence(
         F.col("run") * RUN, F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1)).alias("k"))
     turn = F.floor(F.col("k") / F.col("blocks"))
@@ -115,7 +124,10 @@ def _pieces(placed: DataFrame, block: int) -> DataFrame:
 
 def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
                cap: float = 2.0, block: int = 64, shards: int = 64) -> DataFrame:
-    """doc_id, size, source_size, target and the words that the mix takes of each document.
+    """doc_id, size, source_size, target and the words that the mix takes of each document, in all and by shard.
+
+    ``taken`` is the sum over the slots of all shards, ``shard_words`` has a
+    (shard, words) entry for each shard that the draw gives words of it to.
 
     Null text has no words; a null source is a source; repeated rows are rows of
     their own; an empty table gives none. No block is used more than ``cap``
@@ -124,12 +136,41 @@ def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     """
     placed, sources = _streams(docs, weights, share, cap, block, False)
     placed = written(placed)
-    used = _slots(sources, shards).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = (_pieces(placed, block).select("sid", "block", "row", "words").join(used, ["sid", "block"])
-             .groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
+    # as large as the mix: never broadcast, however small its packed form looks
+    used = _slots(sources, shards).groupBy("sid", "block", "shard").agg(F.count("*").alias("times")).hint("merge")
+    drawn = (_pieces(placed, block).select("sid", "block", "row", "words").join(used, ["sid", "block"])
+             .groupBy("row", "shard").agg(F.sum(F.col("words") * F.col("times")).alias("words")))
+    taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct(
+        F.col("shard").cast("int").alias("shard"), F.col("words").cast("long").alias("words")))).alias("shard_words")).hint("merge")
+    none = F.array().cast("array<struct<shard:int,words:bigint>>")
     return placed.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        F.col("source"), F.col("h"))
+        F.coalesce("shard_words", none).alias("shard_words"), "source", "sid", "h")
+
+
+def whole_copies(counts: DataFrame) -> DataFrame:
+    """h and times: how often each text of ``mix_counts`` is taken as a whole, and rows (with that h).
+
+    Within a source, documents stand by size, largest first, and the fractions
+    of copies are added up; a document gets one more copy where the sum passes
+    a whole number. The copies before any document then differ from the
+    fractions by less than one, so the words of a source differ from the words
+    that the mix takes of it by less than its largest document. Documents
+    without words are not taken. Equal rows share their copies.
+    """
+    unit_ = 1 << 30
+    rows = counts.filter("size > 0").select("sid", "size", "h", F.floor(F.col("taken") / F.col("size")).alias("whole"), F.floor(
+        F.pmod(F.col("taken"), F.col("size")) / F.col("size") * unit_).cast("long").alias("part"))
+    order = [F.col("sid"), F.desc("size"), F.col("h")]
+    dealt = written(rows.repartitionByRange(cells(rows.count(), least=1), *order).withColumn("cell", F.spark_partition_id()))
+    sums = dealt.groupBy("sid", "cell").agg(F.sum("part").alias("__sum"))
+    earlier = Window.partitionBy("sid").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sums.select("sid", "cell", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__first"))
+    line = Window.partitionBy("sid", "cell").orderBy(F.desc("size"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    upto = dealt.withColumn("__upto", F.sum("part").over(line)).join(firsts.hint("merge"), ["sid", "cell"]).withColumn(
+        "__upto", F.col("__upto") + F.col("__first") + F.pmod(F.xxhash64(F.lit("copies"), "sid"), F.lit(unit_)))
+    more = F.floor(F.col("__upto") / unit_) - F.floor((F.col("__upto") - F.col("part")) / unit_)
+    return upto.groupBy("h").agg(F.sum(F.col("whole") + more).cast("int").alias("times"), F.count("*").cast("int").alias("rows"))
 
 
 def mix_texts(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,

@@ -48,7 +48,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_mixing")
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard_words")
 
 
 @query("op5_quality_rules", RULES)

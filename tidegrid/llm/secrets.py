@@ -115,21 +115,33 @@ def ratio(value: Column, model: list[float]) -> Column:
     )["sum"]
 
 
+def uncovered(token: Column, base: Column, least: int = 16) -> Column:
+    """Start, stop and value of the pieces of a token outside the base spans (in order), of ``least`` characters or more."""
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    piece = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), b.alias("stop")))).otherwise(none)
+    over = F.filter(base, lambda b: (b["start"] < token["stop"]) & (token["start"] < b["stop"]))
+    walked = F.aggregate(over, F.struct(token["start"].alias("at"), none.alias("all")), lambda acc, b: F.struct(
+        F.greatest(acc["at"], b["stop"]).alias("at"), F.concat(acc["all"], piece(acc["at"], b["start"])).alias("all")))
+    left = F.filter(F.concat(walked["all"], piece(walked["at"], token["stop"])), lambda p: p["stop"] - p["start"] >= least)
+    cut = lambda p: F.substr(token["value"], p["start"] - token["start"] + 1, p["stop"] - p["start"])
+    return F.transform(left, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), cut(p).alias("value")))
+
+
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """Spans of the base kinds and of random strings in every whole text.
 
     Null text is empty; rows with equal ids are scanned one by one; an empty
-    table gives none; other columns are not read. A random string that touches
-    a base span is left to that span. Positions in a text take time with the
-    square of its number of matches.
+    table gives none; other columns are not read. What a base span covers is
+    left to it; the pieces of a token beside base spans are judged on their own.
+    Positions in a text take time with the square of its number of matches.
     """
     rows = base_spans(docs.select("doc_id", "text"))
     base = F.concat(*[F.transform(f"__{k}", lambda s: F.struct(
         s["start"].alias("start"), F.lit(i).alias("kind"), s["stop"].alias("stop")))
         for i, k in enumerate(KINDS[:3])])
     rows = rows.withColumn("__base", F.array_sort(base)).withColumn("__tokens", spans(F.col("__text"), TOKEN))
-    rows = rows.withColumn("__random", F.filter("__tokens", lambda t: (ratio(t["value"], model) > threshold) & ~F.exists(
-        "__base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))))
+    pieces = F.flatten(F.transform("__tokens", lambda t: uncovered(t, F.col("__base"))))
+    rows = rows.withColumn("__random", F.filter(pieces, lambda t: ratio(t["value"], model) > threshold))
     name = F.array(*map(F.lit, KINDS))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(
         ":", F.get(name, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
