@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import DataContractError
 from tidegrid.operators import features, gram, models as ops
+from tidegrid.operators.evaluation import rolling_folds
 
 
 def rows(spark, n=300):
@@ -64,3 +65,25 @@ def test_queries_take_every_horizon_and_feature(spark):
     rows = plans.issue_rows(spark, "/root/testdata/sf0.01")
     assert set(features.FEATURES) | set(plans.CALENDAR) <= set(rows.columns)
     assert sorted(r.horizon for r in rows.select("horizon").distinct().collect()) == list(range(1, 25))
+
+
+def test_series_keep_their_own_folds(spark):
+    day, parts = 86_400, []
+    for name, start, end in (("a", "2014-06-01", "2016-12-31"), ("b", "2016-03-01", "2018-12-31")):
+        ts = pd.date_range(start, end, freq="D")
+        level = 50 + 20 * np.sin(np.arange(len(ts)) / 20) + np.random.default_rng(len(ts)).normal(0, 1, len(ts))
+        parts.append(pd.DataFrame({"series_id": name, "ts": ts, "price_eur_mwh": level}))
+    base = spark.createDataFrame(pd.concat(parts))
+    rows = ops.horizon_rows(base.withColumn("month", F.month("ts")), base, "price_eur_mwh", horizons=2, step_s=day)
+    strategies = ("full_expanding", "rolling_1y", "recency_weighted_90d")
+    out = ops.nested_selection(rows, ("price_eur_mwh", "month"), "2018-06-01 00:00:00", strategies=strategies, step_s=day, horizons=2, min_train=100)
+    aggregate = out.aggregate.collect()
+    assert {(r.series_id, r.strategy, r.fold_count) for r in aggregate} == {(s, t, 4) for s in "ab" for t in strategies}
+    chosen = {r.series_id: r.strategy for r in out.strategy.collect()}
+    best = {s: min((r.mean_rmse, r.worst_fold_rmse, r.mean_absolute_bias, r.strategy) for r in aggregate if r.series_id == s)[-1] for s in "ab"}
+    assert chosen == best
+    assert {(r.series_id, r.strategy, r.horizon_hours) for r in out.test.collect()} == {("b", best["b"], h) for h in (0, 1, 2)}  # a has ended before
+    folds = rolling_folds(rows.select("series_id", "issue").distinct(), "2018-06-01 00:00:00", step_s=day, horizons=2, min_train=100)
+    assert {(r.series_id, r.fold_id[:4]) for r in folds.collect()} == {("a", "2016"), ("b", "2017")}
+    with pytest.raises(DataContractError):
+        ops.nested_selection(rows, ("month",), "2015-01-01 00:00:00", step_s=day, horizons=2, min_train=100)

@@ -120,6 +120,14 @@ def _(spark, d):
     return ops.best_configurations(evaluation.error_metrics(scored, [*ops.CONFIGURATION, "validation_period"]))
 
 
+@query("ml8_random_forest")
+def _(spark, d):
+    """The shallower forests of 200 trees, three folds; the deeper and larger entries of the grid take too long (README)."""
+    forest = ops.tree_family(GROUPS["Time + Price History"])[0]
+    small = forest._replace(grid=[g for g in forest.grid if g.get("numTrees") == 200 and g.get("maxDepth") == 12])
+    return ops.best_configurations(ops.tune(daily_gold(spark, d), [small], YEARS, HOLDOUT))
+
+
 @query("ml9_fit_horizons")
 def _(spark, d):
     lists = {"primary": PRIMARY, "fallback": FALLBACK}
