@@ -9,8 +9,9 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidegrid.llm import secrets
+from tidegrid.llm import decontamination, secrets
 from tidegrid.llm.decontamination import contaminated
 from tidegrid.llm.jaccard import near_duplicates, size_bands
 from tidegrid.llm.rules import host_verdicts, judge
@@ -273,6 +274,29 @@ def test_decontamination_equals_brute_force(spark, rows):
     assert contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_hamming_index_meets_all_within_the_radius_and_few_beyond(spark):
+    rng = random.Random(23)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [[rng.getrandbits(64), rng.getrandbits(64)] for _ in range(60)]
+    items = spark.createDataFrame([(20 + i % 2, i, *map(signed, p)) for i, p in enumerate(prints)],
+                                  "n_words int, item long, i0 long, i1 long")
+    probes = []
+    for i, p in enumerate(prints):
+        for apart in (0, 1, 10, 20, 29):  # spread over the blocks as evenly as it goes, so that no block is equal by luck
+            edges = [64 * b // 5 + 64 * long for long in range(2) for b in range(6)]
+            spans = [range(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+            flips = [list(rng.sample(s, len(s))) for s in spans]
+            bits = [flips[k % len(flips)][k // len(flips)] for k in range(apart)]
+            whole = (p[0] | p[1] << 64) ^ sum(1 << b for b in bits)
+            probes.append((20 + i % 2, i, apart, signed(whole & (1 << 64) - 1), signed(whole >> 64)))
+    frame = spark.createDataFrame(probes, "n_words int, mine long, apart int, w0 long, w1 long")
+    looked = frame.select("mine", "apart", F.explode(decontamination._keys("n_words", "w")).alias("key"))
+    met = looked.join(decontamination._index(items, 29), "key").select("mine", "apart", "item").distinct().collect()
+    assert {(r.mine, r.apart) for r in met if r.item == r.mine} == {(p[1], p[2]) for p in probes}
+    assert all((r.item - r.mine) % 2 == 0 for r in met)  # windows of one size only
+    assert sum(r.item != r.mine for r in met) < 0.16 * len(probes) * 29
+
+
 def test_empty_tables_give_none(empty):
     assert near_duplicates(empty)[0].count() == 0
     assert remove_repeats(empty).count() == 0
