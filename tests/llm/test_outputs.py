@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
+import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegrid.llm.chat import calls_of, canonical, link_calls, other_turns, problems
+from tidegrid.llm.chat import TOOLS, calls_of, canonical, link_calls, other_turns, problems
 from tidegrid.llm.mixing import mix_counts, mix_texts, permuted, whole_copies
 from tidegrid.llm.sharding import assign_shards, shard_of, standard_tree, write_shards
 from tidegrid.llm.token_store import Encoder, Segment, encode_segment, read_tokens, stored_tokens, write_tokens
@@ -121,6 +125,34 @@ def test_shards(spark, docs, rows):
     assert 0.85 * 48_000 / 25 < moved < 1.15 * 48_000 / 25
 
 
+def descended(key, tree):
+    """The shard of a key, by a walk down the tree with the hash that Spark documents (seed 42, chained, nulls passed over)."""
+
+    def winner(level, parent, weights):
+        scores = []
+        for child, weight in enumerate(weights):
+            h = 42
+            for part in (level.encode(), struct.pack("<q", parent), struct.pack("<i", child), None if key is None else struct.pack("<q", key)):
+                h = h if part is None else xxhash.xxh64_intdigest(part, seed=h)
+            scores.append((-math.log(((h >> 11) + 0.5) / 2**53) / weight, child))
+        return min(scores)[1]
+
+    region = winner("region", 0, [sum(map(sum, r)) for r in tree])
+    rack = winner("rack", region, [sum(r) for r in tree[region]])
+    number = sum(len(r) for r in tree[:region]) + rack
+    shard = winner("shard", number, tree[region][rack])
+    return sum(len(r) for r in [r for region in tree for r in region][:number]) + shard
+
+
+def test_descent_equals_a_walk_down_the_tree(spark, docs, rows):
+    got = [(r.doc_id, r.shard, r.grown_shard) for r in assign_shards(docs).collect()]
+    walk = lambda key: (key, descended(key, standard_tree(24)), descended(key, standard_tree(25, 24)))
+    assert sorted(map(repr, got)) == sorted(repr(walk(r[0])) for r in rows)
+    uneven = [[[1.0, 3.0], [0.5]], [[2.0], [1.0, 1.0, 4.0]], [[0.25]]]
+    for r in shard_of(spark.range(3000), "id", uneven, "shard").collect():
+        assert r.shard == descended(r.id, uneven)
+
+
 def test_weights_move_rows_only_into_their_subtree(spark):
     tree = standard_tree(24)
     heavier = [[[2.0 if (i, j, k) == (1, 2, 3) else w for k, w in enumerate(rack)] for j, rack in enumerate(region)]
@@ -211,6 +243,45 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert link_calls(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_links_equal_brute_force(spark):
+    rng = random.Random(7)
+    calls, results = [], []
+    for conv in [*range(40), None]:
+        n = rng.randint(1, 14)
+        for i in range(n):
+            earlier = rng.random() < 0.8  # else references go anywhere, so some close a cycle
+            pool = [f"c{j}" for j in range(i if earlier else n)] + ["gone"]
+            refers = rng.choices(pool, k=rng.randint(0, 3)) if rng.random() < 0.8 else None
+            for turn in rng.sample(range(1000), 1 if rng.random() < 0.9 else 2):
+                calls.append((conv, f"c{i}", turn, rng.choice(["search", "lookup", "measure", "none"]),
+                              json.dumps({"query": "x" * rng.randint(0, 70), "limit": rng.randint(0, 130)}), refers, "x"))
+            for turn in rng.sample(range(1000), rng.choice([0, 1, 1, 2])):
+                results.append((conv, f"c{i}", turn, rng.choice([None, "é", "out"])))
+    want = {}
+    for conv in {c[0] for c in calls}:
+        mine = [c for c in calls if c[0] == conv]
+        first = {name: min((c for c in mine if c[1] == name), key=lambda c: c[2]) for name in {c[1] for c in mine}}
+        needs = {name: {r for r in c[5] or [] if r in first} for name, c in first.items()}
+        level = {}
+        while free := [name for name in first if name not in level and needs[name] <= level.keys()]:
+            level |= {name: 1 + max((level[r] for r in needs[name]), default=-1) for name in free}
+        order = sorted(first, key=lambda name: (name not in level, level.get(name, 0), first[name][2], name))
+        for name, c in first.items():
+            answers = sorted((r for r in results if r[:2] == (conv, name)), key=lambda r: r[2])
+            found = problems(json.loads(c[4]), TOOLS[c[3]]) if c[3] in TOOLS else ["$: unknown tool"]
+            line = {"arguments": json.loads(c[4]), "id": name, "name": c[3], "refers": sorted(c[5] or []),
+                    "result": answers[0][3] if answers else None}
+            want["" if conv is None else str(conv), name] = (
+                c[2], c[3], order.index(name), level.get(name, -1), bool(answers), len(set(c[5] or []) - first.keys()),
+                sum(x[1] == name for x in mine), not found, "; ".join(found), canonical(line))
+    frames = spark.createDataFrame(calls, CALLS).repartition(4), spark.createDataFrame(
+        results, "conv_id long, call_id string, turn long, content string").repartition(3)
+    got = {(r.conv_id, r.call_id): (r.turn, r.name, r.position, r.level, r.linked, r.dangling, r.copies, r.valid, r.errors, r.json)
+           for r in link_calls(*frames).collect()}
+    assert got == want
+    assert {-1, 0, 1, 2} <= {w[3] for w in want.values()}
+
+
 def test_calls_of_conversations_come_in_order(spark):
     turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for t in range(12)] + [(None, 1, None, None), (2, 1, "assistant", None)]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
