@@ -15,7 +15,7 @@ only adds shared ones, so windows start at shingles of items.
 
 At similarity 0.75 two windows differ in 22 of 128 bits on average, with a
 deviation of 4.3, two unrelated ones in 64. Within radius 29 an index key is
-shared by one in nine of unrelated pairs.
+shared by one in eight of unrelated pairs.
 """
 
 from __future__ import annotations
