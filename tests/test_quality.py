@@ -98,3 +98,22 @@ def test_closeness_and_cells(spark):
     rows = [("1.0", "1.0000000001", True), ("1.0", "1.00001", False), ("a", "a", True), ("a", None, False), (None, None, True), ("0", "1e-13", True)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
     assert df.filter(scalars.same_cell(F.col("a"), F.col("b")) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("text, held", [
+    ("some words of prose, at 10:30 = noon", False), ("http://h/p?x=1", False), ("a Pass-Word: x", True), ("BEARER y", True),
+    ("db_TOKEN=", True), ("access key", True), ("", False)])
+def test_only_text_that_may_hold_a_secret_is_cut_into_pieces(spark, text, held):
+    row = spark.createDataFrame([(text,)], "t string").select(scalars._may_hold_secret(F.col("t")), scalars.redact_text("t")).first()
+    assert row[0] == held and (held or row[1] == text)
+
+
+def test_vintage_health_reads_its_rows_once(spark, tmp_path):
+    rows = [("s", "A69", "A01", "d", "1", "2026-01-01 00:00:00", "x", "2026-01-02 00:00:00", "SOLAR", "PT60M", "2026-01-01 01:00:00", "2026-01-01 02:00:00")] * 2
+    table(spark, "source string, document_type string, process_type string, document_id string, revision_number string, source_created_at_utc timestamp, "
+          "series_id string, target_timestamp timestamp, technology string, resolution string, collection_issue_time timestamp, acquired_at_utc timestamp",
+          rows).write.parquet(str(tmp_path / "given"))
+    out = ops.vintage_health(spark.read.parquet(str(tmp_path / "given")), "2026-01-01 02:30:00", ["process_type"])
+    row = out.first()
+    assert (row["newest_rows"], row["revisions"], row["duplicates"], row["status"]) == (2, 1, 1, "DEGRADED")
+    assert "/given" not in out._jdf.queryExecution().executedPlan().toString()

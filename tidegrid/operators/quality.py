@@ -14,6 +14,7 @@ from tidegrid.operators.evaluation import realized_performance
 from tidegrid.operators.projection import BOUNDS, bound_violations, horizon_consistent, vocabulary_violations
 from tidegrid.operators.scale import TimeFrame, salted_join, with_previous
 from tidegrid.operators.stats import FAILED_STATUSES, vintage_coverage
+from tidegrid.session import written
 
 NUCLEAR_SHUTDOWN = "2023-04-15 22:00:00"  # Fixed value: nuclear output is absent from here on.
 MIN_SILVER_ROWS, MIN_GOLD_ROWS = 179, 10  # Fixed values: least rows for features and for a split.
@@ -297,6 +298,9 @@ def vintage_health(df: DataFrame, now, keys: Sequence[str] = ("document_type", "
                    healthy_min: int = 90, stale_min: int = 180) -> DataFrame:
     """State of each vintage source from its newest cycle: age, coverage, duplicates, failures."""
     keys = list(keys)
+    # read by every part below: written once, so that what leads to the rows is done and moved once
+    needed = [*keys, cycle, *identity, "acquired_at_utc", "document_id", "revision_number", "technology", "resolution", "target_timestamp"]
+    df = written(df.select(*dict.fromkeys(needed)))
     newest = df.groupBy(*keys).agg(F.max(cycle).alias("_cycle"))
     rows = salted_join(df, newest, keys).filter(F.col(cycle) == F.col("_cycle"))
     acquired = rows.groupBy(*keys).agg(
