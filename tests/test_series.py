@@ -100,3 +100,13 @@ def test_duplicate_input_does_not_change_the_resample(spark):
     df = table(spark, PRICES, rows).drop("resolution")
     assert ops.resample_complete(df, ["series_id"], ["value"]).count() == 1
     assert ops.resample_complete(df.unionByName(df), ["series_id"], ["value"]).count() == 0
+
+
+def test_block_violations_hold_no_table_of_points(spark):
+    rows = [("a", "A01", *DAY, 1, 1.0), ("a", "A01", *DAY, None, 1.0), ("b", "A01", *DAY, 2, 1.0), ("b", "A01", *DAY, 2, 1.0),
+            ("c", "A01", *DAY, 3, 1.0), ("c", "A01", *DAY, 1, float("nan")), ("d", "A03", *DAY, 1, 1.0), (None, "A03", *DAY, 2, None), (None, "A03", *DAY, 1, 2.0)]
+    out = ops.block_violations(table(spark, POINTS, rows))
+    found = {r["period_id"]: (r["reason"], r["low"], r["high"], r["n"], r["n_distinct"], r["bad"]) for r in out.collect()}
+    assert found == {"a": ("duplicate_position", 1, 1, 2, 1, 0), "b": ("duplicate_position", 2, 2, 2, 1, 0),
+                     "c": ("value", 1, 3, 2, 2, 1), None: ("value", 1, 2, 2, 2, 1)}
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()

@@ -61,15 +61,26 @@ def expand_blocks(points: DataFrame) -> DataFrame:
 
 
 def block_violations(points: DataFrame) -> DataFrame:
-    """Periods that may not be decoded, with the first rule they break."""
+    """Periods that may not be decoded, with the first rule they break.
+
+    Points are sorted by position within their period, so that a task holds one
+    sort that can spill, and no hash table of all its points.
+    """
     step = iso_duration_seconds("resolution")
     span = epoch("period_end") - epoch("period_start")
-    per_period = points.groupBy(
-        "period_id", "curve_type", "period_start", "period_end", "resolution"
-    ).agg(
-        F.min("position").alias("low"), F.max("position").alias("high"),
-        F.count("*").alias("n"), F.countDistinct("position").alias("n_distinct"),
-        F.count_if(~is_finite("value")).alias("bad"),
+    period = ["period_id", "curve_type", "period_start", "period_end", "resolution"]
+    line = Window.partitionBy(*period).orderBy("position")
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # equal positions are neighbours; nulls come first and never count as distinct
+    fresh = F.col("position").isNotNull() & ~F.col("position").eqNullSafe(F.lag("position").over(line))
+    per_period = (
+        points.select(*period, "position", (~is_finite("value")).alias("_bad"))
+        .withColumns({"_fresh": fresh, "_at": F.row_number().over(line)})
+        .withColumns({
+            "low": F.min("position").over(whole), "high": F.max("position").over(whole),
+            "n": F.count("*").over(whole), "n_distinct": F.count_if("_fresh").over(whole),
+            "bad": F.count_if("_bad").over(whole)})
+        .filter(F.col("_at") == 1).select(*period, "low", "high", "n", "n_distinct", "bad")
     )
     reason = (
         F.when(~F.col("curve_type").isin("A01", "A03"), "curve_type")
