@@ -129,3 +129,30 @@ def test_scratch_tables_go_when_their_scope_ends(spark):
         kept.count()
     alone = written(spark.range(6))
     assert alone.count() == 6
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_price_points_are_moved_once(spark, tmp_path):
+    series = PRICE_XML.split("<TimeSeries>")[1].split("</TimeSeries>")[0]
+    (tmp_path / "a.xml").write_text(f"<D><TimeSeries>{series}</TimeSeries><TimeSeries>{series.replace('2026-01-01', '2026-01-02').replace('<mRID>1<', '<mRID>2<')}</TimeSeries></D>")
+    out = documents.read_price_documents(spark, str(tmp_path))
+    assert out.count() == 12 and "Exchange" not in plan_of(out)
+
+
+def test_queries_write_their_documents_compressed(spark, tmp_path, monkeypatch):
+    from tidegrid.plans import load_all
+    from tidegrid.plans import sources as plans
+    from tidegrid.plans.registry import QUERIES
+
+    load_all()
+    spark.sql("SELECT 1L AS l_orderkey, 1L AS l_suppkey, 1 AS l_linenumber, 5.0D AS l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT 1L AS o_orderkey, 'F' AS o_orderstatus, timestamp'2026-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("src3_price_documents", "src4_forecast_documents"):
+        folder = tmp_path / name
+        monkeypatch.setattr(plans, "scratch", lambda _, to=folder: str(to))
+        rows = QUERIES[name](spark, str(tmp_path)).count()
+        assert rows == (8 if name.startswith("src3") else 2)
+        assert list(folder.glob("part-*.gz")) and not list(folder.glob("part-*.txt"))

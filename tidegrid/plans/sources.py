@@ -66,7 +66,7 @@ def price_xml(spark, d) -> str:
         F.date_format("period_end", stamp), F.lit("</end></timeInterval><resolution>PT60M</resolution>"),
         F.array_join(F.transform("_p", lambda p: p["x"]), ""), F.lit("</Period></TimeSeries></Document>")).alias("value"))
     path = scratch(spark)
-    docs.write.text(path)
+    docs.write.option("compression", "gzip").text(path)
     return path
 
 
@@ -98,7 +98,7 @@ def _(spark, d):
         F.lit("</quantity></Point><Point><position>2</position><quantity>"), (F.col("v") + 1).cast("string"),
         F.lit("</quantity></Point></Period></TimeSeries></MarketDocument>")).alias("value"))
     path = scratch(spark)
-    docs.write.text(path)
+    docs.write.option("compression", "gzip").text(path)
     return documents.read_forecast_documents(spark, path, one_per_line=True).select(
         "document_id", "revision_number", "document_type", "technology", "target_timestamp", "value_mw", "resolution", "source_horizon_minutes")
 

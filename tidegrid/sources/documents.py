@@ -14,7 +14,7 @@ from tidegrid.functions.scalars import has_explicit_zone
 from tidegrid.functions.times import elapsed_seconds, floor_to
 from tidegrid.operators.joins import overlapping_periods
 from tidegrid.operators.series import block_violations, expand_blocks, points_to_ts, position_violations
-from tidegrid.session import checkpointed
+from tidegrid.session import written, written_buckets
 
 POINT = "struct<position:int, `price.amount`:double, quantity:double>"
 PERIOD = f"struct<timeInterval:struct<start:string,`end`:string>, resolution:string, Point:array<{POINT}>>"
@@ -74,11 +74,15 @@ def read_price_documents(spark: SparkSession, path: str, one_per_line: bool = Fa
     """
     points = price_points(load_documents(spark, path, one_per_line))
     if check:
-        points = checkpointed(points)  # parsed once for two checks and the result
+        # parsed once for two checks and the result, in buckets of the period, so that none of the three moves the points again
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        points = written_buckets(points.repartition(buckets, "period_id"), "period_id", buckets)
         ensure_none(block_violations(points), "Price period cannot be decoded")
         periods = points.select("document", "period_id", F.col("period_start").alias("start_ts"),
                                 F.col("period_end").alias("end_ts")).distinct()
-        ensure_none(overlapping_periods(periods, ["document"]), "Price periods overlap")
+        # a document's only period overlaps none
+        several = periods.groupBy("document").agg(F.count("*").alias("_n")).filter("_n > 1").select("document")
+        ensure_none(overlapping_periods(periods.join(several, "document", "left_semi"), ["document"]), "Price periods overlap")
     return expand_blocks(points)
 
 
@@ -113,7 +117,7 @@ def read_forecast_documents(spark: SparkSession, path: str, *, source: str = "DO
     """
     points = forecast_points(load_documents(spark, path, one_per_line))
     if check:
-        points = checkpointed(points)  # parsed once for the check and the result
+        points = written(points)  # parsed once for the check and the result
         ensure_none(position_violations(points), "Forecast point outside its period")
     issue = collection_issue if collection_issue is not None else floor_to("acquired_at_utc", 3600)
     return points_to_ts(points).select(
