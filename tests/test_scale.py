@@ -92,3 +92,17 @@ def test_quantiles_narrow_the_range_of_a_rank(spark, most):
         assert np.allclose(got[k], part["v"].quantile(probs), rtol=1e-12)
     whole = scale.exact_quantiles(spark.createDataFrame(pdf), [], "v", [0.25], most=most).first()["quantiles"]
     assert whole[0] == pytest.approx(pdf["v"].quantile(0.25))
+
+
+def test_salted_join_broadcasts_no_repeated_rows(spark, monkeypatch):
+    from tidegrid.operators import scale
+
+    facts = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    per_key = spark.range(40).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = scale.salted_join(facts, per_key, ["k"], "left")
+    assert "BroadcastHashJoin" in plan(few) and "Generate" not in plan(few)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 10, raising=False)
+    many = scale.salted_join(facts, per_key, ["k"], "left")
+    assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.select(*few.columns).collect()))
