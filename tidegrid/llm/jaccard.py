@@ -373,13 +373,17 @@ def _meeting(group: pd.DataFrame) -> pd.DataFrame:
     return _block_pairs(keys, nodes, blocks)
 
 
-def _packed_block(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("node")
-    body = group["body"].tolist()
-    places = group[["node", "n", "comp"]].to_numpy(np.int64)
-    lengths = np.array([len(b) // 6 for b in body], dtype=np.int64)
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "places": [P.shrink(np.column_stack([places, lengths]).ravel())],
-                         "tokens": [b"".join(body)]})
+def _packed_blocks(rows: DataFrame) -> DataFrame:
+    """block, and of its sets (node, n, comp, body) in the order of the nodes: places (node, n, comp and number of tokens) and tokens."""
+    sets = F.sort_array(F.collect_list(F.struct("node", "n", "comp", "body")))
+    place = lambda x: F.array(x["node"], x["n"], x["comp"], F.floor(F.octet_length(x["body"]) / 6).cast("long"))
+    return rows.groupBy("block").agg(sets.alias("sets")).select(
+        "block", F.flatten(F.transform("sets", place)).alias("places"), F.transform("sets", lambda x: x["body"]).alias("tokens"))
+
+
+def _block(places: list, tokens: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, sizes, components and numbers of tokens of a block's sets, and the tokens."""
+    return (*np.array(places, dtype=np.int64).reshape(-1, 4).T, P.unpack(b"".join(tokens), 6))
 
 
 def common_counts(left: np.ndarray, left_of: np.ndarray, right: np.ndarray, right_of: np.ndarray, shape) -> np.ndarray:
@@ -405,9 +409,9 @@ def _linked_blocks(rows):
     for row in rows:
         links = [np.empty((0, 2), np.int64)]
         for p, s, q, t in zip(*(row.column(c).to_pylist() for c in ("p", "s", "q", "t")), strict=True):
-            (node, n, comp, length), (other, m, mate, size) = (P.grow(x, np.int64).reshape(-1, 4).T for x in (p, q))
-            common = common_counts(P.unpack(s, 6), np.repeat(np.arange(len(node)), length),
-                                   P.unpack(t, 6), np.repeat(np.arange(len(other)), size), (len(node), len(other)))
+            (node, n, comp, length, left), (other, m, mate, size, right) = _block(p, s), _block(q, t)
+            common = common_counts(left, np.repeat(np.arange(len(node)), length),
+                                   right, np.repeat(np.arange(len(other)), size), (len(node), len(other)))
             good = (100 * common >= 75 * (n[:, None] + m[None, :] - common)) & (comp[:, None] != mate[None, :])
             i, j = np.nonzero(good)
             low, high = np.minimum(comp[i], mate[j]), np.maximum(comp[i], mate[j])
@@ -422,9 +426,9 @@ def _counted_blocks(rows):
     for row in rows:
         nodes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b, p, s, q, t in zip(*(row.column(c).to_pylist() for c in ("a", "b", "p", "s", "q", "t")), strict=True):
-            (node, n, copies, length), (other, m, more, size) = (P.grow(x, np.int64).reshape(-1, 4).T for x in (p, q))
-            common = common_counts(P.unpack(s, 6), np.repeat(np.arange(len(node)), length),
-                                   P.unpack(t, 6), np.repeat(np.arange(len(other)), size), (len(node), len(other)))
+            (node, n, copies, length, left), (other, m, more, size, right) = _block(p, s), _block(q, t)
+            common = common_counts(left, np.repeat(np.arange(len(node)), length),
+                                   right, np.repeat(np.arange(len(other)), size), (len(node), len(other)))
             good = 100 * common >= 75 * (n[:, None] + m[None, :] - common)
             if a == b:
                 np.fill_diagonal(good, False)
@@ -446,8 +450,7 @@ def _compared(pairs: DataFrame, places: DataFrame, sets: DataFrame) -> DataFrame
     """The pairs of blocks a and b with the places and tokens of both."""
     pairs = written(pairs.distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()  # the others are compared already
-    packed = written(sets.join(places.join(used, "block", "left_semi"), "node").groupBy("block").applyInPandas(
-        _packed_block, "block long, places binary, tokens binary"))
+    packed = written(_packed_blocks(sets.join(places.join(used, "block", "left_semi"), "node")))
     left = packed.select(F.col("block").alias("a"), F.col("places").alias("p"), F.col("tokens").alias("s"))
     right = packed.select(F.col("block").alias("b"), F.col("places").alias("q"), F.col("tokens").alias("t"))
     return pairs.join(right, "b").join(left, "a")
