@@ -78,8 +78,8 @@ def read_price_documents(spark: SparkSession, path: str, one_per_line: bool = Fa
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         points = written_buckets(points.repartition(buckets, "period_id"), "period_id", buckets)
         ensure_none(block_violations(points), "Price period cannot be decoded")
-        periods = points.select("document", "period_id", F.col("period_start").alias("start_ts"),
-                                F.col("period_end").alias("end_ts")).distinct()
+        periods = written(points.select("document", "period_id", F.col("period_start").alias("start_ts"),
+                                        F.col("period_end").alias("end_ts")).distinct())  # a row for each period, read by two steps
         # a document's only period overlaps none
         several = periods.groupBy("document").agg(F.count("*").alias("_n")).filter("_n > 1").select("document")
         ensure_none(overlapping_periods(periods.join(several, "document", "left_semi"), ["document"]), "Price periods overlap")
