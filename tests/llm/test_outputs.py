@@ -8,19 +8,22 @@ import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidegrid.llm import packed, token_store
 from tidegrid.llm.chat import TOOLS, calls_of, canonical, link_calls, other_turns, problems
 from tidegrid.llm.mixing import mix_counts, mix_texts, permuted, whole_copies
 from tidegrid.llm.sharding import assign_shards, shard_of, standard_tree, write_shards
 from tidegrid.llm.token_store import Encoder, Segment, encode_segment, read_tokens, stored_tokens, write_tokens
-from tidegrid.session import shared_dir
+from tidegrid.session import shared_dir, written
 
 SCHEMA = "doc_id long, text string, source string, size string, start int, slot int, weight int"
 ODD = [None, "", " ", "\n\n a  b \t c\n", "one two", "<|endoftext|> inside", "a\nb c\n", "nul\0 byte \0x", "é ü ß 你好 🙂",
@@ -213,6 +216,36 @@ def test_token_files_are_read_again(spark, docs, rows):
     assert read_tokens(manifest, folder).count() == len(rows)
 
 
+def test_token_tasks_hold_few_texts(spark, docs, monkeypatch):
+    """Texts come to Python in small batches, and a worker gives back what it freed after each segment and at its end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, during = spark.conf.get(key), []
+    many = spark.range(5000, numPartitions=1).mapInArrow(
+        lambda rows: (pa.RecordBatch.from_pydict({"id": [r.num_rows]}) for r in rows), "id long")
+
+    def noted(df):
+        during.append(written(many).agg(F.max("id")).first()[0])
+        return written(df)
+
+    monkeypatch.setattr(token_store, "written", noted)
+    write_tokens(docs, f"file://{shared_dir(spark)}/tokens-few")
+    assert during == [1000] and spark.conf.get(key) == before
+
+
+def test_token_tasks_release_memory(tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(packed, "release", lambda: calls.append(1))
+    monkeypatch.setattr(token_store, "SEGMENT_TOKENS", 100)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rows = [pa.RecordBatch.from_pydict({"doc_id": [2 * i, 2 * i + 1], "text": ["some words " * 60, None]}) for i in range(3)]
+    write = token_store._write(str(public_tokenizers.path("byte_bpe_50k.json")), f"file://{tmp_path}/t")
+    assert [r.column("docs").to_pylist() for r in write(iter(rows))] == [[1], [2], [2], [1]] and len(calls) == 4
+    calls.clear()
+    files = [f.read_bytes() for f in sorted((tmp_path / "t").iterdir())]
+    back = list(token_store._read(iter([pa.RecordBatch.from_pydict({"content": [f], "start": [0]}) for f in files])))
+    assert [d for r in back for d in r.column("doc_id").to_pylist()] == list(range(6)) and len(calls) == 4
+
+
 def test_empty_tables_give_none(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mix_counts(empty).count() == assign_shards(empty).count() == stored_tokens(empty).count() == 0

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a small side may have at most to be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Rows with whole texts that are sent to Python at a time.
+TEXT_ROWS = 1000
 #: Rows per window partition that cells of a long order are cut to, on average.
 CELL_ROWS = 20_000
 

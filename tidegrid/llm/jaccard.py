@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import packed as P
+from tidegrid.llm.common import TEXT_ROWS
 from tidegrid.operators.scale import salted_join
-from tidegrid.session import written, written_buckets
+from tidegrid.session import arrow_rows, written, written_buckets
 
 SHINGLE = 5
 #: Sets from which a token is frequent; also the sets of a batch from which it is counted there and then.
@@ -549,7 +550,8 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> tuple[DataFra
     shared = tokens.groupBy("bucket").applyInPandas(_shared, _SHARED_SCHEMA)
     # joined by batch, and the sets by node, several times: in buckets, so that only the other side moves
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = written_buckets(shared.groupBy("batch").applyInPandas(_index(bits, key_bits), _KIND_SCHEMA), "batch", buckets, ("kind",))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        kinds = written_buckets(shared.groupBy("batch").applyInPandas(_index(bits, key_bits), _KIND_SCHEMA), "batch", buckets, ("kind",))
     rows = kinds.filter("kind = 'doc'").select("doc_id", "h", "node", "n")
     sets = written_buckets(kinds.filter("kind = 'set'").select("node", "n", "body").repartition(buckets, "node"), "node", buckets)
     index = kinds.filter("kind = 'key'").select("key", "batch", "body")

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm import packed as P
-from tidegrid.session import shared_dir, written
+from tidegrid.llm.common import TEXT_ROWS
+from tidegrid.session import arrow_rows, shared_dir, written
 
 #: Bits of the levels; ids of byte_bpe_50k are below 2**16. Levels of whole bytes need no packing.
 WIDTHS = (8, 8)
@@ -35,7 +36,7 @@ END_ID = 2
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 600_000
 #: Characters of the texts that are looked up together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
 #: Letters of which a word may be to go to the model directly.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 TOKENIZER = "byte_bpe_50k.json"
@@ -253,8 +254,12 @@ def _write(path: str, folder: str):
                 if total >= SEGMENT_TOKENS:
                     yield close()
                     ids, sizes, tokens, total, seq = [], [], [], 0, seq + 1
+                    P.release()
+            del texts
         if ids:
             yield close()
+        ids, sizes, tokens = [], [], []
+        P.release()
 
     return write
 
@@ -263,12 +268,14 @@ def _read(rows):
     for batch in rows:
         for content, start in zip(batch.column("content"), batch.column("start").to_pylist(), strict=True):
             segment = Segment(content.as_py())
-            tokens, edges = segment.tokens(), segment.starts
-            raw = tokens.tobytes()
+            edges, raw = segment.starts, segment.tokens().tobytes()
             yield P.record(
                 doc_id=pa.array(segment.doc_ids, pa.int64()), start=pa.array((edges[:-1] + start).tolist(), pa.int64()),
                 n_tokens=pa.array(np.diff(edges).tolist(), pa.int64()),
                 ids_crc32=pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False)], pa.int64()))
+            del content, segment, edges, raw
+        del batch
+        P.release()
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
@@ -285,7 +292,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     ordered = (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
                .repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "h")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "h").select("doc_id", "text"))
-    manifest = written(ordered.mapInArrow(_write(str(tokenizer), folder), "part long, seq long, name string, docs long, tokens long"))
+    with arrow_rows(spark, TEXT_ROWS):
+        manifest = written(ordered.mapInArrow(_write(str(tokenizer), folder), "part long, seq long, name string, docs long, tokens long"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts_first = manifest.groupBy("part").agg(F.sum("tokens").alias("n")).select(

@@ -88,6 +88,22 @@ def _noted(spark: SparkSession, path: str, name: str | None, keep: bool) -> None
         stack[at].append((spark, path, name))
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send at most ``rows`` rows at a time to Python.
+
+    For rows that hold whole texts: a batch, of 10,000 rows by default, lies in
+    the executor and in its Python worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, partition_by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
