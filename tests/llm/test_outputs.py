@@ -13,6 +13,7 @@ from types import SimpleNamespace
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -197,6 +198,64 @@ def test_words_are_encoded_as_in_their_text():
     assert encoder.encode_all(texts[::-1]) == want[::-1]
 
 
+def counted(encoder):
+    """The texts that the encoder gives to the model or to the tokenizer from now on."""
+    calls, model, whole = [], encoder.model, encoder._encode
+    encoder.model = SimpleNamespace(tokenize=lambda w: calls.append(w) or model.tokenize(w))
+    encoder._encode = lambda texts: calls.extend(texts) or whole(texts)
+    return calls
+
+
+def test_words_with_marks_are_encoded_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = Encoder(path), Tokenizer.from_file(path)
+    calls = counted(encoder)
+    texts = [f"{w}{m} {w}" for w in ("heron", "Été", "maß") for m in (".", ",", "!!", "***", "$$$", "%%%", "&&&", "###")]
+    assert encoder.encode_all(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(calls) == 6 + 8
+
+
+def test_words_met_again_are_remembered(monkeypatch):
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    calls = counted(encoder)
+    monkeypatch.setattr(token_store, "CACHE_PIECES", 40)
+    spell = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    for i in range(50):
+        encoder.encode_all(["again and again " + " ".join(spell(1000 + 10 * i + j) for j in range(10)), "base64/" * 20])
+        assert len(encoder.recent) + len(encoder.older) <= 40 + 2 * 14
+    assert calls.count("again") == calls.count("\u0120and") == 1
+    assert not any(len(piece) > 100 for piece in [*encoder.recent, *encoder.older])
+
+
+def test_pieces_are_encoded_as_in_their_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = Encoder(path), Tokenizer.from_file(path)
+    assert [c for c in map(chr, range(0x3100)) if pc.match_substring_regex(pa.array([c * 2]), token_store.BLANKS)[0].as_py()] == \
+        [c for c in map(chr, range(0x3100)) if c.isspace()]
+    parts = [" ", "\n", "\x1c", "\u2028", "b", "é", "Ã", "×", "÷", "…", "ℓ", "7", ".", "***", "$", "&", "|", "#", "'", "'re", " 's", "<|endoftext|>", "endoftext", "🙂", "x" * 120]
+    pick = np.random.default_rng(6)
+    texts = ["".join(parts[i] for i in pick.integers(0, len(parts), n)) for n in pick.integers(0, 12, 20_000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode_all(texts) == want
+    assert encoder.encode_all(pa.array([None, *texts, None])[7:]) == [*want, b""][6:]
+    assert encoder.encode_all([]) == [] and encoder.encode_all([None, ""]) == [b"", b""]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    kind = json.loads(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str())
+    texts = ["a.b heron. a.b\n", " x y ", "heron, heron", "<|endoftext|>.", ""]
+    for change in ({"pre_tokenizer": kind["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}},
+                   {"added_tokens": kind["added_tokens"] + [kind["added_tokens"][0] | {"id": 50257, "content": "a.b"}]},
+                   {"added_tokens": kind["added_tokens"] + [kind["added_tokens"][0] | {"id": 50257, "content": "x y"}]},
+                   {"added_tokens": kind["added_tokens"] + [kind["added_tokens"][0] | {"id": 50257, "content": "ero"}]},
+                   {"added_tokens": [kind["added_tokens"][0] | {"content": "heron", "lstrip": True}]}):
+        path = tmp_path / "tokenizer.json"
+        path.write_text(json.dumps(kind | change))
+        tokenizer = Tokenizer.from_file(str(path))
+        want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert Encoder(str(path)).encode_all(texts) == want
+
+
 @pytest.mark.parametrize("widths", [(8, 8), (9, 7), (4, 4, 4, 4), (16,)])
 def test_every_token_is_addressable(widths):
     rng = np.random.Generator(np.random.PCG64(3))

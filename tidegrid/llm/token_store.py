@@ -12,6 +12,7 @@ A segment holds consecutive documents in ascending doc_id order:
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import uuid
@@ -20,6 +21,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,15 @@ RANK_EVERY = 512
 #: Tokens that close a segment; a longer document has a segment of its own.
 SEGMENT_TOKENS = 2_000_000
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
-#: Characters of the texts that are looked up together.
-GROUP_CHARS = 500_000
-#: Letters of which a word may be to go to the model directly.
+#: Pieces whose ids a worker remembers, and the bytes of the longest of them.
+CACHE_PIECES, CACHE_BYTES = 600_000, 100
+#: Bytes of the texts that are looked up together.
+GROUP_BYTES = 1_000_000
+#: Letters of which a piece may be to go to the model directly, and marks that start a piece after such a letter.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+MARKS = ".,;:!?*#$%&"
+#: Neighbouring white space, as Unicode has it.
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -131,11 +136,12 @@ class Encoder:
     """Ids of whole texts from the tokenizers library.
 
     The byte-level pre-tokenizer never joins a character with a blank after it,
-    so a text without neighbouring white space is cut before every blank and
-    around every line feed, and equal words are encoded once. A word of letters,
-    with a mark after it or not, is one piece to the pre-tokenizer (and the mark
-    another), so it goes to the model directly. Other texts, and all texts under
-    a tokenizer of another kind, are encoded whole.
+    nor a letter with a mark after it, so a text without neighbouring white
+    space is cut before every blank, around every line feed and between a letter
+    and a mark, and equal pieces of a group of texts are encoded once. A piece of
+    letters is one piece to the pre-tokenizer too, so it goes to the model
+    directly. Other texts, and all texts under a tokenizer of another kind, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -147,52 +153,98 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         kind = json.loads(self.tokenizer.to_str())
-        splitter = kind["pre_tokenizer"] or {}
+        splitter, added = kind["pre_tokenizer"] or {}, kind["added_tokens"]
         self.by_words = (splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True)
-                         and not splitter.get("add_prefix_space") and kind["normalizer"] is None)
-        self.blanks = re.compile(r"\s\s")
-        self.plain = re.compile(f"( ?)([{LETTERS}]+)([.,;:!?]?)")
-        self.cache: dict[str, bytes] = {}
-        self.always = {"": b"", **dict(zip("\n.,;:!?", self._encode(list("\n.,;:!?")), strict=True))}
+                         and not splitter.get("add_prefix_space") and kind["normalizer"] is None
+                         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(rf"[ \n]|^[{LETTERS}]+$", t["content"]) for t in added))
+        self.marks, self.ascii, self.latin = (np.zeros(256, dtype=bool) for _ in range(3))
+        self.marks[list(set(MARKS.encode()).difference(*(t["content"].encode() for t in added)))] = True
+        # the pieces that were met last, and before them
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         if self.by_words:
             shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
-            letters = re.findall(f"[{LETTERS}]", "".join(map(chr, range(256))))
-            self.shown = {ord(c): shown(c)[0][0] for c in letters} | {ord(" "): shown(" a")[0][0][:-1]}
+            table = ["\ufffe"] * 256  # how the model's vocabulary shows a byte
+            table[ord("\n")], table[ord(" ")] = "\n", shown(" a")[0][0][:-1]
+            for letter in re.findall(f"[{LETTERS}]", "".join(map(chr, range(256)))):
+                for byte, char in zip(letter.encode(), shown(letter)[0][0], strict=True):
+                    table[byte] = char
+                (self.ascii if letter.isascii() else self.latin)[byte] = True
+            self.shown = "".join(table)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         # the fast form leaves out character offsets, which nothing here reads
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        cache, tokenize, shown, other = self.cache, self.model.tokenize, self.shown, []
-        for word in words:
-            parts = self.plain.fullmatch(word)
-            if parts is None:
-                other.append(word)
-                continue
-            blank, letters, mark = parts.groups()
-            stem = blank + letters
-            ids = cache.get(stem)
-            if ids is None:
-                ids = cache[stem] = array("I", [t.id for t in tokenize(stem.translate(shown))]).tobytes()
-            if mark:
-                cache[word] = ids + self.always[mark]
-        cache.update(zip(other, self._encode(other), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, little-endian and 32 bits each."""
-        cut = [None if not self.by_words or "\0" in t or self.blanks.search(t) else
-               t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
-        every = set().union(*filter(None, cut))
-        new = every.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = every
-        self.cache.update(self.always)
-        self._learn(list(new.difference(self.always)))
-        known = self.cache.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(known, words))
-                for t, words in zip(texts, cut, strict=True)]
+    def _pieces(self, texts: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The pieces of the texts, over the bytes that the texts lie in, and how many are before each text and the end."""
+        _, edges, body = texts.buffers()
+        edges = np.frombuffer(edges, dtype=np.int64, count=len(texts) + 1, offset=8 * texts.offset)
+        data = np.frombuffer(body or b"", dtype=np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        cut = np.zeros(len(data), dtype=bool)
+        if self.by_words:
+            feed = data == ord("\n")
+            cut |= feed
+            cut |= data == ord(" ")
+            cut[1:] |= feed[:-1]
+            marks = np.flatnonzero(self.marks[data])
+            marks = marks[marks > 0]
+            before = data[marks - 1]
+            cut[marks[self.ascii[before] | (self.latin[before] & (data[marks - 2] == 0xC3))]] = True
+            for i in np.flatnonzero(pc.match_substring_regex(texts, BLANKS).to_numpy(zero_copy_only=False)):
+                cut[edges[i] : edges[i + 1]] = False
+        cut[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(cut)
+        places = [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), places), np.searchsorted(starts, edges)
+
+    def _learn(self, pieces: pa.LargeBinaryArray) -> list[bytes]:
+        """The ids of each piece, by the model or, where it is not of letters only, by the whole tokenizer."""
+        names, tokenize = pieces.to_numpy(zero_copy_only=False).tolist(), self.model.tokenize
+        letters = (pc.match_substring_regex(pieces.cast(pa.large_string()), rf"\A ?[{LETTERS}]+\z").to_pylist()
+                   if self.by_words else [False] * len(names))
+        plain = [n for n, x in zip(names, letters, strict=True) if x]
+        short = [n for n, x in zip(names, letters, strict=True) if not x and len(n) <= CACHE_BYTES]
+        ids = dict(zip(short, self._encode([n.decode() for n in short]), strict=True))
+        if plain:
+            words = codecs.charmap_decode(b"\n".join(plain), "strict", self.shown)[0].split("\n")
+            ids.update(zip(plain, [array("I", [t.id for t in tokenize(w)]).tobytes() for w in words], strict=True))
+        self.recent.update({n: x for n, x in ids.items() if len(n) <= CACHE_BYTES})
+        return [ids[n] if n in ids else self._encode([n.decode()])[0] for n in names]
+
+    def _ids(self, pieces: pa.LargeBinaryArray) -> list[bytes]:
+        """The ids of each of the distinct pieces."""
+        if len(self.recent) > CACHE_PIECES // 2:
+            self.older, self.recent = self.recent, {}
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.recent.get, names))
+        new = []
+        for i, known in enumerate(found):
+            if known is None:
+                known = self.older.get(names[i])
+                if known is None:
+                    new.append(i)
+                else:
+                    found[i] = self.recent[names[i]] = known
+        if new:
+            for i, learned in zip(new, self._learn(pieces.take(pa.array(new, pa.int64()))), strict=True):
+                found[i] = learned
+        return found
+
+    def encode_all(self, texts: pa.Array | list) -> list[bytes]:
+        """The ids of every text, little-endian and 32 bits each; null is empty."""
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        pieces, firsts = self._pieces(pc.fill_null(texts, ""))
+        if not len(pieces):
+            return [b""] * len(texts)
+        coded = pieces.dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary), pa.large_binary()).take(coded.indices)
+        edges = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1)[firsts].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -202,25 +254,22 @@ _encoders: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    """The worker's encoder; tasks that follow one another in a worker share its words."""
+    """The worker's encoder; tasks that follow one another in a worker share its pieces."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def _texts(rows):
-    """doc_id and text, in groups of about GROUP_CHARS characters."""
+    """doc_id and text, in groups of about GROUP_BYTES bytes."""
     for batch in rows:
-        ids, texts, chars = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            chars += len(texts[-1])
-            if chars >= GROUP_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-        if ids:
-            yield ids, texts
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ids):
+            to = 1 + int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_BYTES))
+            yield ids[at:to], texts[at:to]
+            at = to
 
 
 def _write(path: str, folder: str):
