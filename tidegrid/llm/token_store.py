@@ -36,7 +36,7 @@ RANK_EVERY = 512
 SEGMENT_TOKENS = 2_000_000
 END_ID = 2
 #: Pieces whose ids a worker remembers, and the bytes of the longest of them.
-CACHE_PIECES, CACHE_BYTES = 600_000, 100
+CACHE_PIECES, CACHE_BYTES = 200_000, 100
 #: Bytes of the texts that are looked up together.
 GROUP_BYTES = 1_000_000
 #: Letters of which a piece may be to go to the model directly, and marks that start a piece after such a letter.
